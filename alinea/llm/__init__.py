@@ -1,4 +1,4 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
 #: Modules that register queries.
-QUERY_MODULES = ["alinea.llm.topn", "alinea.llm.encoding"]
+QUERY_MODULES = ["alinea.llm.confusables", "alinea.llm.topn", "alinea.llm.encoding"]
