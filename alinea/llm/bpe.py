@@ -42,6 +42,7 @@ class Merges:
     def __init__(self, token: dict[bytes, int], ranked: Iterable[tuple[bytes, bytes]]):
         self.token = token
         self.bytes_of = {i: b for b, i in token.items()}
+        self.size = {i: len(b) for b, i in token.items()}
         self.rank: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(ranked):
@@ -129,11 +130,11 @@ class Transducer:
 
     def _chain(self, s: _State, place: int) -> list[int]:
         """Tokens that cover the first ``place`` pending bytes."""
-        out, size = [], self.merges.bytes_of
+        out, size = [], self.merges.size
         while place:
             t = s.last[place - 1]
             out.append(t)
-            place -= len(size[t])
+            place -= size[t]
         return out[::-1]
 
     def _step(self, s: _State, byte: int) -> tuple[tuple[int, ...], _State]:
@@ -160,9 +161,9 @@ class Transducer:
         return tuple(out), self._intern(_State(out[-1], rest, grown.last[cut:]))
 
     def _places(self, s: _State, place: int) -> list[int]:
-        out, size = [place], self.merges.bytes_of
+        out, size = [place], self.merges.size
         while place:
-            place -= len(size[s.last[place - 1]])
+            place -= size[s.last[place - 1]]
             out.append(place)
         return out
 
