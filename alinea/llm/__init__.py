@@ -1,4 +1,4 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
 #: Modules that register queries.
-QUERY_MODULES = ["alinea.llm.confusables", "alinea.llm.topn", "alinea.llm.encoding", "alinea.llm.packing", "alinea.llm.pieces"]
+QUERY_MODULES = [f"alinea.llm.{m}" for m in ("sampling", "confusables", "topn", "encoding", "packing", "pieces")]
