@@ -15,7 +15,7 @@ def decode(df: DataFrame, lists: dict[str, str] | None = None, booleans: tuple[s
     for c in df.columns:
         text = F.nullif(F.trim(F.col(c)), F.lit(""))
         if c in lists:
-            items = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+            items = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
             out += [_cast_items(items, lists[c]).alias(c), text.alias(f"raw_{c}")]
         elif c in booleans:
             out += [F.lower(text).isin("true", "yes", "1", "y").alias(c), text.alias(f"raw_{c}")]
