@@ -8,8 +8,8 @@ from alinea.plans.stage import staged
 
 #: Rows of one key beyond which the key is spread over several tasks.
 HOT_ROWS = 250_000
-#: A hot-key list is broadcast up to this many rows; beyond it, it is joined by shuffling.
-BROADCAST_ROWS = 100_000
+#: A hot-key list is broadcast up to this many rows and bytes of its files; beyond them, it is joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
@@ -23,15 +23,17 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few, else as it is (a shuffle join)."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df``, a staged table, with a broadcast hint if its counted rows and its files' size are small, else as it is (a shuffle join)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` joined to ``right`` on ``keys`` (same names on both sides), hot keys of ``left`` salted.
 
-    Rows of a hot key are dealt round over slices and the matching rows of ``right`` repeated once per slice; other
-    keys are joined as they are. ``also`` is a further condition over columns whose names differ between the sides.
+    Rows of a hot key are dealt over slices by a hash of all their columns (a recomputed task deals them alike) and the
+    matching rows of ``right`` repeated once per slice; other keys are joined as they are. Rows that are alike in every
+    column share a slice: a caller that may have many such copies counts them first. ``also`` is a further condition over columns whose names differ between the sides.
     ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Key columns come from ``left``.
     """
     assert how in ("inner", "left", "left_semi", "left_anti"), how
@@ -39,7 +41,8 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also
     sliced = bool(n)
     if sliced:
         few = checked_broadcast(hot, n)
-        left = left.join(few, keys, "left").withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.monotonically_increasing_id() % F.col("_slices")).cast("int")).drop("_slices")
+        deal = F.xxhash64(*left.columns)
+        left = left.join(few, keys, "left").withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(deal, F.col("_slices"))).cast("int")).drop("_slices")
         right = right.join(few, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))).drop("_slices")
     on = [*keys, *["_slice"] * sliced]
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
