@@ -136,21 +136,19 @@ def skeleton_groups(df: DataFrame, text: str) -> DataFrame:
 def disguised(items: DataFrame, sources: DataFrame, hot_rows: int = 250_000) -> DataFrame:
     """The rows of ``items`` that are no text of their source as it stands, yet look the same as it or a part of it.
 
-    ``items``: ``key, value, whole`` and columns to keep (no other may be called source or begin with an underscore);
-    with ``whole`` the value must look like all of the source, else like a part. ``sources``: ``key, source``; a key may
+    ``items``: ``key, value, whole`` and any other columns, all of which are kept; with ``whole`` the value must look like all of the source, else like a part. ``sources``: ``key, source``; a key may
     have several texts, and any will do. Null or empty values, null keys and keys without a source give no row, nor do
     values of invisible characters only. Repeated items stay repeated.
     """
     spark = items.sparkSession
-    kept = items.columns
     texts = sources.select("key", "source").where(F.col("key").isNotNull() & F.col("source").isNotNull()).distinct()
     texts = texts.withColumn("_shape", skeleton_column(spark, "source", True))
     texts = texts.groupBy("key").agg(F.collect_list(F.struct("source", "_shape")).alias("_texts"))
-    rows = items.where(F.col("key").isNotNull() & (F.col("value") != "")).withColumn("_look", skeleton_column(spark, "value", True))
+    rows = items.where(F.col("key").isNotNull() & (F.col("value") != "")).select(F.struct("*").alias("_row"), "key", "value", "whole", skeleton_column(spark, "value", True).alias("_look"))
     met = skew_join(rows, texts, ["key"], "inner", None, hot_rows)
     exact = F.exists("_texts", lambda t: F.when(F.col("whole"), t["source"] == F.col("value")).otherwise(F.contains(t["source"], F.col("value"))))
     alike = F.exists("_texts", lambda t: F.when(F.col("whole"), t["_shape"] == F.col("_look")).otherwise(F.contains(t["_shape"], F.col("_look"))))
-    return met.where((F.col("_look") != "") & ~exact & alike).select(*kept)
+    return met.where((F.col("_look") != "") & ~exact & alike).select("_row.*")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_disguised(spark):
         (6, "A", "File", False), (7, None, "ﬁle", False), (8, "Z", "ﬁle", False), (9, "A", None, False), (10, "A", "", False), (11, "A", "​", False),
         (12, "B", "ｘ" * 200_000, True),
     ]
-    left = spark.createDataFrame(items, "source_id int, key string, value string, whole boolean")
+    left = spark.createDataFrame([(*x, 0, 0) for x in items], "source_id int, key string, value string, whole boolean, source int, _look int")
     right = spark.createDataFrame([("A", "the file", 1), ("A", "the file", 2), ("A", "other", 3), ("B", "x" * 200_000, 4), (None, "ﬁle", 5), ("A", None, 6)], "key string, source string, value int")
     for hot in (250_000, 2):
         assert sorted(r.source_id for r in disguised(left, right, hot).collect()) == [1, 1, 4, 12]
