@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alinea.functions.text import tokens
+from alinea.plans.skew import checked_broadcast
+from alinea.plans.stage import staged
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
 #: Decimal places that scores are ranked at, so that sums in another order rank alike.
@@ -52,6 +59,89 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25_top(queries: DataFrame, query: str, text: str, index: DataFrame, k: int | None = None) -> DataFrame:
-    """The best ``k`` items of each query by BM25; none for queries without a shared term."""
-    return ranked(bm25_scores(queries, query, text, index).where("score > 0"), k)
+#: Postings of a block of the index, and queries of a block.
+BLOCK_POSTINGS, BLOCK_QUERIES = 200_000, 1024
+
+
+class _Block:
+    """A block of the index as arrays: postings by term, items by number."""
+
+    def __init__(self, rows: pa.StructArray):
+        names = [f.name for f in rows.type]
+        terms, items = (pc.dictionary_encode(rows.field(names.index(n))) for n in ("term", "item"))
+        codes = terms.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        self.terms, self.items = terms.dictionary, items.dictionary
+        self.place = items.indices.to_numpy()[order]
+        self.impact = rows.field(names.index("impact")).to_numpy()[order]
+        self.start = np.searchsorted(codes[order], np.arange(len(self.terms) + 1))
+        self.groups: dict[str, np.ndarray] = {}
+        if "group" in names:
+            of = np.empty(len(self.items), dtype=object)
+            of[items.indices.to_numpy()] = rows.field(names.index("group")).to_numpy(zero_copy_only=False)
+            self.groups = {g: of == g for g in set(of)}
+
+    def top(self, codes: np.ndarray, allowed: list[str] | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the best ``k`` items and their ties for a query's terms (codes, -1 unknown)."""
+        scores = np.zeros(len(self.items))
+        for c in codes:
+            if c >= 0:
+                a, z = self.start[c], self.start[c + 1]
+                scores[self.place[a:z]] += self.impact[a:z]  # an item is in a term's postings once
+        if allowed is not None:
+            inside = np.zeros(len(scores), bool)
+            for g in allowed:
+                inside |= self.groups.get(g, False)
+            scores[~inside] = 0
+        scores = np.round(scores, PLACES)
+        there = np.flatnonzero(scores > 0)
+        if len(there) > k:
+            there = there[scores[there] >= np.partition(scores[there], -k)[-k]]
+        return there, scores[there]
+
+
+def _top_in_blocks(queries: DataFrame, query: str, text: str, index: DataFrame, k: int, groups: str | None) -> DataFrame:
+    """The best ``k`` items and their ties of each query in each block of the index; the queries come in blocks, too."""
+    q_type, i_type = dict(queries.dtypes)[query], dict(index.dtypes)["item"]
+    posts, asked = index.count() // BLOCK_POSTINGS + 1, queries.count() // BLOCK_QUERIES + 1
+    blocks = index.groupBy(F.pmod(F.xxhash64("item"), F.lit(posts)).alias("block")).agg(F.collect_list(F.struct(*index.columns)).alias("posts"))
+    allowed = F.col(groups) if groups else F.lit(None).cast("array<string>")
+    each = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("query"), tokens(text).alias("tokens"), allowed.alias("allowed"))
+    sets = each.groupBy(F.pmod(F.xxhash64("query"), F.lit(asked)).alias("set")).agg(F.collect_list(F.struct("query", "tokens", "allowed")).alias("queries")).drop("set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, _Block] | None = None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                number = batch.column("block")[at].as_py()
+                if held is None or held[0] != number:
+                    held = (number, _Block(batch.column("posts").slice(at, 1).flatten()))
+                block = held[1]
+                rows = batch.column("queries").slice(at, 1).flatten()
+                names, words, limits = (rows.field(i) for i in range(3))
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(int)
+                codes = pc.fill_null(pc.index_in(words.flatten(), block.terms), -1).to_numpy(zero_copy_only=False)
+                limits = limits.to_pylist()
+                found = [block.top(codes[ends[i] : ends[i + 1]], limits[i], k) for i in range(len(rows))]
+                which = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
+                items = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
+                scores = np.concatenate([f[1] for f in found]) if found else np.zeros(0)
+                yield pa.record_batch([names.take(pa.array(which)), block.items.take(pa.array(items)), pa.array(scores)], names=["query", "item", "score"])
+
+    blocks = staged(blocks, "index-blocks")
+    spread = staged(sets, "query-blocks").repartition(min(asked, 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    pairs = spread.join(checked_broadcast(blocks, posts))  # blocks with blocks: a stated set of queries against all items
+    return pairs.mapInArrow(run, f"query {q_type}, item {i_type}, score double")
+
+
+def bm25_top(queries: DataFrame, query: str, text: str, index: DataFrame, k: int | None = None, groups: str | None = None) -> DataFrame:
+    """The best ``k`` items of each query by BM25, all with a shared term if ``k`` is null; none for queries without one.
+
+    For a bounded ``k``, blocks of queries meet blocks of the index (``impacts``), and only the best ``k`` of a query and
+    block go on; without it all scored pairs are made. ``groups`` names a column of the queries with the groups (a
+    column ``group`` of the index) that they are limited to; weights still come from all items. Queries are keyed
+    uniquely.
+    """
+    if k is None:
+        return ranked(bm25_scores(queries, query, text, index).where("score > 0"))
+    return ranked(_top_in_blocks(queries, query, text, index, k, groups), k)

@@ -91,7 +91,7 @@ def dense_recall(spark: SparkSession, d: str) -> DataFrame:
 def _document_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     asked = docs.where("doc_id % 20 = 0 and title_en is not null")
-    lexical = bm25_top(asked, "doc_id", "title_en", impacts(docs, "doc_id", "text"), 40)
+    lexical = bm25_top(asked, "doc_id", "title_en", staged(impacts(docs, "doc_id", "text"), "impacts"), 40)
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     dense = dense_top(e.join(asked.select("doc_id"), "doc_id", "left_semi"), "doc_id", e, "doc_id", "embedding", 40)
     return docs, lexical, dense
@@ -167,11 +167,10 @@ def _shortlists(spark: SparkSession, d: str) -> DataFrame:
     leaves, controls = _leaf_queries(spark, d), staged(active_controls(spark, d), "controls")
     index = staged(impacts(controls.select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
     chosen = _routes(spark, d, leaves).select("query", F.col("item").alias("family"))
-    family = index.join(controls.select(F.col("control_id").alias("item"), "family"), "item")
-    asked = leaves.select(F.col("clause_id").alias("query"), F.explode(tokens("asked")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # Weights come from all controls; only the routed families' postings are scored.
-    routed = asked.join(chosen, "query").join(family, ["term", "family"])
-    scores = routed.groupBy("query", "item").agg(F.round(F.sum(F.col("qtf") * F.col("impact")), 6).alias("score")).where("score > 0")
+    grouped = index.join(controls.select(F.col("control_id").alias("item"), F.col("family").alias("group")), "item")
+    limits = chosen.groupBy(F.col("query").alias("clause_id")).agg(F.collect_list("family").alias("families"))
+    # Weights come from all controls; only those of the routed families are ranked.
+    scores = bm25_top(leaves.join(limits, "clause_id"), "clause_id", "asked", grouped, 5 * PLACES, "families").select("query", "item", "score")
     return staged(shortlist(scores, None, controls, chosen, PLACES), "shortlists")
 
 
