@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,21 @@ from alinea.operators.lexical import PLACES, ranked
 RRF_K = 60
 
 
+def embed(df: DataFrame, key: str, text: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "") -> DataFrame:
+    """``key, vector``: unit vectors of texts by a model that ``encoder`` loads once in each task; queries may need a ``prefix``.
+
+    Batches go to the model whole. A null text is encoded as an empty one; a zero vector stays zero.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder()
+        for pdf in batches:
+            v = np.asarray(encode([prefix + (t or "") for t in pdf[text]]), dtype=np.float32)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.DataFrame({key: pdf[key], "vector": list(v / np.where(size == 0, 1, size))})
+
+    return df.select(key, text).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, vector array<float>")
+
+
 #: Vectors of a block on either side of a dense product.
 BLOCK = 2048
 

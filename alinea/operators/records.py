@@ -122,3 +122,9 @@ def tallies(df: DataFrame, columns: list[str]) -> DataFrame:
 def _pair(name: str):
     return lambda x: F.struct(F.lit(name).alias("field"), x.cast("string").alias("value"))
 
+
+def repeated_sentences(c: Column | str) -> Column:
+    """Whether a text has a sentence twice (compared collapsed and regardless of case); false for null."""
+    each = F.transform(F.split(F.col(c) if isinstance(c, str) else c, r"[.!?]\s+"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"[.!?\s]+", " "))))
+    full = F.filter(each, lambda x: x != "")
+    return F.coalesce(F.size(F.array_distinct(full)) < F.size(full), F.lit(False))

@@ -141,6 +141,15 @@ def record_problems(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", records.problems(SCHEMA, docs.dtypes).alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("problems"))
 
 
+def record_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Per status: documents with a line break in the title, a sentence twice, no language, or a wrong character count."""
+    docs = table(spark, d, "documents")
+    return docs.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("title_en").rlike(r"[\r\n]")).alias("n_broken_titles"), F.count_if(records.repeated_sentences("text")).alias("n_repeating"),
+        F.count_if(F.coalesce("lang", F.lit("und")) == "und").alias("n_no_language"), F.count_if(F.col("n_chars") != F.length("text")).alias("n_miscounted"),
+    )
+
+
 def record_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text an earlier document has."""
     docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
@@ -234,7 +243,7 @@ _LAST = "(SELECT * FROM controls QUALIFY row_number() OVER (PARTITION BY control
 
 
 def queries() -> dict:
-    names = "clause_statistics catalogue_families family_coverage clause_coverage overall broader_targets parameter_gaps followed_families enumerations evidenced_absence best_examples record_problems record_repeats record_tallies related_tallies issuer_sources uncovered_years hash_drift sniffed_formats source_fingerprints encoded_register decoded_register key_suggestions record_order"
+    names = "clause_statistics catalogue_families family_coverage clause_coverage overall broader_targets parameter_gaps followed_families enumerations evidenced_absence best_examples record_problems record_guard record_repeats record_tallies related_tallies issuer_sources uncovered_years hash_drift sniffed_formats source_fingerprints encoded_register decoded_register key_suggestions record_order"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -273,6 +282,8 @@ SELECT subdomain, clause, n_accepted, top FROM p QUALIFY row_number() OVER (PART
   CASE WHEN doc_id < 1 THEN 'doc_id: below minimum' END, CASE WHEN length(text) < 20 THEN 'text: too short' END, CASE WHEN lang NOT IN ({langs}) THEN 'lang: not in list' END,
   CASE WHEN NOT regexp_matches(source, '^(?:{p['source']['pattern']})') THEN 'source: pattern' END, CASE WHEN length(title_en) < 3 THEN 'title_en: too short' END,
   CASE WHEN status NOT IN ({states}) THEN 'status: not in list' END, CASE WHEN year < 2012 THEN 'year: below minimum' END, CASE WHEN year > 2025 THEN 'year: above maximum' END], lambda x: x IS NOT NULL), '|') AS problems FROM documents) WHERE problems <> ''""",
+        "record_guard": r"""WITH s AS (SELECT *, list_filter(list_transform(string_split_regex(text, '[.!?]\s+'), lambda x: lower(trim(regexp_replace(x, '[.!?\s]+', ' ', 'g')))), lambda x: x <> '') AS l FROM documents)
+SELECT status, count(*) AS n, count(*) FILTER (regexp_matches(title_en, '[\r\n]')) AS n_broken_titles, count(*) FILTER (len(list_distinct(l)) < len(l)) AS n_repeating, count(*) FILTER (coalesce(lang, 'und') = 'und') AS n_no_language, count(*) FILTER (n_chars <> length(text)) AS n_miscounted FROM s GROUP BY 1""",
         "record_repeats": "SELECT doc_id, first_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_doc_id FROM documents WHERE text <> '') WHERE doc_id > first_doc_id",
         "record_tallies": " UNION ALL ".join(f"SELECT '{c}' AS field, {c}::VARCHAR AS value, count(*) AS n FROM documents GROUP BY 2" for c in ("status", "lang", "issuing_body", "year")),
         "related_tallies": f"WITH {_CTL} SELECT 'related_family' AS field, split_part(r, '-', 1) AS value, count(*) AS n FROM (SELECT unnest(related) AS r FROM ctl) GROUP BY 2",

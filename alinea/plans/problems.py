@@ -84,9 +84,30 @@ WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.src_table = k.src_table AND s.re
 """
 
 
+P3_SQL = r"""
+WITH raw AS (SELECT line_no, regexp_replace(payload, '^\s*```(json)?\s*|\s*```\s*$', '', 'g') AS t FROM findings_raw),
+doc AS (SELECT line_no, CAST(t AS JSON) AS j FROM raw WHERE json_valid(t)),
+lists AS (SELECT line_no, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN json_type(j, '$.batch.records') = 'ARRAY' THEN CAST(j -> '$.batch.records' AS JSON[]) ELSE [j] END AS l FROM doc),
+records AS (SELECT line_no, record_no, l[record_no] AS r FROM (SELECT line_no, l, unnest(range(1, len(l) + 1)) AS record_no FROM lists)),
+held AS (SELECT line_no, record_no, coalesce(r ->> '$.clause_id', r ->> '$.clause.clause_id', '') AS clause_id, coalesce(r -> '$.findings', r -> '$.result.findings', r -> '$.result.judge.findings') AS f FROM records WHERE json_type(r) = 'OBJECT'),
+opened AS (SELECT * REPLACE (CASE WHEN json_type(f) = 'VARCHAR' THEN CASE WHEN json_valid(f ->> '$') THEN CAST(f ->> '$' AS JSON) END ELSE f END AS f) FROM held),
+found AS (SELECT line_no, record_no, clause_id, CASE json_type(f) WHEN 'ARRAY' THEN CAST(f AS JSON[]) WHEN 'OBJECT' THEN [f] ELSE [] END AS l FROM opened),
+judged AS (SELECT line_no, record_no, clause_id, finding_no, l[finding_no] AS f FROM (SELECT *, unnest(range(1, len(l) + 1)) AS finding_no FROM found)),
+debated AS (SELECT line_no, record_no, clause_id, finding_no, CASE json_type(d) WHEN 'ARRAY' THEN CAST(d AS JSON[]) WHEN 'OBJECT' THEN [d] ELSE [] END AS l
+  FROM (SELECT *, coalesce(f -> '$.debate.rounds', f -> '$.rounds') AS d FROM judged WHERE json_type(f) = 'OBJECT')),
+rounds AS (SELECT *, l[round_no] AS x FROM (SELECT *, unnest(range(1, len(l) + 1)) AS round_no FROM debated)),
+flat AS (
+  SELECT 'findings_raw' AS src_table, line_no, record_no, finding_no, 0 AS round_no, clause_id, f ->> '$.control_id' AS control_id, f ->> '$.relationship' AS relationship FROM judged WHERE json_type(f) = 'OBJECT'
+  UNION ALL SELECT 'findings_raw', line_no, record_no, finding_no, round_no, clause_id, x ->> '$.ruling.control_id', x ->> '$.ruling.relationship' FROM rounds WHERE json_type(x) = 'OBJECT'
+  UNION ALL SELECT 'findings_sample', line_no, 1, i, 0, coalesce(clause_id, ''), findings[i].control_id, findings[i].relationship
+    FROM (SELECT line_no, clause_id, findings, unnest(range(1, len(findings) + 1)) AS i FROM findings_sample) WHERE findings[i] IS NOT NULL)
+SELECT src_table, line_no, record_no::INT AS record_no, finding_no::INT AS finding_no, round_no::INT AS round_no, clause_id, coalesce(control_id, '') AS control_id, coalesce(relationship, '') AS relationship FROM flat
+"""
+
+
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL}
