@@ -76,7 +76,8 @@ def pdf_pages(files: DataFrame, reader: Callable[[], Callable[[bytes], list[str]
                     bodies = read(bytes(content))
                 except Exception:
                     bodies = []
-                yield pd.DataFrame({"path": [path] * len(bodies), "page": range(1, len(bodies) + 1), "body": bodies}).astype({"page": "int32"})
+                if bodies:
+                    yield pd.DataFrame({"path": [path] * len(bodies), "page": range(1, len(bodies) + 1), "body": bodies}).astype({"page": "int32"})
 
     return files.select("path", "content").mapInPandas(run, "path string, page int, body string")
 
@@ -117,7 +118,7 @@ def download(rows: DataFrame, key: str, url: str, opener: Callable[[str], tuple[
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [fetch(u) for u in pdf[url]]
-            yield pd.DataFrame({key: pdf[key], "content": [g[0] for g in got], "status": pd.Series([g[1] for g in got], dtype="int32"), "content_type": [g[2] for g in got]})
+            yield pd.DataFrame({key: pdf[key], "content": pd.Series([g[0] for g in got], dtype=object), "status": pd.Series([g[1] for g in got], dtype="int32"), "content_type": [g[2] for g in got]})
 
     out = rows.select(key, url).where(F.col(url).isNotNull()).mapInPandas(run, f"`{key}` {kind}, content binary, status int, content_type string")
     return out.withColumn("sha256", F.sha2("content", 256))
