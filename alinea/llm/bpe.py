@@ -24,8 +24,8 @@ import regex
 #: The split of texts before merging, as in the vocabulary's description. White space is spelt out, so
 #: that it is Unicode's property and not the library's own class.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: States, and whole parts with their tokens, that are kept before the tables start anew.
-MAX_STATES, MAX_PARTS = 400_000, 400_000
+#: States, whole parts with their tokens, and pairs of tokens that are kept before each table starts anew.
+MAX_STATES, MAX_PARTS, MAX_PAIRS = 150_000, 200_000, 500_000
 _NEVER = 1 << 60
 
 
@@ -74,7 +74,7 @@ class Merges:
         known = self._adjacent.get((a, b))
         if known is None:
             known = not any((r := self.rank.get((x, y), _NEVER)) < x_until and r <= y_until for x, x_until in self.right[a] for y, y_until in self.left[b] if (x, y) in self.rank)
-            if len(self._adjacent) > 4_000_000:
+            if len(self._adjacent) > MAX_PAIRS:
                 self._adjacent.clear()
             self._adjacent[(a, b)] = known
         return known
