@@ -56,34 +56,44 @@ def _pause(p: str, q: str, newlines: int) -> int:
     return BLANK if p[-1].isspace() else INNER
 
 
-def borders(text: str, t: Transducer) -> Borders:
-    """Token borders of ``text`` with their pauses."""
+def borders(text: str, t: Transducer, more_than: int = -1) -> Borders | None:
+    """Token borders of ``text`` with their pauses; null if it has no more tokens than ``more_than``."""
+    parts = t.split(text)
+    encoded = [t.part(p) for p in parts]
+    if sum(map(len, encoded)) <= more_than:
+        return None
     size = t.merges.size
-    char, pause, at, newlines, before = [0], [END], 0, 0, None
-    for p in t.split(text):
-        if before is not None:
-            pause[-1] = _pause(before, p, newlines)
-        newlines = (newlines if before is not None and before.isspace() else 0) + p.count("\n") if p.isspace() else 0
-        ids = t.part(p)
+    char, pause, at, newlines, before = [0], [END], 0, 0, ""
+    for p, ids in zip(parts, encoded):
+        blank = p.isspace()
+        if newlines or blank or not before[-1:].isalnum():
+            if before:
+                pause[-1] = _pause(before, p, newlines)
+        else:  # behind a word
+            pause[-1] = BLANK if p[0] == " " else INNER
+        newlines = p.count("\n") + (newlines if before.isspace() else 0) if blank else 0
         if len(ids) == 1:
-            char.append(at + len(p))
-        elif p.isascii():
-            end = at
-            for i in ids:
-                end += size[i]
-                char.append(end)
+            at += len(p)
+            char.append(at)
+            pause.append(TOKEN)
         else:
-            place, n = {0: 0}, 0
-            for k, c in enumerate(p, 1):
-                n += len(c.encode("utf-8", "replace"))
-                place[n] = k
-            n = 0
-            for i in ids:
-                n += size[i]
-                char.append(at + place[n] if n in place else -1)
-        pause += [TOKEN] * len(ids)
-        at += len(p)
-        before = p
+            if p.isascii():
+                end = at
+                for i in ids:
+                    end += size[i]
+                    char.append(end)
+            else:
+                place, n = {0: 0}, 0
+                for k, c in enumerate(p, 1):
+                    n += len(c.encode("utf-8", "replace"))
+                    place[n] = k
+                n = 0
+                for i in ids:
+                    n += size[i]
+                    char.append(at + place[n] if n in place else -1)
+            at += len(p)
+            pause += [TOKEN] * len(ids)
+        before = p[-8:]
     pause[-1] = END
     return Borders(char, pause)
 
@@ -146,6 +156,19 @@ def cut(b: Borders, limit: Limit) -> list[int]:
     return parts
 
 
+def _cut_alike(text: str, b: Borders, x: int, y: int) -> bool:
+    """Whether the text between two borders is surely encoded by the tokens between them.
+
+    A stretch of a word's tokens is the encoding of its bytes, and the split of a text into words goes on alike from
+    any border, but for an apostrophe that only begins a word when cut from its marks, and white space at the end,
+    which no longer leaves its last character to what follows.
+    """
+    a, z = b.char[x], b.char[y]
+    if b.pause[x] == TOKEN and text[a] == "'":
+        return False
+    return not text[z - 1].isspace() or (z - 2 < a or not text[z - 2].isspace())
+
+
 def pieces(text: str, limit: Limit, t: Transducer, b: Borders) -> Iterator[tuple[int, int, int, int, int]]:
     """(first character, end, tokens of the piece's text, shared tokens, pause at the end) for each piece in order."""
     parts = cut(b, limit)
@@ -153,7 +176,7 @@ def pieces(text: str, limit: Limit, t: Transducer, b: Borders) -> Iterator[tuple
     while todo:
         x, y = todo.pop()
         start = _shared(b, x, limit.overlap) if x else 0
-        n = len(t.encode(text[b.char[start] : b.char[y]]))
+        n = y - start if _cut_alike(text, b, start, y) else len(t.encode(text[b.char[start] : b.char[y]]))
         inner = [i for i in range(x + 1, y) if b.char[i] >= 0] if n > limit.max_tokens else None
         if inner:  # cut from its surroundings, a stretch can take more tokens: it is halved at its strongest pause
             at = max(inner, key=lambda i: (b.pause[i], -abs(2 * i - x - y)))
@@ -195,8 +218,8 @@ def split_oversized(df: DataFrame, key: str, text: str, limits: list[Limit], tok
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not value or len(value.encode("utf-8", "replace")) <= least:  # a token has one byte at least
                     continue
-                b = borders(value, t)
-                for limit in limits:
+                b = borders(value, t, least)
+                for limit in limits if b else ():
                     if len(b.char) - 1 > limit.max_tokens:
                         for no, (x, y, n, shared, end) in enumerate(pieces(value, limit, t, b), 1):
                             rows.append((limit.name, name, no, x, y, n, shared, PAUSES[end], value[x:y]))
