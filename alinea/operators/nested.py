@@ -215,9 +215,11 @@ def flatten_judgments(occurrences: DataFrame, hot_rows: int = 250_000) -> DataFr
     Values are read from the distinct objects through the bridge rows; a hash that a large share of rows points to is
     salted. Absent and null values are empty strings, as are those of a round without a ruling.
     """
-    named = {c: F.coalesce(F.get_json_object("canonical", f"$.{c}"), F.lit("")) for c in ("control_id", "relationship")}
-    inner = {c: F.when(v.startswith('{"#":'), "").otherwise(v) for c, v in named.items()}
-    values = merkle_objects(occurrences.select("node_hash", "kind", "canonical").where("canonical is not null")).select(F.col("node_hash").alias("value_hash"), *[v.alias(c) for c, v in inner.items()])
+    named = {c: F.get_json_object("canonical", f"$.{c}") for c in ("control_id", "relationship")}
+    inner = {c: F.when(~v.startswith('{"#":'), v) for c, v in named.items()}
+    # Only the two values of each distinct object that has them are shuffled, not the objects.
+    read = occurrences.where("canonical is not null and kind = 'object'").select("node_hash", *[v.alias(c) for c, v in inner.items()]).where("control_id is not null or relationship is not null")
+    values = read.groupBy(F.col("node_hash").alias("value_hash")).agg(*[F.first(c).alias(c) for c in inner])
     rows = occurrences.where(F.col("role").isin("judgment", "round")).select("src_table", "line_no", "record_no", "finding_no", "round_no", "clause_id", "value_hash")
     out = skew_join(rows, values, ["value_hash"], "left", None, hot_rows)
     return out.select("src_table", "line_no", "record_no", "finding_no", "round_no", "clause_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("control_id", "relationship")])
