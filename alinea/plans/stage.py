@@ -34,7 +34,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, so later plans neither recompute nor depend on executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alinea-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_drop_all)
     _WRITTEN.append((spark, path))
