@@ -122,6 +122,7 @@ class Transducer:
     def __init__(self, merges: Merges, pattern: str = PATTERN):
         self.merges, self.split = merges, regex.compile(pattern).findall
         self._parts: dict[str, tuple[int, ...]] = {}
+        self.known = self._parts.get  # the ids of a part met before, or none
         self._reset()
 
     def _reset(self) -> None:
@@ -206,7 +207,7 @@ class Transducer:
         """Ids of ``text`` without special tokens; an empty list for an empty or null text."""
         out: list[int] = []
         if text:
-            known, part = self._parts.get, self.part
+            known, part = self.known, self.part
             for p in self.split(text):
                 out += known(p) or part(p)
         return out

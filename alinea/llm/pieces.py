@@ -58,8 +58,9 @@ def _pause(p: str, q: str, newlines: int) -> int:
 
 def borders(text: str, t: Transducer, more_than: int = -1) -> Borders | None:
     """Token borders of ``text`` with their pauses; null if it has no more tokens than ``more_than``."""
+    known, part = t.known, t.part
     parts = t.split(text)
-    encoded = [t.part(p) for p in parts]
+    encoded = [known(p) or part(p) for p in parts]
     if sum(map(len, encoded)) <= more_than:
         return None
     size = t.merges.size
@@ -156,17 +157,25 @@ def cut(b: Borders, limit: Limit) -> list[int]:
     return parts
 
 
-def _cut_alike(text: str, b: Borders, x: int, y: int) -> bool:
-    """Whether the text between two borders is surely encoded by the tokens between them.
+def _size(text: str, b: Borders, x: int, y: int, t: Transducer) -> int:
+    """Tokens of the text between two borders, encoded on its own.
 
-    A stretch of a word's tokens is the encoding of its bytes, and the split of a text into words goes on alike from
-    any border, but for an apostrophe that only begins a word when cut from its marks, and white space at the end,
-    which no longer leaves its last character to what follows.
+    Mostly the tokens between them: a stretch of a word's tokens is the encoding of its bytes, and the split of a text
+    into words goes on alike from any border. An apostrophe cut from marks before it may begin a word, so then all is
+    encoded anew; white space at the end no longer leaves its last character to what follows, so it is encoded anew.
     """
     a, z = b.char[x], b.char[y]
     if b.pause[x] == TOKEN and text[a] == "'":
-        return False
-    return not text[z - 1].isspace() or (z - 2 < a or not text[z - 2].isspace())
+        return len(t.encode(text[a:z]))
+    end = len(text[a:z].rstrip()) + a
+    if z - end < 2:
+        return y - x
+    k = y
+    while k > x and not 0 <= b.char[k] <= end:
+        k -= 1
+    if k == x or b.char[k] != end:
+        return len(t.encode(text[a:z]))
+    return k - x + len(t.encode(text[end:z]))
 
 
 def pieces(text: str, limit: Limit, t: Transducer, b: Borders) -> Iterator[tuple[int, int, int, int, int]]:
@@ -176,7 +185,7 @@ def pieces(text: str, limit: Limit, t: Transducer, b: Borders) -> Iterator[tuple
     while todo:
         x, y = todo.pop()
         start = _shared(b, x, limit.overlap) if x else 0
-        n = y - start if _cut_alike(text, b, start, y) else len(t.encode(text[b.char[start] : b.char[y]]))
+        n = _size(text, b, start, y, t)
         inner = [i for i in range(x + 1, y) if b.char[i] >= 0] if n > limit.max_tokens else None
         if inner:  # cut from its surroundings, a stretch can take more tokens: it is halved at its strongest pause
             at = max(inner, key=lambda i: (b.pause[i], -abs(2 * i - x - y)))
