@@ -27,7 +27,7 @@ def _haystacks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     clauses, closure = _clause_tree(spark, d)
     full = roll_up(clauses, closure, "clause_id", "text", path_order("path"))
     focal = clauses.join(full, "clause_id").select(norm_key("clause_id").alias("key"), F.concat_ws(" ", "text", "full_text").alias("text"))
-    target = active_controls(spark, d).select(norm_key("control_id").alias("key"), F.concat_ws(" ", "statement", "guidance").alias("text"))
+    target = active_controls(spark, d, "statement", "guidance").select(norm_key("control_id").alias("key"), F.concat_ws(" ", "statement", "guidance").alias("text"))
     return focal, target
 
 
@@ -134,8 +134,8 @@ def mock_gate(spark: SparkSession, d: str) -> DataFrame:
     best = c.groupBy(F.col("clause_id").alias("query"), "control_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "control_id")
     top = best.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    clauses = active_clauses(spark, d).select(F.col("clause_id").alias("key"), "text")
-    controls = active_controls(spark, d).select(F.col("control_id").alias("key"), F.col("statement").alias("text"))
+    clauses = active_clauses(spark, d, "text").select(F.col("clause_id").alias("key"), "text")
+    controls = active_controls(spark, d, "statement").select(F.col("control_id").alias("key"), F.col("statement").alias("text"))
     made = evidence.mock_proposals(top, clauses, controls)
     rows = made.withColumnRenamed("query", "clause_id").withColumn("offered", F.array("control_id"))
     focal, target = (x.withColumn("key", norm_key("key")) for x in (clauses, controls))
@@ -169,15 +169,15 @@ def lines_to_repeat(spark: SparkSession, d: str) -> DataFrame:
     from alinea.streaming.resume import still_to_do
 
     done = table(spark, d, "findings_sample").select("clause_id", F.col("parse_error").alias("error"))
-    return still_to_do(active_clauses(spark, d).select("clause_id"), done, "clause_id")
+    return still_to_do(active_clauses(spark, d, "clause_id").select("clause_id"), done, "clause_id")
 
 
 def prompt_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of a clause with all its candidates: their number and estimated tokens by framework."""
     c = table(spark, d, "candidates").where("clause_id is not null and control_id is not null").select("clause_id", "control_id").distinct()
-    controls = active_controls(spark, d).select("control_id", "title", "statement")
+    controls = active_controls(spark, d, "title", "statement").select("control_id", "title", "statement")
     per = c.join(controls, "control_id").groupBy("clause_id").agg(F.array_sort(F.collect_list(F.struct("control_id", "title", "statement"))).alias("candidates"))
-    rows = active_clauses(spark, d).select("clause_id", "framework", "text").join(per, "clause_id")
+    rows = active_clauses(spark, d, "framework", "text").select("clause_id", "framework", "text").join(per, "clause_id")
     made = evidence.prompts(rows, {"clause_id": "Clause", "text": "Text"})
     return made.groupBy("framework").agg(F.count(F.lit(1)).alias("n"), F.sum(evidence.estimated_tokens("prompt")).alias("n_tokens"), F.max(F.length("prompt")).alias("longest"))
 

@@ -36,7 +36,7 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
 
 def clause_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Clauses by framework and subdomain, pivoted by kind, with a key that sorts subdomains as numbers."""
-    c = active_clauses(spark, d)
+    c = active_clauses(spark, d, "framework", "subdomain", "clause_type", "has_numeric_param", "deontic", "level")
     kinds = [F.count_if(F.col("clause_type") == k).alias(k) for k in KINDS]
     g = c.groupBy("framework", "subdomain").agg(*kinds, F.count(F.lit(1)).alias("n"), F.count_if("has_numeric_param").alias("n_with_value"), F.count_if(F.col("deontic").isNotNull()).alias("n_modal"), F.max("level").alias("depth"))
     return g.withColumn("sort_key", F.array_join(F.transform(natural_key("subdomain"), lambda x: F.lpad(x.cast("string"), 4, "0")), "."))
@@ -54,7 +54,7 @@ def catalogue_families(spark: SparkSession, d: str) -> DataFrame:
 
 def family_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per family: active controls, those without an accepted finding, those in no shortlist row, with percentages (half to even)."""
-    c = active_controls(spark, d).select("family", norm_key("control_id").alias("control"))
+    c = active_controls(spark, d, "family").select("family", norm_key("control_id").alias("control"))
     accepted = _findings(spark, d).where("status = 'accepted'").select("control").where("control is not null").distinct().withColumn("_a", F.lit(1))
     reached = table(spark, d, "candidates").select(norm_key("control_id").alias("control")).where("control is not null").distinct().withColumn("_r", F.lit(1))
     g = c.join(accepted, "control", "left").join(reached, "control", "left").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_a").isNull()).alias("n_unmatched"), F.count_if(F.col("_r").isNull()).alias("n_unreached"))
@@ -64,7 +64,7 @@ def family_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def clause_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per framework and subdomain: leaf clauses by the best that their findings say: accepted, other, none, not judged."""
-    c = active_clauses(spark, d)
+    c = active_clauses(spark, d, "framework", "subdomain", "clause_type", "parent_id")
     stems = c.select(F.col("parent_id").alias("clause_id")).where("clause_id is not null").distinct()
     leaves = c.where("clause_type <> 'referential'").join(stems, "clause_id", "left_anti").select("framework", "subdomain", norm_key("clause_id").alias("clause"))
     judged = table(spark, d, "findings_sample").select(norm_key("clause_id").alias("clause"), "findings").where("clause is not null")
@@ -77,7 +77,7 @@ def clause_coverage(spark: SparkSession, d: str) -> DataFrame:
 def overall(spark: SparkSession, d: str) -> DataFrame:
     """One row of sizes: controls, clauses, pairs, shortlist rows, findings and documents."""
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    out = one(active_controls(spark, d), "n_controls").crossJoin(one(active_clauses(spark, d), "n_clauses"))  # one row each, as below
+    out = one(active_controls(spark, d, "control_id"), "n_controls").crossJoin(one(active_clauses(spark, d, "clause_id"), "n_clauses"))  # one row each, as below
     out = out.crossJoin(one(table(spark, d, "candidates"), "n_candidates")).crossJoin(one(_findings(spark, d), "n_findings")).crossJoin(one(table(spark, d, "documents"), "n_documents"))
     return out.withColumn("n_pairs", F.col("n_controls") * F.col("n_clauses"))
 
@@ -85,21 +85,21 @@ def overall(spark: SparkSession, d: str) -> DataFrame:
 def broader_targets(spark: SparkSession, d: str) -> DataFrame:
     """Findings whose clause is broader than the control, with a short form of the clause."""
     f = _findings(spark, d).where("relationship = 'superset_of'")
-    texts = active_clauses(spark, d).select(norm_key("clause_id").alias("clause"), clip("text", 40).alias("short"))
+    texts = active_clauses(spark, d, "text").select(norm_key("clause_id").alias("clause"), clip("text", 40).alias("short"))
     return f.select("line_no", "finding_no", "clause", "control", "confidence").join(texts, "clause", "left")
 
 
 def parameter_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Findings with an open parameter by whether their clause states a value: hard and soft gaps."""
     f = _findings(spark, d).where("parameter_gap")
-    values = active_clauses(spark, d).select(norm_key("clause_id").alias("clause"), "has_numeric_param")
+    values = active_clauses(spark, d, "has_numeric_param").select(norm_key("clause_id").alias("clause"), "has_numeric_param")
     met = f.join(values, "clause", "left")
     return met.groupBy(F.when(F.col("has_numeric_param"), "hard").otherwise("soft").alias("kind"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def followed_families(spark: SparkSession, d: str) -> DataFrame:
     """Controls of the followed families: how many there are, and how many findings and accepted findings match them."""
-    c = active_controls(spark, d).where(F.col("family").isin(FOLLOWED)).select("family", norm_key("control_id").alias("control"))
+    c = active_controls(spark, d, "family").where(F.col("family").isin(FOLLOWED)).select("family", norm_key("control_id").alias("control"))
     f = _findings(spark, d).groupBy("control").agg(F.count(F.lit(1)).alias("nf"), F.count_if(F.col("status") == "accepted").alias("na"))
     g = c.join(f, "control", "left").groupBy("family")
     return g.agg(F.count(F.lit(1)).alias("n_controls"), F.count("nf").alias("n_found"), F.count_if(F.col("na") > 0).alias("n_accepted"))
@@ -107,7 +107,7 @@ def followed_families(spark: SparkSession, d: str) -> DataFrame:
 
 def enumerations(spark: SparkSession, d: str) -> DataFrame:
     """Short sub-items that list things and say nothing themselves, per framework, with the share of its clauses."""
-    c = active_clauses(spark, d)
+    c = active_clauses(spark, d, "framework", "parent_id", "deontic", "text")
     listed = F.col("parent_id").isNotNull() & F.col("deontic").isNull() & (F.length("text") < 70) & F.col("text").rlike(r"[;.]$") & ~F.col("text").rlike(r"(?i)\b(is|are|must|shall|should|may|ensure|define|review)\b")
     return c.groupBy("framework").agg(F.count(F.lit(1)).alias("n"), F.count_if(listed).alias("n_listed"))
 
@@ -163,7 +163,7 @@ def record_tallies(spark: SparkSession, d: str) -> DataFrame:
 
 def related_tallies(spark: SparkSession, d: str) -> DataFrame:
     """Families that active controls' related lists name, element by element."""
-    c = active_controls(spark, d).select(F.transform("related", lambda x: F.split_part(x, F.lit("-"), F.lit(1))).alias("related_family"))
+    c = active_controls(spark, d, "related").select(F.transform("related", lambda x: F.split_part(x, F.lit("-"), F.lit(1))).alias("related_family"))
     return records.tallies(c, ["related_family"])
 
 
@@ -199,13 +199,13 @@ def sniffed_formats(spark: SparkSession, d: str) -> DataFrame:
 
 def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Per family of controls the fingerprint of their keys in order."""
-    c = active_controls(spark, d).groupBy("family").agg(F.array_sort(F.collect_list("control_id")).alias("ids"))
+    c = active_controls(spark, d, "family").groupBy("family").agg(F.array_sort(F.collect_list("control_id")).alias("ids"))
     return c.select("family", fingerprint(F.col("ids")).alias("fingerprint"))
 
 
 def encoded_register(spark: SparkSession, d: str) -> DataFrame:
     """Controls as a register's text columns: lists joined, booleans as words, null as empty."""
-    return records.encode(active_controls(spark, d).select("control_id", "is_enhancement", "parent_id", "related", "n_params"))
+    return records.encode(active_controls(spark, d, "is_enhancement", "parent_id", "related", "n_params").select("control_id", "is_enhancement", "parent_id", "related", "n_params"))
 
 
 def decoded_register(spark: SparkSession, d: str) -> DataFrame:

@@ -16,17 +16,24 @@ from alinea.sources.tables import table
 FAMILIES, PLACES = 5, 10
 
 
-def active_controls(spark: SparkSession, d: str) -> DataFrame:
-    return current(table(spark, d, "controls"), "control_id", "loaded_at", "withdrawn_at").where(~F.col("withdrawn"))
+#: Columns that index texts, profiles and the clause tree are made of.
+INDEXED, PROFILED = ("title", "family_title", "statement"), ("family", "family_title", "title", "is_enhancement")
+TREE = ("parent_id", "path", "text", "framework", "subdomain", "subdomain_title", "clause_type", "deontic")
 
 
-def active_clauses(spark: SparkSession, d: str) -> DataFrame:
-    c = current(table(spark, d, "clauses"), "clause_id", "loaded_at", "retired_at")
-    return c.withColumn("text", collapse("text"))
+def active_controls(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Controls that hold now, with ``columns`` (all, if none are named)."""
+    return current(table(spark, d, "controls"), "control_id", "loaded_at", "withdrawn_at", ("withdrawn", *columns) if columns else ()).where(~F.col("withdrawn"))
+
+
+def active_clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Clauses that hold now, their texts collapsed, with ``columns`` (all, if none are named)."""
+    c = current(table(spark, d, "clauses"), "clause_id", "loaded_at", "retired_at", columns)
+    return c.withColumn("text", collapse("text")) if "text" in c.columns else c
 
 
 def _clause_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    clauses = staged(active_clauses(spark, d), "clauses")
+    clauses = staged(active_clauses(spark, d, *TREE), "clauses")
     return clauses, ancestors(clauses, "clause_id", "parent_id")
 
 
@@ -50,18 +57,18 @@ def _leaf_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each active control's index text."""
-    t = active_controls(spark, d).select("control_id", tokens(target_text()).alias("t"))
+    t = active_controls(spark, d, *INDEXED).select("control_id", tokens(target_text()).alias("t"))
     return t.select("control_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
 
 
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of each term of the active controls."""
-    items = active_controls(spark, d).select("control_id", target_text().alias("t"))
+    items = active_controls(spark, d, *INDEXED).select("control_id", target_text().alias("t"))
     return term_stats(postings(items, "control_id", "t"), items).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return staged(impacts(active_controls(spark, d).select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
+    return staged(impacts(active_controls(spark, d, *INDEXED).select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +120,7 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """One profile text for each family of active controls."""
-    return family_profiles(active_controls(spark, d))
+    return family_profiles(active_controls(spark, d, *PROFILED))
 
 
 def _routes(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
@@ -133,7 +140,7 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 def route_frequency(spark: SparkSession, d: str) -> DataFrame:
     """How often each family is chosen, with a bar of up to 40 marks; families never chosen have 0 and no bar."""
     chosen = _routes(spark, d, _leaf_queries(spark, d)).groupBy(F.col("item").alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    all_ = active_controls(spark, d).select("family").distinct().join(chosen, "family", "left").select("family", F.coalesce("n", F.lit(0)).alias("n"))
+    all_ = active_controls(spark, d, "family").select("family").distinct().join(chosen, "family", "left").select("family", F.coalesce("n", F.lit(0)).alias("n"))
     most = all_.agg(F.max("n").alias("most"))
     bar = F.when(F.col("n") > 0, F.expr("repeat('#', int(greatest(1, n * 40 div most)))")).otherwise("")
     return all_.crossJoin(F.broadcast(most)).select("family", "n", bar.alias("bar"))  # most: one row
@@ -142,7 +149,7 @@ def route_frequency(spark: SparkSession, d: str) -> DataFrame:
 def route_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of clause and control without and with routing, and the reduction in whole percent."""
     leaves = _leaf_queries(spark, d)
-    per = active_controls(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    per = active_controls(spark, d, "family").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     routed = _routes(spark, d, leaves).join(per.withColumnRenamed("family", "item"), "item").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_routed"))
     n = leaves.agg(F.count(F.lit(1)).alias("n_clauses")).crossJoin(per.agg(F.sum("n").alias("n_controls")))  # one row each
     out = n.crossJoin(routed).withColumn("pairs_full", F.col("n_clauses") * F.col("n_controls"))
@@ -164,7 +171,7 @@ def route_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shortlists(spark: SparkSession, d: str) -> DataFrame:
-    leaves, controls = _leaf_queries(spark, d), staged(active_controls(spark, d), "controls")
+    leaves, controls = _leaf_queries(spark, d), staged(active_controls(spark, d, *INDEXED, "family", "is_enhancement", "parent_id"), "controls")
     index = staged(impacts(controls.select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
     chosen = _routes(spark, d, leaves).select("query", F.col("item").alias("family"))
     grouped = index.join(controls.select(F.col("control_id").alias("item"), F.col("family").alias("group")), "item")
@@ -182,7 +189,7 @@ def shortlists(spark: SparkSession, d: str) -> DataFrame:
 def shortlist_stats(spark: SparkSession, d: str) -> DataFrame:
     """Per family: shortlisted pairs, those of enhancements, lifted ones, distinct controls, and controls never reached."""
     s = _shortlists(spark, d)
-    per = active_controls(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n_controls"))
+    per = active_controls(spark, d, "family").groupBy("family").agg(F.count(F.lit(1)).alias("n_controls"))
     got = s.groupBy("family").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("is_enhancement").alias("n_enhancements"), F.count_if("parent_lifted").alias("n_lifted"), F.count_distinct("control_id").alias("n_reached"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_enhancements", "n_lifted", "n_reached")]
     return per.join(got, "family", "left").select("family", "n_controls", *zero, (F.col("n_controls") - F.coalesce("n_reached", F.lit(0))).alias("n_never"))
@@ -190,7 +197,7 @@ def shortlist_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def never_shortlisted(spark: SparkSession, d: str) -> DataFrame:
     """Active controls on no shortlist."""
-    return active_controls(spark, d).select("control_id", "family").join(_shortlists(spark, d).select("control_id"), "control_id", "left_anti")
+    return active_controls(spark, d, "family").select("control_id", "family").join(_shortlists(spark, d).select("control_id"), "control_id", "left_anti")
 
 
 def shortlist_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +209,7 @@ def shortlist_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def clause_children(spark: SparkSession, d: str) -> DataFrame:
     """Children of each clause in order."""
-    kids = children(active_clauses(spark, d), "clause_id", "parent_id", path_order("path"))
+    kids = children(active_clauses(spark, d, "parent_id", "path"), "clause_id", "parent_id", path_order("path"))
     return kids.select("clause_id", "n_children", F.array_join("child_ids", "|").alias("child_ids"))
 
 
