@@ -55,6 +55,29 @@ def grade(errors: Column, confidence: Column, least: float) -> Column:
     return F.when(F.size(errors) > 0, "rejected").when(confidence >= least, "accepted").otherwise("disputed")
 
 
+def in_band(confidence: Column, status: Column, low: float | None = None, below: float | None = None) -> Column:
+    """Whether a finding is up for debate: its confidence lies in [low, below), either bound may be open; rejected ones never are.
+
+    A null confidence counts as 0.
+    """
+    c = F.coalesce(confidence, F.lit(0.0))
+    inside = (F.lit(True) if low is None else c >= low) & (F.lit(True) if below is None else c < below)
+    return inside & (F.coalesce(status, F.lit("")) != "rejected")
+
+
+def resolve(ruling: Column, errors: Column, confidence: Column, least: float) -> Column:
+    """The status after a ruling: upheld and revised findings pass the gate again, rejected ones are rejected_by_debate, others unresolved."""
+    return F.when(ruling.isin("uphold", "revise"), grade(errors, confidence, least)).when(ruling == "reject", "rejected_by_debate").otherwise("unresolved")
+
+
+def changed(ruling: Column, before: list[Column], after: list[Column]) -> Column:
+    """Whether a ruling revises a finding and one of its values differs."""
+    differs = F.lit(False)
+    for b, a in zip(before, after):
+        differs = differs | ~b.eqNullSafe(a)
+    return F.coalesce(ruling == "revise", F.lit(False)) & differs
+
+
 def overlay(rows: DataFrame, rulings: DataFrame, keys: list[str], values: list[str], order: list[str], hot_rows: int = 250_000) -> DataFrame:
     """``rows`` with ``values`` replaced by those of the last ruling for the same ``keys``, and ``ruled``.
 

@@ -88,6 +88,18 @@ def _nested(kind: str, spec: dict, i: int):
     return lambda x: _rules(x, kind, spec)[i][1]
 
 
+def matching(df: DataFrame, column: str, values: list[str] | None) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``, regardless of case and blanks around; all rows without values."""
+    if not values:
+        return df
+    return df.where(F.lower(F.trim(column)).isin([v.strip().lower() for v in values]))
+
+
+def near_matches(df: DataFrame, column: str, value: str, most: int = 10) -> DataFrame:
+    """Up to ``most`` rows whose ``column`` contains ``value``, regardless of case, in order: what a failed look-up suggests."""
+    return df.where(F.contains(F.lower(column), F.lit(value.strip().lower()))).orderBy(column).limit(most)
+
+
 def repeats(df: DataFrame, key: str, at: str) -> DataFrame:
     """Rows whose key an earlier row (by ``at``) has, with ``first_at``. Found by a map-side combined minimum, not by sorting a key's rows.
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from alinea.operators.evidence import complete, grade, judgments, mock_debate, mock_proposals, overlay, prompts, shares, spread_sample, verify
+from alinea.operators.evidence import changed, complete, grade, in_band, judgments, mock_debate, mock_proposals, overlay, prompts, resolve, shares, spread_sample, verify
 
 ROW = "line_no int, finding_no int, clause_id string, offered array<string>, control_id string, relationship string, confidence double, evidence_sama string, evidence_nist string"
 FOCAL, TARGET = "The unit shall keep “amber” logs for ﬁve years.", "Keep logs\nfor a period. Review them."
@@ -53,6 +53,15 @@ def test_judgments_keep_places(spark):
     assert [(r.line_no, r.finding_no, r.control_id) for r in judgments(df).collect()] == [(1, 2, "X")]
 
 
+def test_rulings(spark):
+    df = spark.createDataFrame([("uphold", [], 0.7, "a", "a"), ("revise", [], 0.5, "a", "b"), ("revise", ["x"], 0.9, "a", "a"), ("reject", [], 0.9, "a", None), (None, [], 0.9, "a", "b")], "r string, e array<string>, c double, x string, y string")
+    got = df.select(resolve(F.col("r"), F.col("e"), F.col("c"), 0.6).alias("s"), changed(F.col("r"), [F.col("x")], [F.col("y")]).alias("d")).collect()
+    assert [tuple(r) for r in got] == [("accepted", False), ("disputed", True), ("rejected", False), ("rejected_by_debate", False), ("unresolved", False)]
+    rows = spark.createDataFrame([(0.5, "disputed"), (0.69, "accepted"), (0.7, "accepted"), (0.6, "rejected"), (None, None)], "c double, s string")
+    c, s = F.col("c"), F.col("s")
+    assert [tuple(r) for r in rows.select(in_band(c, s, 0.5, 0.7), in_band(c, s), in_band(c, s, below=0.6)).collect()] == [(True, True, True), (True, True, False), (False, True, False), (False, False, False), (False, True, True)]
+
+
 def test_overlay_last_ruling_wins(spark):
     rows = spark.createDataFrame([("a", 1, "equal", 0.5, 7), ("a", 1, "equal", 0.5, 8), ("b", 1, "equal", None, 9), (None, 1, "equal", 0.1, 10)], "k string, n int, rel string, conf double, ruled_at int")
     rulings = spark.createDataFrame([("a", 1, "subset_of", 0.9, 2, 1), ("a", 1, "superset_of", None, 2, 2), ("a", 1, "x", 0.1, 1, 9), (None, 1, "x", 0.1, 1, 9), ("c", 1, "x", 0.1, 1, 9)], "k string, n int, rel string, conf double, at int, id int")

@@ -4,7 +4,7 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
-from alinea.operators.records import decode, drift, encode, problems, repeated_sentences, repeats, sniff, tallies
+from alinea.operators.records import decode, drift, encode, matching, near_matches, problems, repeated_sentences, repeats, sniff, tallies
 from alinea.sources import files
 from alinea.streaming.resume import resume, still_to_do
 
@@ -55,6 +55,13 @@ def test_repeated_sentences(spark):
     assert all(r.got == r.want for r in df.select("want", repeated_sentences("t").alias("got")).collect())
 
 
+def test_look_ups(spark):
+    df = spark.createDataFrame([("AC-1",), (" ac-10 ",), (None,), ("B",)], "k string")
+    assert matching(df, "k", None).count() == 4
+    assert [r.k for r in matching(df, "k", ["ac-1 ", "b"]).collect()] == ["AC-1", "B"]
+    assert [r.k for r in near_matches(df, "k", "Ac", 1).collect()] == [" ac-10 "]
+
+
 def test_sniff(spark):
     rows = [(b"%PDF-1.7", "text/html", "a.json", "pdf"), (b"x", "Text/HTML; q", None, "html"), (b"x", None, "http://h/a.HTM?x=1", "html"), (b"x", "", "b.json", "json"), (b"", None, None, "bin"), (None, None, None, "bin")]
     df = spark.createDataFrame(rows, "c binary, k string, n string, want string")
