@@ -8,8 +8,7 @@ from alinea.functions.keys import norm_key
 from alinea.functions.text import MIN_EVIDENCE, TYPOGRAPHIC, wilson
 from alinea.operators import evidence
 from alinea.operators.evidence import RELATIONS, judgments, relation
-from alinea.operators.nested import flatten_judgments
-from alinea.plans.problems import _occurrences
+from alinea.plans.problems import p3_found
 from alinea.plans.retrieval import _CLA, _CTL, _clause_tree, active_clauses, active_controls
 from alinea.operators.hierarchy import path_order, roll_up
 from alinea.plans.stage import staged
@@ -121,7 +120,7 @@ def before_after(spark: SparkSession, d: str) -> DataFrame:
 
 def debate_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Raw judgments with debates: the first relation against that of the last round that rules one."""
-    flat = staged(flatten_judgments(_occurrences(spark, d)).where("src_table = 'findings_raw'"), "flat")
+    flat = staged(p3_found(spark, d).where("src_table = 'findings_raw'"), "flat")
     keys = ["line_no", "record_no", "finding_no"]
     last = flat.where("round_no > 0").groupBy(*keys).agg(F.max_by("relationship", F.when(F.col("relationship") != "", F.col("round_no"))).alias("last"), F.count(F.lit(1)).alias("n_rounds"))
     met = flat.where("round_no = 0").join(last, keys)

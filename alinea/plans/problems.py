@@ -7,66 +7,86 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alinea.functions.keys import norm_key
-from alinea.operators.nested import flatten_judgments, merkle_objects, shred
-from alinea.operators.orphans import orphan_report, orphans
+from alinea.operators.nested import bridge, flatten_judgments, merkle_objects, shred, unread
+from alinea.operators.orphans import orphan_report, orphans, with_reason
 from alinea.plans.stage import staged
 from alinea.sources.tables import table
 
 
-def _reference(df: DataFrame, src_table: str, src_field: str, record_id: str, ref_table: str, ref_key: str, at: str, own_key: str | None = None) -> DataFrame:
+def _reference(df: DataFrame, src_table: str, src_field: str, record_id: str | None, ref_table: str, ref_key: str, at: str, own: tuple[str, str, str] | None = None) -> DataFrame:
+    own_key, own_from, own_to = (norm_key(own[0]), F.col(own[1]), F.col(own[2])) if own else (F.lit(None).cast("string"), *[F.lit(None).cast("timestamp_ntz")] * 2)
     return df.select(
         F.lit(src_table).alias("src_table"),
         F.lit(src_field).alias("src_field"),
-        F.col(record_id).cast("bigint").alias("record_id") if record_id else F.lit(None).cast("bigint").alias("record_id"),
+        (F.col(record_id) if record_id else F.lit(None)).cast("bigint").alias("record_id"),
         F.lit(ref_table).alias("ref_table"),
         norm_key(ref_key).alias("ref_key"),
         F.col(at).alias("at"),
-        (norm_key(own_key) if own_key else F.lit(None).cast("string")).alias("own_key"),
+        own_key.alias("own_key"),
+        own_from.alias("own_from"),
+        own_to.alias("own_to"),
     )
 
 
-def _all_orphans(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """References of findings and reviews, and those of clauses and controls to their parents."""
     findings, review = table(spark, d, "findings_sample"), table(spark, d, "review")
     clauses, controls = table(spark, d, "clauses"), table(spark, d, "controls")
     refs = [
         _reference(findings.select("line_no", "judged_at", F.explode("findings.control_id").alias("k")), "findings_sample", "findings.control_id", "line_no", "controls", "k", "judged_at"),
         _reference(findings.select("line_no", "judged_at", F.explode("offered").alias("k")), "findings_sample", "offered", "line_no", "controls", "k", "judged_at"),
         _reference(review, "review", "clause_id", "review_id", "clauses", "clause_id", "reviewed_at"),
-        _reference(clauses, "clauses", "parent_id", "", "clauses", "parent_id", "loaded_at", "clause_id"),
-        _reference(controls, "controls", "parent_id", "", "controls", "parent_id", "loaded_at", "control_id"),
+        _reference(clauses, "clauses", "parent_id", None, "clauses", "parent_id", "loaded_at", ("clause_id", "loaded_at", "retired_at")),
+        _reference(controls, "controls", "parent_id", None, "controls", "parent_id", "loaded_at", ("control_id", "loaded_at", "withdrawn_at")),
     ]
+    return reduce(DataFrame.unionByName, refs)
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """The spans in which clauses and controls hold."""
     spans = [
-        clauses.select(F.lit("clauses").alias("ref_table"), norm_key("clause_id").alias("key"), F.col("loaded_at").alias("valid_from"), F.col("retired_at").alias("valid_to")),
-        controls.select(F.lit("controls").alias("ref_table"), norm_key("control_id").alias("key"), F.col("loaded_at").alias("valid_from"), F.col("withdrawn_at").alias("valid_to")),
+        table(spark, d, t).select(F.lit(t).alias("ref_table"), norm_key(key).alias("key"), F.col("loaded_at").alias("valid_from"), F.col(ended).alias("valid_to"))
+        for t, key, ended in (("clauses", "clause_id", "retired_at"), ("controls", "control_id", "withdrawn_at"))
     ]
-    return orphans(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, spans))
+    return reduce(DataFrame.unionByName, spans)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Direct orphans among the references of findings_sample and review, each combination once."""
-    found = _all_orphans(spark, d).where((F.col("kind") == "direct") & F.col("src_table").isin("findings_sample", "review"))
+    found = orphans(_references(spark, d), _targets(spark, d)).where((F.col("kind") == "direct") & F.col("src_table").isin("findings_sample", "review"))
     return found.select("src_table", "src_field", "record_id", "ref_key").distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans of all five references per table, field and month."""
-    return orphan_report(_all_orphans(spark, d))
+    """Direct and inherited orphans of all five references per table, field and month, with why the direct ones are."""
+    targets = _targets(spark, d)
+    return orphan_report(with_reason(orphans(_references(spark, d), targets), targets))
 
 
-def _occurrences(spark: SparkSession, d: str) -> DataFrame:
+def _documents(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "findings_raw").select(F.lit("findings_raw").alias("src_table"), "line_no", "payload")
     sample = table(spark, d, "findings_sample").select(F.lit("findings_sample").alias("src_table"), "line_no", F.to_json(F.struct("clause_id", "findings")).alias("payload"))
-    return staged(shred(raw.unionByName(sample)), "occurrences")
+    return raw.unionByName(sample)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Judgments and debate rounds of findings_sample and findings_raw as flat rows."""
-    return flatten_judgments(_occurrences(spark, d))
+    return flatten_judgments(staged(shred(_documents(spark, d), canonical=False), "occurrences"))
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct object and array once, with its number of occurrences."""
-    return merkle_objects(_occurrences(spark, d))
+    return merkle_objects(shred(_documents(spark, d)))
+
+
+def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of an object or array with its way to its parent: with p3_objects the documents again."""
+    return bridge(shred(_documents(spark, d), canonical=False))
+
+
+def p3_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that give no rows, or not all, and why."""
+    return unread(shred(_documents(spark, d), canonical=False))
 
 
 P2_SQL = """
@@ -84,6 +104,37 @@ WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.src_table = k.src_table AND s.re
 """
 
 
+P2_REPORT_SQL = """
+WITH RECURSIVE lines AS (
+  SELECT 'findings_sample' AS src_table, 'findings.control_id' AS src_field, line_no AS record_id, 'controls' AS ref_table, f.control_id AS k, judged_at AS seen_at, NULL::VARCHAR AS own_key, NULL::TIMESTAMP AS own_from, NULL::TIMESTAMP AS own_to
+  FROM (SELECT line_no, judged_at, unnest(findings) AS f FROM findings_sample)
+  UNION ALL SELECT 'findings_sample', 'offered', line_no, 'controls', o, judged_at, NULL, NULL, NULL FROM (SELECT line_no, judged_at, unnest(offered) AS o FROM findings_sample)
+  UNION ALL SELECT 'review', 'clause_id', review_id, 'clauses', clause_id, reviewed_at, NULL, NULL, NULL FROM review
+  UNION ALL SELECT 'clauses', 'parent_id', NULL, 'clauses', parent_id, loaded_at, nullif(upper(trim(clause_id)), ''), loaded_at, retired_at FROM clauses
+  UNION ALL SELECT 'controls', 'parent_id', NULL, 'controls', parent_id, loaded_at, nullif(upper(trim(control_id)), ''), loaded_at, withdrawn_at FROM controls),
+refs AS (SELECT DISTINCT * EXCLUDE (k), upper(trim(k)) AS ref_key FROM lines WHERE trim(k) <> ''),
+spans AS (
+  SELECT 'controls' AS tab, upper(trim(control_id)) AS key, loaded_at AS a, withdrawn_at AS b FROM controls
+  UNION ALL SELECT 'clauses', upper(trim(clause_id)), loaded_at, retired_at FROM clauses),
+direct AS (SELECT r.*, CASE
+    WHEN NOT EXISTS (SELECT 1 FROM spans s WHERE s.tab = r.ref_table AND s.key = r.ref_key) THEN 'never there'
+    WHEN EXISTS (SELECT 1 FROM spans s WHERE s.tab = r.ref_table AND s.key = r.ref_key AND s.a <= r.seen_at) THEN 'ended'
+    WHEN seen_at IS NOT NULL THEN 'not yet there' END AS reason
+  FROM refs r WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.tab = r.ref_table AND s.key = r.ref_key AND s.a <= r.seen_at AND (s.b IS NULL OR s.b > r.seen_at))),
+nodes AS (
+  SELECT src_table AS tab, own_key AS key, own_from AS a, own_to AS b FROM direct WHERE own_key IS NOT NULL
+  UNION SELECT r.src_table, r.own_key, r.own_from, r.own_to FROM nodes n JOIN refs r ON r.ref_table = n.tab AND r.ref_key = n.key AND n.a <= r.seen_at AND (n.b IS NULL OR n.b > r.seen_at) WHERE r.own_key IS NOT NULL),
+found AS (
+  SELECT src_table, src_field, record_id, own_key, seen_at, 'direct' AS kind, reason FROM direct
+  UNION ALL SELECT src_table, src_field, record_id, own_key, seen_at, 'inherited', 'inherited' FROM refs r
+    WHERE EXISTS (SELECT 1 FROM nodes n WHERE r.ref_table = n.tab AND r.ref_key = n.key AND n.a <= r.seen_at AND (n.b IS NULL OR n.b > r.seen_at)))
+SELECT src_table, src_field, strftime(seen_at, '%Y-%m') AS month, count(*) FILTER (kind = 'direct') AS n_direct, count(*) FILTER (kind = 'inherited') AS n_inherited,
+  count(*) FILTER (reason = 'never there') AS n_never_there, count(*) FILTER (reason = 'ended') AS n_ended, count(*) FILTER (reason = 'not yet there') AS n_not_yet_there,
+  count(DISTINCT coalesce(CAST(record_id AS VARCHAR), own_key)) AS n_records
+FROM found GROUP BY ALL
+"""
+
+
 P3_SQL = r"""
 WITH raw AS (SELECT line_no, regexp_replace(payload, '^\s*```(json)?\s*|\s*```\s*$', '', 'g') AS t FROM findings_raw),
 doc AS (SELECT line_no, CAST(t AS JSON) AS j FROM raw WHERE json_valid(t)),
@@ -106,8 +157,8 @@ SELECT src_table, line_no, record_no::INT AS record_no, finding_no::INT AS findi
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p3_unread": p3_unread}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL}
+    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}

@@ -28,16 +28,17 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also: Column | None = None, hot_rows: int = HOT_ROWS, hot: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``keys`` (same names on both sides), hot keys of ``left`` salted.
 
     Rows of a hot key are dealt over slices by a hash of all their columns (a recomputed task deals them alike) and the
     matching rows of ``right`` repeated once per slice; other keys are joined as they are. Rows that are alike in every
     column share a slice: a caller that may have many such copies counts them first. ``also`` is a further condition over columns whose names differ between the sides.
-    ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Key columns come from ``left``.
+    ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Key columns come from ``left``. ``hot`` is what
+    ``hot_keys`` gave for ``left`` or a table that contains it, where several joins share it; else it is counted here.
     """
     assert how in ("inner", "left", "left_semi", "left_anti"), how
-    hot, n = hot_keys(left, keys, hot_rows)
+    hot, n = hot or hot_keys(left, keys, hot_rows)
     sliced = bool(n)
     if sliced:
         few = checked_broadcast(hot, n)

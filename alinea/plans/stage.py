@@ -41,14 +41,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the staged tables that ``df`` reads. Only for intermediate tables that no later plan needs."""
-    files = set(df.inputFiles())
-    for spark, path in list(_WRITTEN):
-        bare = path.split("://", 1)[-1]
-        if any(bare in f for f in files):
-            _delete(spark, path)
-            _WRITTEN.remove((spark, path))
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads, given as ``staged`` returned them or as columns of them. Others are left alone."""
+    for df in tables:
+        for where in {f.split("://", 1)[-1].rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for spark, path in [w for w in _WRITTEN if w[1].split("://", 1)[-1].lstrip("/") == where.lstrip("/")]:
+                _delete(spark, path)
+                _WRITTEN.remove((spark, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
