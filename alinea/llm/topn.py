@@ -7,21 +7,23 @@ the middle of the interval that it must lie in; rows above the cutoff are in, ro
 than are still wanted share the cutoff, they go on to the next word. It ends when each group holds exactly N, or all
 it has.
 
-Groups of up to ``hot_rows`` rows are brought together by one shuffle and bisected side by side in vectors, a chunk of
-many groups at a time. Larger groups never come together: their rows stay spread and each round is one distributed
-count, with several cutoffs tried at once.
+The bisection runs where the rows are first: a chunk of a partition keeps the N best different items of each of its
+groups, among which are all that its rows can give to the answer, so no more than N rows for each group and chunk are
+shuffled. Groups of which up to ``hot_rows`` rows are left are then brought together by one shuffle and bisected side by
+side in vectors, a chunk of many groups at a time. Larger ones never come together: their rows stay spread and each round
+is one distributed count, with several cutoffs tried at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alinea.plans.skew import checked_broadcast, hot_keys
-from alinea.plans.stage import staged
+from alinea.plans.stage import drop, staged
 from alinea.sources.tables import table
 
 #: Rows that a Python task gathers before it bisects the groups in them.
@@ -81,8 +83,11 @@ def bisect_cutoffs(group: np.ndarray, code: np.ndarray, wanted: np.ndarray) -> t
     return low, np.bincount(group[picked], minlength=n_groups)
 
 
-def select_rows(group: np.ndarray, scores: np.ndarray, items: list[bytes], n: int) -> np.ndarray:
-    """A mask of the rows that belong to the ``n`` best of their group. Rows of a group have different items."""
+def select_rows(group: np.ndarray, scores: np.ndarray, items: Callable[[np.ndarray], list[bytes]], n: int) -> np.ndarray:
+    """A mask of the rows that belong to the ``n`` best of their group. Rows of a group have different items.
+
+    ``items`` gives the identifiers of rows, for which only those that tie on the score are asked.
+    """
     n_groups = int(group.max()) + 1 if len(group) else 0
     taken = np.zeros(len(group), bool)
     rows, wanted = np.arange(len(group)), np.full(n_groups, n, np.int64)
@@ -97,7 +102,7 @@ def select_rows(group: np.ndarray, scores: np.ndarray, items: list[bytes], n: in
         all_in = tied & (ties <= wanted)[g]
         taken[rows[all_in]] = True
         rows = rows[tied & ~all_in & (wanted > 0)[g]]
-        here = [items[i] for i in rows]
+        here = items(rows)
         if not word:
             words = 1 + max((-(-len(x) // 8) for x in here), default=0)
         code = item_code(here, word, words) if len(rows) else code
@@ -105,18 +110,44 @@ def select_rows(group: np.ndarray, scores: np.ndarray, items: list[bytes], n: in
     return taken
 
 
-def _local(n: int):
-    """The bisection over batches that are sorted by group (columns: group, item, score)."""
+def _best_of(t: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
+    """The ``n`` best rows of each group (columns: group, item, score; items unique in a group), rows of a group together."""
+    if t.num_rows:
+        keys = t.column(0).combine_chunks().dictionary_encode()
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        names, group = t.column(1).combine_chunks(), keys.indices.to_numpy()
+        mask = select_rows(group, t.column(2).to_numpy(), lambda rows: [x.encode() for x in names.take(pa.array(rows)).to_pylist()], n)
+        at = np.flatnonzero(mask)
+        yield from t.take(pa.array(at[np.argsort(group[at], kind="stable")])).combine_chunks().to_batches()
+
+
+def _in_place(n: int):
+    """The bisection over chunks of a partition in whatever order; of an item that comes several times the best score counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if t.num_rows:
-                keys = t.column(0).combine_chunks().dictionary_encode()
-                keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-                items = [x.encode() for x in t.column(1).to_pylist()]
-                mask = select_rows(keys.indices.to_numpy(), t.column(2).to_numpy(), items, n)
-                yield from t.filter(pa.array(mask)).combine_chunks().to_batches()
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            once = t.group_by(["group", "item"]).aggregate([("score", "max")]).select(["group", "item", "score_max"]).rename_columns(t.column_names)
+            yield from _best_of(once.cast(t.schema), n)
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK_ROWS:
+                yield from done()
+                held, rows = [], 0
+        if rows:
+            yield from done()
+
+    return run
 
+
+def _local(n: int):
+    """The bisection over batches that are sorted by group (columns: group, item, score; items unique in a group)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
@@ -131,10 +162,10 @@ def _local(n: int):
                 while lo < hi:
                     mid = (lo + hi) // 2
                     lo, hi = (lo, mid) if t.column(0)[mid].as_py() == last else (mid + 1, hi)
-                yield from done(t.slice(0, lo))
+                yield from _best_of(t.slice(0, lo), n)
                 held, rows = t.slice(lo).to_batches(), rows - lo
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from _best_of(pa.Table.from_batches(held), n)
 
     return run
 
@@ -149,13 +180,14 @@ def _distributed(rows: DataFrame, n: int) -> DataFrame:
     """The bisection of groups too large to come together; ``rows`` has group, item, score, items unique in a group.
 
     The cutoff of a group is first refined on the score's bits, then on the identifier, a byte at a time. State is one
-    row a group, joined to the rows by broadcast only if it is counted small.
+    row a group, joined to the rows by broadcast only if it is counted small. A round reads only the rows inside the
+    intervals that the round before left open.
     """
     rows = staged(rows.withColumn("code", _signed_code(F.col("score"))), "hot-rows")
     state = staged(rows.groupBy("group").agg(F.min("code").alias("low"), F.max("code").alias("high"), F.count(F.lit(1)).alias("n")), "bounds")
     n_groups = state.count()
     state = state.select("group", "low", "high", F.lit(n).cast("bigint").alias("wanted"), (F.col("n") <= n).alias("whole"))
-    settled = None
+    settled, active, read = None, rows, []
     while True:
         # low and high are codes of rows; at least `wanted` rows lie at or above low, fewer above high
         open_ = state.where(~F.col("whole") & (F.col("low") < F.col("high")))
@@ -168,7 +200,11 @@ def _distributed(rows: DataFrame, n: int) -> DataFrame:
         place = F.floor(F.try_subtract(F.col("code"), F.col("low")).cast("double") / span * WAYS)
         # An interval over both signs is cut at zero, as its width may be no bigint. The lowest and the highest row never share a part.
         part = F.when((F.col("low") < 0) & (F.col("high") >= 0), (F.col("code") >= 0).cast("bigint")).otherwise(F.least(F.lit(WAYS - 1), place))
-        inside = rows.join(checked_broadcast(open_, n_groups), "group").where(F.col("code").between(F.col("low"), F.col("high")))
+        inside = active.join(checked_broadcast(open_, n_groups), "group").where(F.col("code").between(F.col("low"), F.col("high")))
+        if active is not rows:
+            inside = staged(inside, "inside")
+            drop(*read)
+            read = [inside]
         parts = inside.groupBy("group", "wanted", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("least"), F.max("code").alias("most"))
         listed = parts.groupBy("group", "wanted").agg(F.reverse(F.array_sort(F.collect_list(F.struct("part", "n", "least", "most")))).alias("parts"))  # at most WAYS entries
         chosen = F.aggregate(
@@ -179,6 +215,8 @@ def _distributed(rows: DataFrame, n: int) -> DataFrame:
             .otherwise(F.struct((a["above"] + p["n"]).alias("above"), a["low"].alias("low"), a["high"].alias("high"))),
         )
         state = staged(listed.withColumn("c", chosen).select("group", F.col("c.low").alias("low"), F.col("c.high").alias("high"), (F.col("wanted") - F.col("c.above")).alias("wanted"), F.lit(False).alias("whole")), "bounds")
+        active = inside.select("group", "code")
+    drop(*read)
     settled = checked_broadcast(staged(settled, "cutoffs"), n_groups)
     met = rows.join(settled, "group")
     out = met.where(F.col("whole") | (F.col("code") > F.col("low"))).select("group", "item", "score")
@@ -222,23 +260,25 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, hot_rows: in
     rows = rows.where(F.col("group").isNotNull() & F.col("item").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     if n < 1:
         return rows.limit(0).toDF(group, item, score)
-    hot, n_hot = hot_keys(rows, ["group"], hot_rows)
-    hot = hot.select("group")
     kind = dict(rows.dtypes)["group"]
+    shape = f"group {kind}, item string, score double"
+    left = staged(rows.mapInArrow(_in_place(n), shape), "best-in-place")
+    hot, n_hot = hot_keys(left, ["group"], hot_rows)
+    hot = checked_broadcast(hot.select("group"), n_hot)
     best = F.max("score").alias("score")
     # One shuffle by group: the best score of an item is then a matter of one partition.
-    cool = rows if not n_hot else rows.join(checked_broadcast(hot, n_hot), "group", "left_anti")
+    cool = left if not n_hot else left.join(hot, "group", "left_anti")
     gathered = [cool.repartition("group").groupBy("group", "item").agg(best)]
     out = []
     if n_hot:
         # Repeated items are combined before the shuffle, which spreads a hot group over all partitions.
-        spread = staged(rows.join(checked_broadcast(hot, n_hot), "group", "left_semi").groupBy("group", "item").agg(best), "hot-items")
+        spread = staged(left.join(hot, "group", "left_semi").groupBy("group", "item").agg(best), "hot-items")
         still, n_still = hot_keys(spread, ["group"], hot_rows)
         still = checked_broadcast(still.select("group"), n_still)
         gathered.append(spread.join(still, "group", "left_anti").repartition("group"))
         if n_still:
             out.append(_distributed(spread.join(still, "group", "left_semi"), n))
-    out += [x.sortWithinPartitions("group").mapInArrow(_local(n), f"group {kind}, item string, score double") for x in gathered]
+    out += [x.sortWithinPartitions("group").mapInArrow(_local(n), shape) for x in gathered]
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)

@@ -27,7 +27,7 @@ SCORE = st.one_of(st.sampled_from([0.0, -0.0, 1.5, -1.5, math.inf, -math.inf, 1e
 def test_selection_equals_sorting(rows, n):
     rows = list({(g, i): (g, i, s) for g, i, s in rows}.values())
     names = sorted({g for g, _, _ in rows})
-    mask = select_rows(np.array([names.index(g) for g, _, _ in rows], dtype=np.int64), np.array([s for *_, s in rows], dtype=float), [i.encode() for _, i, _ in rows], n)
+    mask = select_rows(np.array([names.index(g) for g, _, _ in rows], dtype=np.int64), np.array([s for *_, s in rows], dtype=float), lambda at: [rows[k][1].encode() for k in at], n)
     assert sorted((g, i) for (g, i, _), m in zip(rows, mask) if m) == brute(rows, n)
 
 
