@@ -27,24 +27,29 @@ def floored_totals(shares: np.ndarray, floors: np.ndarray, total: float) -> np.n
     return out
 
 
-def tilt(rows: np.ndarray, x: np.ndarray, totals: np.ndarray, steps: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def tilt(rows: np.ndarray, x: np.ndarray, totals: np.ndarray, steps: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, bool]:
     """The probability of each cell: ``rows`` (cells), ``x`` (cells, constraints; 0 or 1), ``totals`` (constraints).
 
     Probabilities that would exceed 1 are set to 1 and the others tilted for what is left. Constraints without rows are
-    ignored; totals above their rows are cut to them. Totals that contradict each other are met as nearly as the last step does.
+    ignored; totals above their rows are cut to them. Totals that contradict each other are met as nearly as the last step
+    does. Returned with it: whether all totals, cut to their rows, are met to a hundredth of a row.
     """
     cells, n = x.shape
     p = np.zeros(cells)
     reach = np.minimum(totals, rows @ x)
+
+    def met() -> tuple[np.ndarray, bool]:
+        return p, not n or bool((np.abs((rows * p) @ x - reach) < 0.01).all())
+
     fixed = (rows == 0) | ((x[:, reach <= tolerance] > 0).any(axis=1) if n else False)  # a total of 0 leaves its rows out
     while True:
         free = ~fixed
         if not free.any() or not n:
-            return p
+            return met()
         left = reach - (rows * p)[fixed] @ x[fixed]
         use = (rows[free] @ x[free] > 0) & (left > tolerance)
         if not use.any():
-            return p
+            return met()
         a, m = x[free][:, use], rows[free]
         d = min(1.0, max(left[use].max() / m.sum(), 1e-12))
         goal, lam = left[use], np.zeros(use.sum())
@@ -68,6 +73,6 @@ def tilt(rows: np.ndarray, x: np.ndarray, totals: np.ndarray, steps: int = 200,
         at = np.flatnonzero(free)
         if not over.any():
             p[at] = np.minimum(q, 1)
-            return p
+            return met()
         p[at[over]] = 1.0
         fixed[at[over]] = True

@@ -2,16 +2,18 @@
 
 Every target set gets its own sample. Its targets are grouped by what they restrict (band, source, both); the targets of a
 group are disjoint, and rows outside of all of them share what the group's shares leave of 1, or are left out if
-that is nothing. Totals are the shares of ``sample_rows``, lifted to the floors; inclusion probabilities come from the
-tilting dual over counted cells (``calibration``); the pivotal method then draws exactly that many rows of each
-combination of targets, rounded up or down: in chunks of one combination, then among the chunks' undecided rows, then
-among those of the combinations.
+that is nothing. Totals are the shares of ``sample_rows``, lifted to the floors, as far as there are rows for them;
+inclusion probabilities come from the tilting dual over counted cells (``calibration``). Rows of one combination of
+targets have the same probability. The pivotal method rounds the combinations' expected sizes to whole ones; where that
+would miss a floor, it is put right. It then draws exactly that many rows of each combination: in chunks of one
+combination, then among the chunks' undecided rows.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterable
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -74,44 +76,58 @@ def categorised(df: DataFrame, targets: list[Target], item: str, band: str, sour
     return rows.groupBy("item").agg(best, F.collect_set(F.struct("band", "source")).alias("seen")).select("item", "best.band", "best.source", "seen")
 
 
-def _matches(t: Target, band, source):
-    return (F.lit(True) if t.band_key is None else F.coalesce(band == t.band_key, F.lit(False))) & (F.lit(True) if t.source_key is None else F.coalesce(source == t.source_key, F.lit(False)))
+def counted_cells(items: DataFrame) -> DataFrame:
+    """``band, source, seen, n``: items alike in all that targets can tell apart. One row for each such kind, combined map-side."""
+    return items.groupBy("band", "source", F.array_sort("seen").alias("seen")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def available(items: DataFrame, targets: list[Target]) -> list[int]:
-    """For each target, how many items have a row that it takes; one aggregation for all targets, combined map-side."""
+def available(cells: DataFrame, targets: list[Target]) -> list[int]:
+    """For each target, how many items have a row that it takes: the kinds of items meet the targets by what these restrict."""
     if not targets:
         return []
+    spark = cells.sparkSession
+    listed = spark.createDataFrame([(k, t.band_key, t.source_key) for k, t in enumerate(targets)], "k int, t_band string, t_source string")
+    kinds = cells.groupBy("seen").agg(F.sum("n").alias("n"))
+    pairs = kinds.select("seen", "n", F.explode("seen").alias("s"))
+    band, source = F.col("s.band") == F.col("t_band"), F.col("s.source") == F.col("t_source")
+    shapes = [("t_band is not null and t_source is not null", band & source), ("t_band is not null and t_source is null", band), ("t_band is null and t_source is not null", source)]
+    met = [pairs.join(F.broadcast(listed.where(w)), on).select("seen", "n", "k") for w, on in shapes]  # at most MAX_TARGETS rows
+    met.append(kinds.crossJoin(F.broadcast(listed.where("t_band is null and t_source is null"))).select("seen", "n", "k"))  # one row for each set at most
+    each = reduce(DataFrame.unionByName, met).distinct().groupBy("k").agg(F.sum("n").alias("n"))
+    found = {r.k: r.n for r in each.collect()}  # a row for each target
+    return [found.get(k, 0) for k in range(len(targets))]
 
-    def seen_by(t: Target):
-        return F.exists("seen", lambda s: _matches(t, s["band"], s["source"]))
 
-    counts = [F.count_if(seen_by(t)).alias(f"n{k}") for k, t in enumerate(targets)]
-    return list(items.agg(*counts).first())
+Cell = tuple[str | None, str | None]
 
 
 class Plan(NamedTuple):
-    """Of one target set: targets' totals, and for each cell (band, source) its combination of targets and probability."""
+    """Of one target set: each target's total and sampled rows, whether all totals are met, each cell's combination of
+    targets, and how many rows of each combination are drawn."""
 
-    totals: dict[Target, float]
-    cells: dict[tuple[str | None, str | None], tuple[str, float]]
+    aimed: dict[int, float]
+    sampled: dict[int, int]
+    converged: bool
+    marks: dict[Cell, str]
+    draws: dict[str, int]
 
 
-def plan(targets: list[Target], counts: dict[tuple[str | None, str | None], int]) -> Plan:
-    """Totals and probabilities of one target set, from the counted cells."""
+def plan(targets: list[Target], counts: dict[Cell, int], seed: int = 17) -> Plan:
+    """Totals, probabilities and whole sizes of one target set, from the counted cells."""
     size = max(t.sample_rows for t in targets)
     cells = list(counts)
     rows = np.array([counts[c] for c in cells], float)
-    columns, goals, totals, out = [], [], {}, np.zeros(len(cells), bool)
+    columns, goals, aimed, out = [], [], {}, np.zeros(len(cells), bool)
+    takes = np.array([[t.takes(*c) for t in targets] for c in cells], bool).reshape(len(cells), len(targets))
+    floors = np.minimum([t.min_rows for t in targets], rows @ takes) if len(cells) else np.zeros(len(targets))
     for shape in sorted({(t.band_key is None, t.source_key is None) for t in targets}):
-        group = [t for t in targets if (t.band_key is None, t.source_key is None) == shape]
-        goal = floored_totals(np.array([t.share for t in group]), np.array([float(t.min_rows) for t in group]), size)
-        hit = np.array([[t.takes(*c) for t in group] for c in cells]).reshape(len(cells), len(group))
-        for k, t in enumerate(group):
-            totals[t] = goal[k]
-            columns.append(hit[:, k])
-            goals.append(goal[k])
-        outside, rest = ~hit.any(axis=1), size - goal.sum()
+        group = [k for k, t in enumerate(targets) if (t.band_key is None, t.source_key is None) == shape]
+        goal = floored_totals(np.array([targets[k].share for k in group]), floors[group], size)
+        for k, g in zip(group, goal):
+            aimed[k] = float(g)
+            columns.append(takes[:, k])
+            goals.append(g)
+        outside, rest = ~takes[:, group].any(axis=1), size - goal.sum()
         if rest < 0.01:
             out |= outside
         else:
@@ -119,9 +135,47 @@ def plan(targets: list[Target], counts: dict[tuple[str | None, str | None], int]
             goals.append(rest)
     x = np.array(columns, float).T.reshape(len(cells), len(columns))
     x[out] = 0
-    p = tilt(np.where(out, 0, rows), x, np.array(goals, float))
-    marks = ["".join("01"[t.takes(*c)] for t in targets) for c in cells]
-    return Plan(totals, {c: (m, float(q)) for c, m, q in zip(cells, marks, p)})
+    p, converged = tilt(np.where(out, 0, rows), x, np.array(goals, float))
+    marks = {c: "".join("01"[int(b)] for b in takes[i]) for i, c in enumerate(cells)}
+    room, wanted = dict.fromkeys(marks.values(), 0), dict.fromkeys(marks.values(), 0.0)
+    for i, c in enumerate(cells):
+        room[marks[c]] += counts[c]
+        wanted[marks[c]] += float(p[i] * rows[i])
+    draws = whole_sizes(wanted, room, {k: int(f) for k, f in enumerate(floors) if f > 0}, random.Random(f"{seed}|{targets[0].target_set}"))
+    sampled = {k: sum(n for m, n in draws.items() if m[k] == "1") for k in range(len(targets))}
+    return Plan(aimed, sampled, converged, marks, draws)
+
+
+def whole_sizes(wanted: dict[str, float], room: dict[str, int], floors: dict[int, int], rng: random.Random) -> dict[str, int]:
+    """How many rows of each combination to draw: ``wanted`` rounded up or down by the pivotal method, then floors put right.
+
+    A combination names its targets by 1s. While a target has fewer rows than its floor, a combination of it that has
+    room gets one more, and, if the sample would grow, one above its wanted size loses one, if no floor needs it.
+    ``floors`` must not exceed their targets' rows; they then hold exactly.
+    """
+    names = sorted(wanted)
+    taken, held = pivotal(((m, wanted[m] - int(wanted[m] + 1e-9)) for m in names), rng)
+    if held is not None and rng.random() < held[1]:
+        taken.append(held[0])
+    n = {m: min(room[m], int(wanted[m] + 1e-9) + (m in set(taken))) for m in names}
+    total = sum(n.values())
+
+    def lacking() -> dict[int, int]:
+        short = {k: f - sum(v for m, v in n.items() if m[k] == "1") for k, f in floors.items()}
+        return {k: v for k, v in short.items() if v > 0}
+
+    while short := lacking():
+        helps = {m: sum(m[k] == "1" for k in short) for m in names if n[m] < room[m]}
+        more = max((m for m in helps if helps[m]), key=lambda m: (helps[m], wanted[m] - n[m], m))
+        n[more] += 1
+        if sum(n.values()) > total:
+            spare = [m for m in names if m != more and n[m] > 0 and all(m[k] == "0" or sum(v for o, v in n.items() if o[k] == "1") > f for k, f in floors.items())]
+            spare = [m for m in spare if n[m] > wanted[m] - 1]
+            if spare:
+                n[max(spare, key=lambda m: (n[m] - wanted[m], m))] -= 1
+            else:
+                total += 1
+    return n
 
 
 def pivotal(units: Iterable[tuple[object, float]], rng: random.Random) -> tuple[list[object], tuple[object, float] | None]:
@@ -157,20 +211,20 @@ def pivotal(units: Iterable[tuple[object, float]], rng: random.Random) -> tuple[
 
 
 def _drawn(by: list[str], seed: int, last: bool):
-    """The pivotal method over one group of rows, in an order of their own hash; columns of ``_ROW``."""
+    """The pivotal method over one group of rows, in an order of their own hash; the probabilities of a last group add up to a whole number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mark", "turn", "item"] if "mark" not in by else ["turn", "item"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["turn", "item"], kind="stable").reset_index(drop=True)
         rng = random.Random("|".join([str(seed), *(str(pdf[c].iloc[0]) for c in by)]))
         taken, held = pivotal(zip(range(len(pdf)), pdf["left"]), rng)
-        pdf["drawn"] = False
-        if held is not None and last and rng.random() < held[1]:
+        if held is not None and last and held[1] >= 0.5:
             taken.append(held[0])
+        pdf["drawn"] = False
         pdf.loc[taken, "drawn"] = True
-        rows = [*taken, *([held[0]] if held is not None and not last else [])]
         if held is not None and not last:
             pdf.loc[held[0], "left"] = held[1]
-        return pdf.loc[rows]
+            taken.append(held[0])
+        return pdf.loc[taken]
 
     return run
 
@@ -178,73 +232,95 @@ def _drawn(by: list[str], seed: int, last: bool):
 def _draw(rows: DataFrame, seed: int) -> DataFrame:
     """``rows`` (target_set, item, mark, chunk, probability) that the pivotal method takes."""
     state = rows.withColumn("left", F.col("probability")).withColumn("turn", F.xxhash64("item", F.lit(seed))).withColumn("drawn", F.col("left") >= 1)
-    schema = state.schema
-    done = [state.where("drawn")]
-    open_ = state.where("not drawn and left > 0")
-    for by in (["target_set", "mark", "chunk"], ["target_set", "mark"], ["target_set"]):
-        step = staged(open_.groupBy(*by).applyInPandas(_drawn(by, seed, by == ["target_set"]), schema), "drawn")
+    done, open_ = [state.where("drawn")], state.where("not drawn and left > 0")
+    for by in (["target_set", "mark", "chunk"], ["target_set", "mark"]):
+        step = staged(open_.groupBy(*by).applyInPandas(_drawn(by, seed, len(by) == 2), state.schema), "drawn")
         done.append(step.where("drawn"))
         open_ = step.where("not drawn")
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("target_set", "item", "mark", "probability")
+    return reduce(DataFrame.unionByName, done).select("target_set", "item", "mark", "probability")
 
 
-def matched_samples(df: DataFrame, targets: DataFrame, item: str, band: str = "band", source: str = "source", latest: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Samples and report for every target set.
+class Calibration(NamedTuple):
+    """What is known before anything is drawn: targets, items, counts of cells, what is there for each target, and each set's plan."""
 
-    Samples: ``target_set, item, band, source, probability``, an item at most once a set, categories by their keys.
-    Report, one row a target: its columns, ``required`` (the larger of its floor and its share of the sample), ``available``
-    (distinct items with a row of it), ``aimed`` (its total after floors), ``sampled`` and ``gap`` (fewer are available
-    than required). Without targets or items the samples are empty; without targets the report is, too.
-    """
-    spark = df.sparkSession
+    targets: list[Target]
+    items: DataFrame
+    counts: dict[Cell, int]
+    there: list[int]
+    plans: dict[str, Plan]
+
+
+def calibrate(df: DataFrame, targets: DataFrame, item: str, band: str = "band", source: str = "source", latest: str | None = None, seed: int = 17) -> Calibration:
+    """Counts the cells of ``df`` in one distributed aggregation and plans every target set's sample from them."""
     goals = read_targets(targets)
-    items = staged(categorised(df, goals, item, band, source, latest), "items")
-    there = available(items, goals)
-    counted = items.groupBy("band", "source").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (bands + 1) * (sources + 1) rows
+    items = categorised(df, goals, item, band, source, latest)
+    cells = staged(counted_cells(items), "cells")
+    counted = cells.groupBy("band", "source").agg(F.sum("n").alias("n")).collect()  # at most (bands + 1) * (sources + 1) rows
     counts = {(r.band, r.source): r.n for r in counted}
-    names = list(dict.fromkeys(t.target_set for t in goals))
-    plans = {s: plan([t for t in goals if t.target_set == s], counts) for s in names}
+    plans = {s: plan([t for t in goals if t.target_set == s], counts, seed) for s in dict.fromkeys(t.target_set for t in goals)}
+    return Calibration(goals, items, counts, available(cells, goals), plans)
+
+
+def sample_report(spark: SparkSession, c: Calibration) -> DataFrame:
+    """One row a target: its columns, ``required`` (the larger of its floor and its share of the sample), ``available``
+    (distinct items with a row of it), ``aimed`` (its total after floors), ``sampled`` (what is drawn of it), ``off``
+    (``sampled`` less ``aimed``), ``converged`` (false if the set's totals contradict each other) and ``gap`` (fewer are
+    available than required)."""
+    lines, place = [], {}
+    for t, there in zip(c.targets, c.there):
+        k = place[t.target_set] = place.get(t.target_set, -1) + 1
+        of = c.plans[t.target_set]
+        lines.append((*t[:6], t.required, there, of.aimed[k], of.sampled[k], of.sampled[k] - of.aimed[k], of.converged, there < t.required))
+    return spark.createDataFrame(lines, "target_set string, band string, source string, share double, min_rows int, sample_rows int, required double, available bigint, aimed double, sampled bigint, off double, converged boolean, gap boolean")
+
+
+def draw(c: Calibration, item: str, seed: int = 17) -> DataFrame:
+    """The samples that ``c`` plans: ``target_set, item, band, source, probability``, categories by their keys."""
+    items = staged(c.items, "items")
     sizes: dict[tuple[str, str], int] = {}
-    for s, x in plans.items():
-        for c, (m, _) in x.cells.items():
-            sizes[s, m] = sizes.get((s, m), 0) + counts[c]
-    cells = [(s, c[0], c[1], m, p, -(-sizes[s, m] // CHUNK_ROWS)) for s, x in plans.items() for c, (m, p) in x.cells.items() if p > 0]
-    cell_rows = spark.createDataFrame(cells, "target_set string, c_band string, c_source string, mark string, probability double, chunks int")
+    for s, x in c.plans.items():
+        for cell, m in x.marks.items():
+            sizes[s, m] = sizes.get((s, m), 0) + c.counts[cell]
+    cells = [(s, *cell, m, x.draws[m] / sizes[s, m], -(-sizes[s, m] // CHUNK_ROWS)) for s, x in c.plans.items() for cell, m in x.marks.items() if x.draws[m]]
+    cell_rows = items.sparkSession.createDataFrame(cells, "target_set string, c_band string, c_source string, mark string, probability double, chunks int")
     met = items.select("item", "band", "source").join(F.broadcast(cell_rows), F.col("band").eqNullSafe(F.col("c_band")) & F.col("source").eqNullSafe(F.col("c_source")))
     rows = met.select("target_set", F.col("item").cast("string").alias("item"), "mark", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.col("chunks")).alias("chunk"), "probability")
-    drawn = staged(_draw(rows, seed), "sample")
     own = items.select(F.col("item").alias(item), F.col("item").cast("string").alias("_item"), "band", "source")
-    sample = own.join(drawn.withColumnRenamed("item", "_item"), "_item").select("target_set", item, "band", "source", "probability")
-    taken = drawn.groupBy("target_set", "mark").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row for each combination of targets
-    place: dict[int, int] = {}
-    for s in names:
-        for i, k in enumerate(k for k, t in enumerate(goals) if t.target_set == s):
-            place[k] = sum(r.n for r in taken if r.target_set == s and r.mark[i] == "1")
-    lines = [(*t[:6], t.required, there[k], float(plans[t.target_set].totals[t]), place[k], there[k] < t.required) for k, t in enumerate(goals)]
-    report = spark.createDataFrame(lines, "target_set string, band string, source string, share double, min_rows int, sample_rows int, required double, available bigint, aimed double, sampled bigint, gap boolean")
-    return sample, report
+    return own.join(_draw(rows, seed).withColumnRenamed("item", "_item"), "_item").select("target_set", item, "band", "source", "probability")
 
 
-def _of_review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return matched_samples(table(spark, d, "review"), table(spark, d, "sample_targets"), "review_id", latest="received_at")
+def matched_samples(df: DataFrame, targets: DataFrame, item: str, band: str = "band", source: str = "source", latest: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """Samples (``draw``) and report (``sample_report``) for every target set; an item comes at most once a set.
+
+    Floors hold exactly as far as there are rows for them. Without targets or items the samples are empty; without
+    targets the report is, too.
+    """
+    c = calibrate(df, targets, item, band, source, latest, seed)
+    return draw(c, item, seed), sample_report(df.sparkSession, c)
+
+
+def _of_review(spark: SparkSession, d: str) -> Calibration:
+    return calibrate(table(spark, d, "review"), table(spark, d, "sample_targets"), "review_id", latest="received_at")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Targets that too few reviewed items are there for."""
-    return _of_review(spark, d)[1].where("gap").select("target_set", "band", "source")
+    return p1_report(spark, d).where("gap").select("target_set", "band", "source")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """All targets with what is required, available, aimed at and sampled."""
-    return _of_review(spark, d)[1]
+    return sample_report(spark, _of_review(spark, d))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the report that is counted, which SQL can express too."""
+    return p1_report(spark, d).select("target_set", "band", "source", "required", "available", "gap")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     """The sampled items of every target set."""
-    return _of_review(spark, d)[0]
+    return draw(_of_review(spark, d), "review_id")
 
 
 P1_SQL = r"""
@@ -255,9 +331,16 @@ WHERE (SELECT count(DISTINCT review_id) FROM r WHERE (t.b = '*' OR r.b = t.b) AN
 """
 
 
+P1_COUNTS_SQL = P1_SQL[: P1_SQL.index("SELECT target_set")] + """
+, c AS (SELECT target_set, band, source, greatest(CAST(min_rows AS DOUBLE), share * sample_rows) AS required,
+  (SELECT count(DISTINCT review_id) FROM r WHERE (t.b = '*' OR r.b = t.b) AND (t.s = '*' OR r.s = t.s)) AS available FROM t)
+SELECT *, available < required AS gap FROM c
+"""
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_sample": p1_sample}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p1_report": p1_report, "p1_sample": p1_sample}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p1_counts": P1_COUNTS_SQL}

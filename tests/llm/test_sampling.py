@@ -3,10 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from alinea.llm import sampling
 from alinea.llm.calibration import floored_totals, tilt
-from alinea.llm.sampling import matched_samples, pivotal
+from alinea.llm.sampling import matched_samples, pivotal, whole_sizes
 
 TARGET = "target_set string, band string, source string, share double, min_rows int, sample_rows int"
 ITEM = "id int, band string, source string, share double, mark string, at int"
@@ -17,8 +18,8 @@ def test_tilt_meets_crossed_margins():
     rows = np.array([500.0, 40, 300, 200, 90, 10])
     x = np.array([[c // 2 == b for b in range(3)] + [c % 2 == s for s in range(2)] for c in range(6)], float)
     goal = np.array([40.0, 40, 20, 60, 40])
-    p = tilt(rows, x, goal)
-    assert np.allclose((rows * p) @ x, goal, atol=1e-6) and (p >= 0).all() and (p <= 1).all()
+    p, converged = tilt(rows, x, goal)
+    assert converged and np.allclose((rows * p) @ x, goal, atol=1e-6) and (p >= 0).all() and (p <= 1).all()
     # log p is additive in the categories wherever it is not cut at 1
     free = p < 1 - 1e-9
     a, *_ = np.linalg.lstsq(x[free], np.log(p[free]), rcond=None)
@@ -26,9 +27,27 @@ def test_tilt_meets_crossed_margins():
 
 
 def test_tilt_takes_all_of_what_is_short():
-    p = tilt(np.array([5.0, 100, 0]), np.eye(3), np.array([9.0, 20, 4]))
-    assert np.allclose(p, [1, 0.2, 0])
-    assert tilt(np.zeros(0), np.zeros((0, 2)), np.array([1.0, 2])).size == 0
+    p, converged = tilt(np.array([5.0, 100, 0]), np.eye(3), np.array([9.0, 20, 4]))
+    assert np.allclose(p, [1, 0.2, 0]) and converged
+    assert tilt(np.zeros(0), np.zeros((0, 2)), np.array([1.0, 2]))[0].size == 0
+
+
+def test_contradicting_totals_are_named():
+    assert tilt(np.array([100.0]), np.ones((1, 2)), np.array([10.0, 20.0]))[1] is False
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("01", min_size=3, max_size=3), st.integers(0, 30), st.floats(0, 1)), min_size=1, max_size=8), st.lists(st.floats(0, 1), min_size=3, max_size=3), st.integers(0, 9))
+def test_whole_sizes_hold_floors_exactly(cells, shares, seed):
+    room = {m: n for m, n, _ in cells}
+    wanted = {m: n * p for m, n, p in cells}
+    floors = {k: int(shares[k] * sum(n for m, n in room.items() if m[k] == "1")) for k in range(3)}
+    n = whole_sizes(wanted, room, floors, random.Random(seed))
+    assert all(0 <= n[m] <= room[m] for m in room)
+    for k, f in floors.items():
+        assert sum(v for m, v in n.items() if m[k] == "1") >= f
+    if not any(floors.values()):
+        assert all(abs(n[m] - wanted[m]) < 1 for m in room) and abs(sum(n.values()) - sum(wanted.values())) < 1
 
 
 def test_floors():
@@ -81,6 +100,16 @@ def test_samples_and_report(spark, monkeypatch):
     assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in again.collect())
 
 
+def test_floors_nobody_can_fill_take_nothing_from_others(spark):
+    items = [(i, "a" if i % 2 else "b", f"s{i % 7}", 0.0, "x", 0) for i in range(400)]
+    targets = [("t", "a", "*", 0.5, 0, 100), ("t", "b", "*", 0.5, 0, 100), ("t", "gone", "*", 0.0, 7, 100), ("t", "*", "s3", 0.01, 4, 100)]
+    sample, report = matched_samples(*frames(spark, items, targets), "id")
+    got = {(r.band, r.source): r for r in report.collect()}
+    assert (got["a", "*"].aimed, got["b", "*"].aimed, got["gone", "*"].aimed) == (50, 50, 0) and got["gone", "*"].gap
+    assert got["*", "s3"].sampled == 4 == sample.where("source = 's3'").count() and all(r.converged for r in got.values())
+    assert {k: r.off for k, r in got.items()}["gone", "*"] == 0
+
+
 def test_an_item_sent_again(spark):
     items = [(1, "a", "s", 0.0, "x", 1), (1, "b", "s", 0.0, "x", 2), (2, "a", "s", 0.0, "x", 1)]
     targets = [("t", "a", "*", 0.5, 0, 2), ("t", "b", "*", 0.5, 0, 2)]
