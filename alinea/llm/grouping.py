@@ -2,13 +2,15 @@
 
 An individual is a list of bins, a bin a tuple of item numbers. Crossover injects well-filled bins of one parent into the
 other, removes the bins that hold one of their items, and puts the other items of these back by best fit, largest first.
-Mutation does the same with the emptiest bin and some others. The fitness is the mean squared fill of the bins.
+Mutation does the same with the emptiest bin and some others. The fitness is the mean squared fill of the bins. A
+population begins with a packing that looks ahead (``least_slack``), best fit decreasing, and best fit in random orders.
 """
 
 from __future__ import annotations
 
 import random
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from itertools import accumulate
 
 Bins = list[tuple[int, ...]]
@@ -41,6 +43,72 @@ def best_fit(sizes: list[int], capacity: int, bins: Bins, items: list[int]) -> B
     return [tuple(b) for b in filled if b]
 
 
+def least_slack(sizes: list[int], capacity: int) -> Bins:
+    """A packing made bin by bin: the largest item left, then one, two or three items that fill the bin exactly, the larger
+    ones first, or else the largest that fits, and so on. What sizes there are is a set of bits, so that two items for a
+    given room are found by one shift."""
+    items: dict[int, list[int]] = defaultdict(list)
+    for i, s in enumerate(sizes):
+        items[s].append(i)
+    there, mirror = 0, 0  # bit s and bit capacity - s for every size s that is left
+    for s in items:
+        there |= 1 << s
+        mirror |= 1 << (capacity - s)
+
+    def take(s: int) -> int:
+        nonlocal there, mirror
+        i = items[s].pop()
+        if not items[s]:
+            there ^= 1 << s
+            mirror ^= 1 << (capacity - s)
+        return i
+
+    def give_back(s: int, i: int) -> None:
+        nonlocal there, mirror
+        items[s].append(i)
+        there |= 1 << s
+        mirror |= 1 << (capacity - s)
+
+    def two(room: int) -> tuple[int, int] | None:
+        both = there & (mirror >> (capacity - room))  # sizes x with room - x there, too
+        if not room % 2 and both >> (room // 2) & 1 and len(items[room // 2]) < 2:
+            both ^= 1 << (room // 2)
+        x = both.bit_length() - 1
+        return (x, room - x) if x > 0 else None
+
+    def exact(room: int) -> list[int] | None:
+        """The items, taken, of the one, two or three sizes that fill ``room``, or None."""
+        if there >> room & 1:
+            return [take(room)]
+        if pair := two(room):
+            return [take(s) for s in pair]
+        below = there & ((1 << room) - 1)
+        while below:
+            x = below.bit_length() - 1
+            if 3 * x < room:  # x would be the largest of the three
+                return None
+            below ^= 1 << x
+            i = take(x)
+            if pair := two(room - x):
+                return [i, *(take(s) for s in pair)]
+            give_back(x, i)
+        return None
+
+    bins = []
+    while there:
+        s = there.bit_length() - 1
+        filled, room = [take(s)], capacity - s
+        while room and (fits := there & ((1 << (room + 1)) - 1)):
+            if more := exact(room):
+                filled += more
+                break
+            s = fits.bit_length() - 1
+            filled.append(take(s))
+            room -= s
+        bins.append(tuple(filled))
+    return bins
+
+
 def fitness(sizes: list[int], capacity: int, bins: Bins) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
@@ -97,7 +165,7 @@ def evolve(sizes: list[int], capacity: int, population: list[Bins], migrants: li
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     members_ = list(population)
     if not members_:
-        members_.append(best_fit(sizes, capacity, [], order))
+        members_ += [least_slack(sizes, capacity), best_fit(sizes, capacity, [], order)]
         while len(members_) < members:
             rng.shuffle(order)
             members_.append(best_fit(sizes, capacity, [], order))

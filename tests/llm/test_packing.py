@@ -6,10 +6,9 @@ from itertools import combinations
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from alinea.llm import packing
 from alinea.llm.bpe import tokenizer_path, transducer
-from alinea.llm.grouping import best_fit, crossover, evolve, least_bins, mutate
-from alinea.llm.packing import pack
+from alinea.llm.grouping import best_fit, crossover, evolve, least_bins, least_slack, mutate
+from alinea.llm.packing import Capacity, Search, pack, packed, read_capacities
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -35,7 +34,7 @@ def test_operators_keep_every_item_once(sizes, seed):
     rng = random.Random(seed)
     order = list(range(len(sizes)))
     a, b = (best_fit(sizes, 20, [], rng.sample(order, len(order))) for _ in range(2))
-    for x in (a, b, crossover(sizes, 20, a, b, rng), mutate(sizes, 20, a, rng), *evolve(sizes, 20, [], [a, b], seed, 4, 20)):
+    for x in (a, b, least_slack(sizes, 20), crossover(sizes, 20, a, b, rng), mutate(sizes, 20, a, rng), *evolve(sizes, 20, [], [a, b], seed, 4, 20)):
         whole(x, sizes, 20)
         assert len(x) >= least_bins(sizes, 20)
 
@@ -48,25 +47,77 @@ def test_bound_and_result_against_brute_force(sizes):
     assert len(evolve(sizes, 12, [], [], 1, 8, 60)[0]) == best
 
 
-def test_evolution_beats_best_fit_decreasing():
-    # Triples that fill a bin exactly, on which best fit decreasing wastes room.
-    rng, sizes = random.Random(3), []
-    for _ in range(40):
+def triples(n, seed):
+    """Sizes of ``n`` containers of 100 that only three items each fill exactly, on which best fit decreasing wastes room."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
         x = rng.randint(38, 49)
-        y = rng.randint(26, 99 - x - 26) if 99 - x - 26 >= 26 else 26
+        y = rng.randint(26, max(26, 99 - x - 26))
         sizes += [x, y, 100 - x - y]
-    start = len(best_fit(sizes, 100, [], sorted(range(len(sizes)), key=lambda i: -sizes[i])))
-    assert len(evolve(sizes, 100, [], [], 2, 10, 1500)[0]) < start
+    return sizes
+
+
+def decreasing(sizes):
+    return best_fit(sizes, 100, [], sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+
+
+def test_evolution_beats_best_fit_decreasing():
+    sizes = triples(40, 3)
+    worst = [decreasing(sizes)] * 10  # begun from best fit decreasing alone
+    assert len(evolve(sizes, 100, worst, [], 2, 10, 1500)[0]) < len(worst[0])
+
+
+def test_looking_ahead_is_near_the_bound():
+    for seed in range(5):
+        sizes = triples(60, seed)
+        assert 60 <= len(least_slack(sizes, 100)) <= 62 < len(decreasing(sizes))
+
+
+def test_migration_helps():
+    """Islands that get the elite of another are at least as good as islands alone, and better in some cases."""
+    gains = 0
+    for seed in range(6):
+        sizes = triples(30, seed)
+        begin = [[best_fit(sizes, 100, [], random.Random(9 * seed + k + j).sample(range(len(sizes)), len(sizes))) for j in range(4)] for k in range(3)]
+        alone, moved = list(begin), list(begin)
+        for epoch in range(5):
+            alone = [evolve(sizes, 100, m, [], epoch * 10 + k, 4, 60) for k, m in enumerate(alone)]
+            moved = [evolve(sizes, 100, m, [moved[k - 1][0]] if epoch else [], epoch * 10 + k, 4, 60) for k, m in enumerate(moved)]
+        mean = lambda islands: sum(len(m[0]) for m in islands) / 3
+        gains += mean(alone) - mean(moved)
+    assert gains > 0
+
+
+def test_settings(spark):
+    spec = "limit_name string, used_for string, tokenizer string, max_tokens int, overlap_tokens int"
+    rows = [("a", "container", "byte_bpe_50k", 5, None), ("b", "container", None, 6, None), ("c", "piece", "x", 7, None)]
+    assert sorted(read_capacities(spark.createDataFrame(rows, spec))) == [Capacity("a", 5), Capacity("b", 6)]
+    assert read_capacities(spark.createDataFrame([("a", "container", " other", 5, None)], spec))[0].tokenizer == "other.json"
+    with pytest.raises(ValueError):
+        read_capacities(spark.createDataFrame([(str(k), "container", "x", 5, None) for k in range(1001)], spec))
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([(1, "x")], "doc_id int, text string"), "doc_id", "text", [Capacity("a", 5), Capacity("a", 6)])
+
+
+@pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
+def test_pack_beats_best_fit_decreasing_on_triples(spark):
+    sizes = triples(40, 3)
+    df = spark.createDataFrame([(i, "key " * (n - 1) + "key") for i, n in enumerate(sizes)], "doc_id int, text string")
+    encode = transducer(PATH).encode
+    assert all(len(encode("key " * (n - 1) + "key")) == n for n in sizes)
+    parts, start = packed(df, "doc_id", "text", [Capacity("t", 100)], search=Search(set_items=40, islands=4, epochs=3, generations=60))
+    begun = start.first()
+    used = len({r.container for r in parts.collect()})
+    assert begun.n_loose == 4000 and 40 <= used <= 42 < len(decreasing(sizes)) and used < begun.n_fit
 
 
 @pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
-def test_pack(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SET_ITEMS", 15)
+def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, "key " * rng.randint(1, 60), "c") for i in range(80)] + [(7, "key " * 500, "c"), (8, "key " * 64, "c"), (9, None, "c"), (10, "", "c"), (None, "key", "c")]
     rows += [(11, "key key", "c")] * 5
     df = spark.createDataFrame(rows, "doc_id bigint, text string, container string")
-    got = pack(df, "doc_id", "text", {"s": 64, "w": 200}).collect()
+    got = pack(df, "doc_id", "text", [Capacity("s", 64), Capacity("w", 200)], search=Search(set_items=15, epochs=2, generations=10)).collect()
     encode = transducer(PATH).encode
     for name, capacity in (("s", 64), ("w", 200)):
         mine = [r for r in got if r.limit_name == name]
@@ -88,7 +139,7 @@ def test_pack(spark, monkeypatch):
                 loads[r.container] += r.n_tokens
         assert max(loads.values()) <= capacity
         assert len(loads) <= 1.25 * sum(loads.values()) / capacity + 2
-    assert pack(df.limit(0), "doc_id", "text", {"s": 64}).count() == 0
-    assert pack(df, "doc_id", "text", {}).count() == 0
+    assert pack(df.limit(0), "doc_id", "text", [Capacity("s", 64)]).count() == 0
+    assert pack(df, "doc_id", "text", []).count() == 0
     with pytest.raises(ValueError):
-        pack(df, "doc_id", "text", {"s": 0})
+        pack(df, "doc_id", "text", [Capacity("s", 0)])
