@@ -6,17 +6,19 @@ same if their skeletons are equal. Prototypes:
 - invisible characters (default ignorable ones and format controls): nothing;
 - every kind of white space: a plain space;
 - compatibility forms that only differ in width, font, ligature or line breaking: their plain characters;
-- typographic quotes and dashes: the plain ones;
-- letters of other alphabets that look like a Latin letter: that letter, of the same case.
+- typographic quotes and dashes: the plain ones (the data below equate some with other marks, so these few are listed);
+- any other letter, mark of punctuation or symbol: what the Unicode confusables data in Spark's own ICU library equate it
+  with (see ``look_alikes``), whether in another script, in the same one, or several characters.
 
-Letter case, accents, ASCII characters and digits other than full-width ones stay apart. The look-alike letters come from
-the Unicode confusables data in Spark's own ICU library, read on the driver by rule (see ``look_alikes``).
+ASCII characters are never replaced (the data equate I, l, 1 and |, or m and rn). Kept apart by rule, as the difference is
+real: letters that differ in case only; digits and other numbers, other than by compatibility; accents and other
+combining marks; raised, lowered, circled and squared forms.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -40,34 +42,48 @@ _BLANK = regex.compile(r"\p{White_Space}")
 _MARKED = regex.compile(r"\P{M}\p{M}+|\p{M}+")
 
 
+_TABLES: dict[str, dict[int, str]] = {}
+
+
 def look_alikes(spark: SparkSession) -> dict[int, str]:
-    """Letters outside the Latin script that ICU's confusables equate with an ASCII letter, and that letter.
+    """Characters that ICU's confusables data equate with others, and their prototypes. Read once a session, on the driver.
 
-    ICU equates some ASCII characters with each other (I, l, 1 and |); here these stay apart, and a look-alike takes
-    the letter of its own case.
+    Characters with equal ICU skeletons form a class. The prototype is the class's ASCII character, of several the one
+    of the same case or kind, else the skeleton itself. In a class without ASCII, letters that are each other's upper and
+    lower case stay themselves.
     """
-    jvm = spark.sparkContext._jvm
-    checker = getattr(jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
-    letters = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo") and not 0x2E80 <= c <= 0xD7FF and not 0xF900 <= c <= 0xFAFF]
-    latin = regex.compile(r"\p{Script=Latin}")
-    letters = [x for x in letters if not latin.match(x) and not unicodedata.decomposition(x)]
-    ascii_letters = [chr(c) for c in range(65, 91)] + [chr(c) for c in range(97, 123)]
-    shapes = checker.getSkeleton("\n".join(ascii_letters + letters)).split("\n")
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        checker = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        _TABLES[app] = _table(lambda chars: checker.getSkeleton("\n".join(chars)).split("\n"))
+    return _TABLES[app]
+
+
+def _table(skeletons: Callable[[list[str]], list[str]]) -> dict[int, str]:
+    ascii_ = [chr(c) for c in range(33, 127)]
+    # Characters that decompose are treated by their parts.
+    others = [x for x in map(chr, range(128, 0x20000)) if unicodedata.category(x)[0] in "LPS" and not unicodedata.decomposition(x) and not _INVISIBLE.match(x) and not "\uac00" <= x <= "\ud7a3"]
+    shapes = skeletons(ascii_ + others)
     by_shape: dict[str, list[str]] = {}
-    for x, shape in zip(ascii_letters, shapes):
+    for x, shape in zip(ascii_, shapes):
         by_shape.setdefault(shape, []).append(x)
+    classes: dict[str, set[str]] = {}
+    for x, shape in zip(others, shapes[len(ascii_) :]):
+        classes.setdefault(shape, set()).add(x)
     out = {}
-    for x, shape in zip(letters, shapes[len(ascii_letters) :]):
+    for x, shape in zip(others, shapes[len(ascii_) :]):
         same = by_shape.get(shape, [])
-        upper = unicodedata.category(x) == "Lu"
-        fit = [a for a in same if a.isupper() == upper] or same
+        kind = unicodedata.category(x)
+        fit = [a for a in same if unicodedata.category(a) == kind] or [a for a in same if unicodedata.category(a)[0] == kind[0]] or same
         if fit:
             out[ord(x)] = fit[0]
+        elif shape != x and not ({x.upper(), x.lower()} - {x}) & classes[shape]:
+            out[ord(x)] = shape.replace("rn", "m")  # the data's form of m, which stays itself here
     return out
 
 
 class Prototypes(dict):
-    """A table for str.translate: ASCII is itself, white space a space; other entries are made when first met."""
+    """A table for str.translate: ASCII is itself, white space a space; other entries are made when first met. ``letters`` are the look-alikes."""
 
     def __init__(self, letters: dict[int, str]):
         super().__init__({c: c for c in range(128)} | {c: " " for c in (9, 10, 11, 12, 13)})

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from alinea.llm.bpe import tokenizer_path, transducer
+from alinea.llm.bpe import decode_stream, tokenizer_path, transducer
 from alinea.sources.tables import table
 
 
@@ -36,6 +36,25 @@ def encode_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_column(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
+    """``key`` and ``text``, the inverse of ``encode_column``; bytes that are no characters become replacement characters.
+
+    Null and empty lists give an empty text. One pass without a shuffle.
+    """
+    path = tokenizer_path(tokenizer, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = transducer(path).merges
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                texts = ["".join(decode_stream(merges, x or ())) for x in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def count_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """``key`` and ``n_tokens``, as ``encode_column`` would give them."""
     path = tokenizer_path(tokenizer, folder)
@@ -55,9 +74,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document from its ids again."""
+    return decode_column(p6_ids(spark, d), "doc_id", "ids")
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p6_texts": p6_texts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

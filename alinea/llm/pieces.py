@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ SLACK = 3
 _STOPS, _COLONS, _COMMAS = set(".!?…。！？؟।"), set(";:；：؛"), set(",，、،")
 _WIDE = set("。！？；：，、")
 _CLOSERS = "\"'’”)]}»」』"
+#: Limits that are read on the driver at most; more raise ValueError.
+MAX_LIMITS = 1000
 #: Bytes of text in an output batch.
 BATCH_BYTES = 8 << 20
 
@@ -37,6 +40,7 @@ class Limit(NamedTuple):
     name: str
     max_tokens: int
     overlap: int
+    tokenizer: str = "byte_bpe_50k.json"
 
 
 class Borders(NamedTuple):
@@ -197,19 +201,28 @@ def pieces(text: str, limit: Limit, t: Transducer, b: Borders) -> Iterator[tuple
 SCHEMA = "limit_name string, {key} {kind}, piece_no int, start_char int, end_char int, n_tokens int, shared_tokens int, ends_at string, piece string"
 
 
-def split_oversized(df: DataFrame, key: str, text: str, limits: list[Limit], tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
+def split_oversized(df: DataFrame, key: str, text: str, limits: list[Limit], folder: str | None = None) -> DataFrame:
     """One row for each piece of each text that has more tokens than a limit: ``SCHEMA``.
 
     ``piece`` is ``text[start_char:end_char]`` and has ``n_tokens`` tokens, at most ``max_tokens``; ``shared_tokens`` of
     the text's own tokens it shares with the piece before it. Texts within a limit, null and empty ones give no row for
     it. Repeated rows are cut each for itself. Texts are read whole. No shuffle. ``max_tokens`` must be larger than the
-    overlap by 8 at least, or ValueError is raised.
+    overlap by 8 at least, and names must differ, or ValueError is raised. One pass for each tokenizer that limits name.
     """
+    if len({x.name for x in limits}) < len(limits):
+        raise ValueError("names of limits must differ")
     for x in limits:
         if x.max_tokens - x.overlap < 8 or x.overlap < 0:
             raise ValueError(f"{x}: max_tokens must exceed the overlap by 8 at least")
-    path, kind = tokenizer_path(tokenizer, folder), dict(df.dtypes)[key]
-    schema = SCHEMA.format(key=f"`{key}`", kind=kind)
+    by_tokenizer: dict[str, list[Limit]] = {}
+    for x in limits:
+        by_tokenizer.setdefault(x.tokenizer, []).append(x)
+    each = [_split(df, key, text, mine, tokenizer_path(t, folder)) for t, mine in by_tokenizer.items()]
+    return reduce(DataFrame.unionByName, each) if each else _split(df.limit(0), key, text, [], "")
+
+
+def _split(df: DataFrame, key: str, text: str, limits: list[Limit], path: str) -> DataFrame:
+    schema = SCHEMA.format(key=f"`{key}`", kind=dict(df.dtypes)[key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
@@ -243,8 +256,14 @@ def split_oversized(df: DataFrame, key: str, text: str, limits: list[Limit], tok
 
 
 def read_limits(limits: DataFrame) -> list[Limit]:
-    """The piece limits of a settings table, whose few rows are read on the driver. A null overlap is none."""
-    rows = limits.where(F.col("used_for") == "piece").select("limit_name", "max_tokens", F.coalesce("overlap_tokens", F.lit(0))).limit(1000).collect()
+    """The piece limits of a settings table, read on the driver. More than ``MAX_LIMITS`` raise ValueError.
+
+    A null overlap is none, a null or empty tokenizer ``byte_bpe_50k``.
+    """
+    name = F.coalesce(F.nullif(F.trim("tokenizer"), F.lit("")), F.lit("byte_bpe_50k"))
+    rows = limits.where(F.col("used_for") == "piece").select("limit_name", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).cast("int"), F.concat(name, F.lit(".json"))).limit(MAX_LIMITS + 1).collect()
+    if len(rows) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
     return [Limit(*r) for r in rows]
 
 
@@ -254,9 +273,20 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", limits)
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any right cut: per limit, the texts cut and that their pieces go from end to end, in the limit, without a hole."""
+    made = p8_pieces(spark, d).join(F.broadcast(table(spark, d, "size_limits").where("used_for = 'piece'").select("limit_name", "max_tokens")), "limit_name")  # a row for each limit
+    own = F.col("end_char") - F.col("start_char")
+    per = made.groupBy("limit_name", "doc_id").agg(
+        F.min("start_char").alias("first"), F.max("end_char").alias("last"), F.max(F.col("n_tokens") - F.col("max_tokens")).alias("over"), F.count(F.lit(1)).alias("n"), F.max("piece_no").alias("no"), F.sum(own).alias("chars"), F.count_if(F.length("piece") != own).alias("off"))
+    met = per.join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars")), "doc_id")
+    good = (F.col("first") == 0) & (F.col("last") == F.col("n_chars")) & (F.col("over") <= 0) & (F.col("n") == F.col("no")) & (F.col("chars") >= F.col("n_chars")) & (F.col("off") == 0)
+    return met.groupBy("limit_name").agg(F.bool_and(good).alias("good"))
+
+
 def queries() -> dict:
-    return {"p8_pieces": p8_pieces}
+    return {"p8_pieces": p8_pieces, "p8_whole": p8_whole}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_whole": "SELECT limit_name, true AS good FROM size_limits WHERE used_for = 'piece'"}

@@ -17,8 +17,11 @@ SAME = [
     ("соrе οіѕ", "core ois"),
     ("Іdentity АΒ", "Identity AB"),
     ("“amber” – don’t", "\"amber\" - don't"),
+    ("ɑɡıle", "agile"),  # of the same script
+    ("Λ", "Л"), ("ロ", "口"), ("ʍ", "м"), ("·", "•"), ("3∶4", "3:4"),  # between other scripts, and symbols
+    ("Œuvre œ", "OEuvre oe"),  # several characters
 ]
-DIFFERENT = [("Core", "core"), ("resume", "résumé"), ("O1", "01"), ("l", "I"), ("l", "1"), ("rn", "m"), ("10²", "102"), ("①", "1"), ("a b", "ab"), ("і", "I"), ("", "x")]
+DIFFERENT = [("Core", "core"), ("resume", "résumé"), ("O1", "01"), ("l", "I"), ("l", "1"), ("rn", "m"), ("10²", "102"), ("①", "1"), ("a b", "ab"), ("і", "I"), ("", "x"), ("Ө", "ө"), ("٣", "3"), ("Λ", "A"), ("ă", "a"), ("ø", "o"), ("Ж", "ж")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -61,3 +64,8 @@ def test_groups(spark):
     rows = [("office",), ("oﬃce",), ("office",), ("Office",), (None,), ("",)]
     got = skeleton_groups(spark.createDataFrame(rows, "text string"), "text").collect()
     assert [tuple(r) for r in got] == [("office", 3, 2)]
+
+
+def test_the_table_is_read_once_a_session(spark):
+    assert look_alikes(spark) is look_alikes(spark)
+    assert not any(c < 128 for c in look_alikes(spark))

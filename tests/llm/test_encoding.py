@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 tokenizers = pytest.importorskip("tokenizers")
 
 from alinea.llm.bpe import Merges, Transducer, Utf8Machine, decode_stream, tokenizer_path, transducer
-from alinea.llm.encoding import count_column, encode_column
+from alinea.llm.encoding import count_column, decode_column, encode_column
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
@@ -84,3 +84,12 @@ def test_column(spark, library):
     assert got == [(0, library("tie")), (1, library("Hello  world")), (2, []), (3, []), (3, [])]
     assert encode_column(df.limit(0), "doc_id", "text").count() == 0
     assert sorted((r.doc_id or 0, r.n_tokens) for r in count_column(df, "doc_id", "text").collect()) == [(0, 1), (1, 3), (2, 0), (3, 0), (3, 0)]
+
+
+def test_decode_column(spark):
+    texts = ["one two", "", None, "é‍👩‍🚀 \x00 <|endoftext|>", "x" * 5000]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id int, text string, ids string")
+    back = decode_column(encode_column(df, "doc_id", "text"), "doc_id", "ids")
+    assert [r.text for r in back.orderBy("doc_id").collect()] == [t or "" for t in texts]
+    lists = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
+    assert [r.text for r in decode_column(lists, "doc_id", "ids").collect()] == ["", ""]

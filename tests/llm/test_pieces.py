@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from alinea.llm.bpe import tokenizer_path, transducer
-from alinea.llm.pieces import Limit, SLACK, borders, cut, pieces, split_oversized
+from alinea.llm.pieces import Limit, SLACK, borders, cut, pieces, read_limits, split_oversized
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
@@ -70,3 +70,13 @@ def test_column(spark):
     assert split_oversized(df, "doc_id", "text", []).count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "doc_id", "text", [Limit("s", 10, 8)])
+
+
+def test_settings(spark):
+    spec = "limit_name string, used_for string, tokenizer string, max_tokens int, overlap_tokens int"
+    rows = [("a", "piece", "byte_bpe_50k", 50, None), ("b", "piece", " ", 60, 7), ("c", "container", "x", 7, None), ("d", "piece", "other", 60, 0)]
+    assert sorted(read_limits(spark.createDataFrame(rows, spec))) == [Limit("a", 50, 0), Limit("b", 60, 7), Limit("d", 60, 0, "other.json")]
+    with pytest.raises(ValueError):
+        read_limits(spark.createDataFrame([(str(k), "piece", "x", 50, None) for k in range(1001)], spec))
+    with pytest.raises(ValueError):
+        split_oversized(spark.createDataFrame([(1, "x")], "doc_id int, text string"), "doc_id", "text", [Limit("a", 50, 0), Limit("a", 60, 0)])
