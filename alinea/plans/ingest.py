@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alinea.functions.text import IDENTIFIER, MODAL, VALUE, identifiers, modal, values
+from alinea.functions.text import IDENTIFIER, MODAL, REFERENTIAL, VALUE, identifiers, modal, tokens, values
 from alinea.operators import parsing
 from alinea.operators.current import current
 from alinea.operators.hierarchy import children, path_order
+from alinea.plans.retrieval import _tok
 from alinea.sources.tables import table
 
 
@@ -42,16 +43,16 @@ def guidance_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all pages with their documents' metadata."""
-    docs = _docs(spark, d)
-    meta = docs.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title_en", "issuing_body", "status")], "year")
-    return parsing.chunks(docs, "doc_id", "text").join(meta, "doc_id", "left")
+    meta = ("title_en", "issuing_body", "status")
+    docs = _docs(spark, d).select("doc_id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in meta], "year")
+    return parsing.chunks(docs, "doc_id", "text", keep=(*meta, "year"))
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Per source: chunks and their lengths."""
-    c = parsing.chunks(_docs(spark, d), "doc_id", "text").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
-    n = F.length("chunk")
-    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.min(n).alias("least"), F.expr("sum(length(chunk)) div count(1)").alias("mean"), F.max(n).alias("most"))
+    """Per source: chunks, their lengths, and their tokens."""
+    c = parsing.chunks(_docs(spark, d), "doc_id", "text", keep=("source",)).select("source", F.length("chunk").alias("c"), F.size(tokens("chunk")).alias("t"))
+    sizes = [e for x, n in (("c", "chars"), ("t", "tokens")) for e in (F.min(x).alias(f"least_{n}"), F.expr(f"sum({x}) div count(1)").alias(f"mean_{n}"), F.max(x).alias(f"most_{n}"))]
+    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), *sizes)
 
 
 def document_clauses(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,7 @@ def clause_kinds(spark: SparkSession, d: str) -> DataFrame:
     c = current(table(spark, d, "clauses"), "clause_id", "loaded_at", "retired_at").drop("n_children", "child_ids")
     c = c.join(children(c, "clause_id", "parent_id", path_order("path")), "clause_id")
     stem = (F.col("n_children") > 0) & F.col("text").rlike(r"[:;]\s*$")
-    points = F.col("text").rlike(r"(?i)(please\s+refer\s+to|refer\s+to\s+the|see\s+appendix|as\s+defined\s+in\s+the)")
+    points = F.col("text").rlike(REFERENTIAL)
     kind = F.when(stem, "stem").when((F.col("clause_type") == "referential") | points, "referential").otherwise(F.when(F.col("clause_type") == "stem", "substantive").otherwise(F.col("clause_type")))
     return c.groupBy("level", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if("has_numeric_param").alias("n_with_value"))
 
@@ -110,11 +111,15 @@ def json_answers(spark: SparkSession, d: str) -> DataFrame:
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Controls nested into one catalogue a family and flattened again."""
     c = table(spark, d, "controls").groupBy("control_id").agg(F.max_by(F.struct("*"), "loaded_at").alias("r")).select("r.*")
-    prop = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    part = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("prose"))
-    props = F.array(prop("label", F.col("control_id")), prop("status", F.when(F.col("withdrawn"), "withdrawn").otherwise("active")))
+    prop = lambda n, v, k: F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(k).alias("class"))
+    part = lambda n, v, *inner: F.struct(F.lit(n).alias("name"), v.alias("prose"), *inner)
+    padded = F.regexp_replace("control_id", "-([0-9])\\b", "-0$1")
+    props = F.array(prop("label", padded, "zero-padded"), prop("label", F.col("control_id"), "sp"), prop("status", F.when(F.col("withdrawn"), F.lit("withdrawn")).otherwise(F.lit("active")), ""))
+    # The statement has an inner part that names the last parameter, and an assessment that must not come out.
+    names = F.concat(F.lit("See {{ insert: param, "), F.element_at("param_ids", -1), F.lit(" }} and {{insert: param, none}}."))
+    inner = F.array(F.struct(F.lit("item").alias("name"), F.when(F.size("param_ids") > 0, names).alias("prose"), F.array(prop("label", F.lit("a."), "")).alias("props")), F.struct(F.lit("assessment").alias("name"), F.lit("Never said.").alias("prose"), F.array(prop("label", F.lit("x."), "")).alias("props")))
     node = [
-        F.col("oscal_id").alias("id"), "title", props.alias("props"), F.array(part("statement", F.col("statement")), part("guidance", F.col("guidance"))).alias("parts"),
+        F.col("oscal_id").alias("id"), "title", props.alias("props"), F.array(part("statement", F.col("statement"), inner.alias("parts")), part("guidance", F.col("guidance"), F.lit(None).cast("array<struct<name: string, prose: string, props: array<struct<name: string, value: string, class: string>>>>").alias("parts"))).alias("parts"),
         F.zip_with("param_ids", "params", lambda i, p: F.struct(i.alias("id"), p.alias("label"))).alias("params"),
         F.transform("related", lambda r: F.struct(F.lit("related").alias("rel"), F.concat(F.lit("#"), F.lower(r)).alias("href"))).alias("links"),
     ]
@@ -130,6 +135,26 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
 _PAGED = """pg AS (SELECT doc_id, unnest(CASE WHEN len(nums) > 0 THEN list_transform(range(1, len(nums) + 1), lambda i: {'place': i, 'page': nums[i]::INT, 'body': parts[i + 1]}) ELSE [{'place': 1, 'page': 1, 'body': text}] END) AS p
   FROM (SELECT doc_id, text, regexp_extract_all(text, '<<<PAGE ([0-9]+)>>>\\n', 1) AS nums, string_split_regex(text, '<<<PAGE [0-9]+>>>\\n') AS parts FROM documents WHERE text IS NOT NULL)),
 pages AS (SELECT doc_id, p.place AS place, p.page AS page, p.body AS body FROM pg)"""
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _ends(a: str) -> str:
+    """SQL for where the window that begins at ``a`` ends: behind the last break of the best kind in its later half."""
+    s = f"substr(body, {a} + 1, 1200)"
+    last = lambda m: f"length(regexp_extract({s}, '(?s)^(.*){m}', 1))"
+    kinds = [(r"\n\n", "chr(10) || chr(10)", 2), (r"\n", "chr(10)", 1), (r"\. ", "'. '", 2), (" ", "' '", 1)]
+    whens = " ".join(f"WHEN contains({s}, {c}) AND {last(m)} > 600 THEN {a} + {last(m)} + {n}" for m, c, n in kinds)
+    return f"CASE WHEN {a} + 1200 >= length(body) THEN length(body) {whens} ELSE {a} + 1200 END"
+
+
+_CHUNKS = f"""WITH RECURSIVE {_PAGED}, w AS (
+  SELECT doc_id, place, page, 0::BIGINT AS a, {_ends('0')} AS z FROM pages WHERE length(body) > 0
+  UNION ALL SELECT doc_id, place, page, a, {_ends('a')} FROM (SELECT p.doc_id, p.place, p.page, p.body, CASE WHEN w.z - 150 > w.a THEN w.z - 150 ELSE w.a + 600 END AS a
+    FROM w JOIN pages p ON p.doc_id = w.doc_id AND p.place = w.place WHERE w.z < length(p.body))),
+cut AS (SELECT w.doc_id, w.place, w.page, a, substr(body, a + 1, z - a) AS raw FROM w JOIN pages p ON p.doc_id = w.doc_id AND p.place = w.place),
+bare AS (SELECT *, regexp_replace(raw, '^{_BLANKS}+', '') AS l, regexp_replace(regexp_replace(raw, '^{_BLANKS}+', ''), '{_BLANKS}+$', '') AS chunk FROM cut),
+ch AS (SELECT doc_id, page, a::INT AS char_start, (a + length(chunk))::INT AS char_end, (a + length(raw) - length(l))::INT AS span_start, (a + length(raw) - length(l) + length(chunk))::INT AS span_end, chunk,
+  row_number() OVER (PARTITION BY doc_id ORDER BY place, a) AS k FROM bare WHERE chunk <> '')"""
 _LINES = rf"""lines AS (SELECT doc_id, place, line_no, line FROM (
   SELECT doc_id, place, i AS line_no, regexp_replace(regexp_replace(ls[i], '{parsing.NOISE_INLINE}', ' ', 'g'), '\s+$', '') AS line
   FROM (SELECT doc_id, place, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, place, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM pages)))
@@ -151,12 +176,16 @@ def oracle_sql() -> dict[str, str]:
 i AS (SELECT l.*, struct_pack(place, line_no) AS spot FROM lines l JOIN a ON a.doc_id = l.doc_id WHERE struct_pack(place, line_no) > a.a),
 z AS (SELECT doc_id, min(spot) AS z FROM i WHERE regexp_matches(line, '^[A-Z]{{2}}-[0-9]+(\([0-9]+\))? [A-Z -]+$') GROUP BY 1)
 SELECT i.doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars FROM i LEFT JOIN z ON z.doc_id = i.doc_id WHERE z IS NULL OR spot < z GROUP BY 1""",
+        "document_chunks": f"""{_CHUNKS} SELECT printf('%d::p%d::c%04d', ch.doc_id, ch.page, k) AS chunk_id, ch.doc_id, ch.page, char_start, char_end, span_start, span_end, chunk,
+  coalesce(title_en, '') AS title_en, coalesce(issuing_body, '') AS issuing_body, coalesce(status, '') AS status, year FROM ch JOIN documents d ON d.doc_id = ch.doc_id""",
+        "chunk_stats": f"""{_CHUNKS}, s AS (SELECT source, length(chunk) AS c, len({_tok('chunk')}) AS t FROM ch JOIN documents d ON d.doc_id = ch.doc_id)
+SELECT source, count(*) AS n_chunks, min(c) AS least_chars, (sum(c) // count(*))::BIGINT AS mean_chars, max(c) AS most_chars, min(t) AS least_tokens, (sum(t) // count(*))::BIGINT AS mean_tokens, max(t) AS most_tokens FROM s GROUP BY 1""",
         "first_modal": rf"SELECT DISTINCT clause_id, loaded_at, nullif(lower(regexp_extract(text, '{MODAL}', 1)), '') AS deontic FROM clauses",
         "stated_values": f"""WITH v AS (SELECT clause_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{VALUE}', 1), lambda x: lower({space})))) AS value FROM clauses)
 SELECT value, count(*) AS n_rows, count(DISTINCT clause_id) AS n_clauses FROM v GROUP BY 1""",
         "clause_kinds": rf"""WITH cla AS (SELECT * FROM (SELECT * FROM clauses QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY loaded_at DESC) = 1) WHERE retired_at IS NULL)
 SELECT level, CASE WHEN regexp_matches(text, '[:;]\s*$') AND clause_id IN (SELECT parent_id FROM cla WHERE parent_id IS NOT NULL) THEN 'stem'
-  WHEN clause_type = 'referential' OR regexp_matches(text, '(?i)(please\s+refer\s+to|refer\s+to\s+the|see\s+appendix|as\s+defined\s+in\s+the)') THEN 'referential'
+  WHEN clause_type = 'referential' OR regexp_matches(text, '{REFERENTIAL}') THEN 'referential'
   WHEN clause_type = 'stem' THEN 'substantive' ELSE clause_type END AS kind, count(*) AS n, count(*) FILTER (has_numeric_param) AS n_with_value FROM cla GROUP BY 1, 2""",
         "identifier_harvest": f"SELECT identifier, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, upper(unnest(regexp_extract_all(text, '{IDENTIFIER}'))) AS identifier FROM documents) GROUP BY 1 ORDER BY n DESC, identifier LIMIT 12",
         "corpus_stats": "SELECT status, count(*) AS n_docs, min(length(text)) AS least, (sum(length(text)) // count(text))::BIGINT AS mean, max(length(text)) AS most, count(*) FILTER (coalesce(length(text), 0) = 0) AS n_empty FROM documents GROUP BY 1",
@@ -167,7 +196,8 @@ s AS (SELECT line_no, b, strpos(b, '[') AS i, length(b) - strpos(reverse(b), ']'
 j AS (SELECT line_no, CASE WHEN i > 0 AND strpos(b, ']') > 0 AND k > i THEN substr(b, i, k - i + 1) END AS j FROM s)
 SELECT line_no, CASE WHEN j IS NULL THEN 'no JSON array' WHEN NOT json_valid(j) THEN 'malformed JSON' ELSE '' END AS error,
   CASE WHEN j IS NOT NULL AND json_valid(j) THEN len(list_filter(CAST(CASE WHEN json_valid(j) THEN j ELSE '[]' END AS JSON[]), lambda x: json_type(x) = 'OBJECT')) ELSE 0 END AS n_objects FROM j""",
-        "catalogue": """SELECT control_id, oscal_id, family, title, is_enhancement, parent_id, withdrawn, trim(statement) AS statement, coalesce(trim(guidance), '') AS guidance, n_params, array_to_string(params, '|') AS params, upper(array_to_string(related, '|')) AS related
+        "catalogue": """SELECT control_id, oscal_id, family, title, is_enhancement, parent_id, withdrawn,
+  concat_ws(chr(10), nullif(trim(statement), ''), CASE WHEN len(param_ids) > 0 THEN 'a. See [' || params[-1] || '] and [none].' END) AS statement, coalesce(trim(guidance), '') AS guidance, n_params, array_to_string(params, '|') AS params, upper(array_to_string(related, '|')) AS related
 FROM (SELECT * FROM controls QUALIFY row_number() OVER (PARTITION BY control_id ORDER BY loaded_at DESC) = 1) c
 WHERE NOT is_enhancement OR EXISTS (SELECT 1 FROM controls p WHERE p.control_id = c.parent_id AND NOT p.is_enhancement)""",
     }
