@@ -9,13 +9,15 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 #: Token pattern (identifiers before plain words), words that are no tokens, and the patterns that mark
-#: modal verbs, references to other texts, concrete values and control identifiers.
+#: modal verbs, references to other texts, concrete values, control identifiers, and what a list item that states
+#: something itself has. Digits are spelt [0-9], as \d means other characters in the regex dialects that read these.
 TOKEN = r"[A-Za-z]{2}-[0-9]{1,2}\([0-9]{1,2}\)(?:\([0-9]{1,2}\))?|[A-Za-z]{2}-[0-9]{1,2}|[0-9]+(?:\.[0-9]+){1,3}[a-z]?|[A-Za-z][A-Za-z0-9']+"
 STOP = "the a an and or of to in for on at by with as is are be been was were this that these those it its which from such any all".split()
 MODAL = r"(?i)\b(should|shall|must|may)\b"
 REFERENTIAL = r"(?i)(please\s+refer\s+to|refer\s+to\s+the|see\s+appendix|as\s+defined\s+in\s+the)"
 VALUE = r"(?i)\b(quarterly|annual(?:ly)?|monthly|weekly|daily|bi-annual(?:ly)?|twice\s+a\s+year|24x7|24/7|[0-9]+\s+successive|[0-9]+\s+consecutive|at\s+least\s+[0-9]+|[0-9]+\s+days?|[0-9]+\s+months?|[0-9]+\s+years?)\b"
 IDENTIFIER = r"[A-Za-z]{2}-[0-9]{1,2}(?:\([0-9]{1,2}\))?"
+STATES = r"(?i)\b(is|are|was|were|be|been|shall|should|must|may|will|can)\b|\b\w+(?:ing|ed|es|s)\b\s+(?:for|to|by|with|in|on|that|the)\b"
 TYPOGRAPHIC = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " "}
 #: Evidence with fewer normalised characters is none; z of the 95 % interval.
 MIN_EVIDENCE, Z95 = 15, 1.96
@@ -34,10 +36,9 @@ def collapse(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, most: int) -> Column:
-    """A collapsed text of at most ``most`` characters, cut at the last blank before with an ellipsis."""
-    flat = collapse(c)
-    head = F.substring(flat, 1, most - 1)
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…")))
+    """A collapsed text; if it is longer than ``most``, its first ``most`` characters up to the last blank in them (all, without one) and an ellipsis."""
+    flat = collapse(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most), r" [^ ]*$", ""), F.lit("…")))
 
 
 def modal(c: Column | str) -> Column:
@@ -51,6 +52,13 @@ def values(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(collapse(x)))))
 
 
+def enumerative(text: Column, inherits: Column) -> Column:
+    """Whether a text is a list item that states nothing itself: it takes its modal verb from above (``inherits``), is short, ends like an item, and has no verb of its own."""
+    bare = F.trim(text)
+    listed = inherits & (F.length(bare) < 70) & bare.rlike(r"[;.]$") & ~bare.rlike(STATES)
+    return F.coalesce(listed, F.lit(False))
+
+
 def identifiers(c: Column | str) -> Column:
     """Control-like identifiers in upper case, with repeats."""
     return F.transform(F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0)), F.upper)

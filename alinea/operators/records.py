@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -116,11 +118,61 @@ def drift(recorded: DataFrame, held: DataFrame, key: str, digest: str) -> DataFr
     return a.join(b, key, "full").select(key, state.alias("state"))
 
 
-def sniff(content: Column, kind: Column, name: Column) -> Column:
-    """The format of a file: by its first bytes, else its content type, else its name's ending, else bin."""
+#: Formats by the first bytes, what a content type has in it, and how an address ends; the first that fits.
+FORMATS = [
+    ("pdf", "%PDF-", "pdf", (".pdf",)),
+    ("html", None, "html", (".html", ".htm", "/")),
+    ("docx", None, "openxmlformats-officedocument.wordprocessing", (".docx",)),
+    ("xlsx", None, "spreadsheet", (".xlsx", ".xls")),
+    ("txt", None, "text/plain", ()),
+]
+
+
+def sniff(content: Column, kind: Column, address: Column) -> Column:
+    """The format of a file by ``FORMATS``: its first bytes, its content type or how its address ends; else ``unknown``."""
     head = F.decode(F.substring(content, 1, 5), "ISO-8859-1")
-    low, end = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(F.regexp_extract(name, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1), F.lit("")))
-    return F.when(head == "%PDF-", "pdf").when(F.contains(low, F.lit("pdf")), "pdf").when(F.contains(low, F.lit("html")), "html").when(F.contains(low, F.lit("json")), "json").when(end.isin("pdf", "html", "json", "csv", "xml", "txt"), end).when(end == "htm", "html").otherwise("bin")
+    low, where = (F.lower(F.coalesce(x, F.lit(""))) for x in (kind, address))
+    out = F.lit("unknown")
+    for name, magic, typed, ends in reversed(FORMATS):
+        fits = F.contains(low, F.lit(typed))
+        for e in ends:
+            fits = fits | F.endswith(where, F.lit(e))
+        out = F.when(fits | (head == magic), name).otherwise(out) if magic else F.when(fits, name).otherwise(out)
+    return out
+
+
+#: Fixed values of the register's guard: tiers, patterns of ids, digests and dates, what a core record must have.
+TIERS, DOC_ID, SHA, DATE = ["core", "referenced", "method"], r"^[A-Z]{2,4}-[A-Z0-9]{2,12}-[A-Z0-9]{2,20}-[0-9]{4}$", r"^[a-f0-9]{64}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+CORE_FIELDS = ["url", "sha256", "local_path", "url_accessed"]
+
+
+def guard(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``doc_id, error`` for everything that keeps a register (text columns) from being published.
+
+    Per record: a line break in any column, an id of another form, an unknown tier, a core record that lacks one of
+    ``CORE_FIELDS``, a digest or date of another form, a sentence twice in the notes, another record without an address.
+    For the whole (null ``doc_id``): repeated ids, and another number of records than ``rows``. Missing and empty are alike.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    said = F.filter(F.transform(F.split(F.coalesce("notes", F.lit("")), r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    found = [F.when(F.contains(F.col(c), F.lit("\n")), F.lit(f"line break in {c}")) for c in df.columns]
+    found += [F.when(~F.coalesce(F.col("doc_id").rlike(DOC_ID), F.lit(False)), "bad doc_id"), F.when(~F.coalesce(F.col("tier").isin(TIERS), F.lit(False)), "unknown tier")]
+    found += [F.when((F.col("tier") == "core") & ~filled(c), F.lit(f"core record without {c}")) for c in CORE_FIELDS]
+    found += [F.when(filled("sha256") & ~F.col("sha256").rlike(SHA), "malformed sha256"), F.when(filled("url_accessed") & ~F.col("url_accessed").rlike(DATE), "bad date")]
+    found += [F.when(F.size(F.array_distinct(said)) < F.size(said), "sentence twice in notes"), F.when(F.col("tier").isin("referenced", "method") & ~filled("url"), "record without url")]
+    each = df.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("error"))
+    whole = df.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("doc_id") < F.count("doc_id")).alias("twice"))
+    wrong = [F.when(F.col("twice"), "duplicate doc_id")]
+    if rows is not None:
+        wrong.append(F.when(F.col("n") != rows, F.concat(F.lit("row count "), "n", F.lit(f" is not {rows}"))))
+    return each.unionByName(whole.select(F.lit(None).cast(dict(df.dtypes)["doc_id"]).alias("doc_id"), F.explode(F.array_compact(F.array(*wrong))).alias("error")))
+
+
+def readiness(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row, ``ready, missing``: whether each of the named tables has a row, and the names of those that have none."""
+    some = [t.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), F.lit(name).alias("name"), "n") for i, (name, t) in enumerate(tables.items())]
+    empty = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.struct("i", "name"))))  # a row for each table
+    return reduce(DataFrame.unionByName, some).agg(empty.alias("e")).select((F.size("e") == 0).alias("ready"), F.array_join(F.transform("e", lambda x: x["name"]), ", ").alias("missing"))
 
 
 def tallies(df: DataFrame, columns: list[str]) -> DataFrame:
