@@ -124,6 +124,69 @@ def prompts(rows: DataFrame, focal: dict[str, str], target: str = "candidates")
     return rows.withColumn("prompt", F.concat_ws("\n", *head, F.array_join(each, "\n"), F.lit("Return a JSON array.")))
 
 
+def _lines(*parts: Column) -> Column:
+    """Parts below each other; null ones are left out."""
+    return F.concat_ws("\n", *parts)
+
+
+def _line(label: str, value: Column, when: Column | None = None) -> Column:
+    """A labelled line; null where ``when`` doesn't hold."""
+    text = F.concat(F.lit(label), F.coalesce(value.cast("string"), F.lit("")))
+    return text if when is None else F.when(when, text)
+
+
+def control_block(c: Column) -> Column:
+    """A control (struct: control_id, title, family, family_title, is_enhancement, parent_id, statement, params) as a prompt shows it."""
+    return F.when(c.isNotNull(), _lines(
+        F.concat(F.lit("### "), c["control_id"], F.lit(" - "), F.coalesce(c["title"], F.lit(""))),
+        F.concat(F.lit("Family: "), F.coalesce(c["family"], F.lit("")), F.lit(" ("), F.coalesce(c["family_title"], F.lit("")), F.lit(")")),
+        _line("Enhancement of ", c["parent_id"], c["is_enhancement"]),
+        _line("Statement: ", F.coalesce(F.nullif(c["statement"], F.lit("")), F.lit("(none)"))),
+        _line("Open parameters: ", F.array_join(c["params"], "; "), F.size(c["params"]) > 0)))
+
+
+def clause_block(c: Column) -> Column:
+    """A clause (struct: clause_id, subdomain, subdomain_title, principle, text, n_children, full_text, numeric_params) as a prompt shows it."""
+    return _lines(
+        _line("Identifier: ", c["clause_id"]), F.concat(F.lit("Subdomain: "), F.coalesce(c["subdomain"], F.lit("")), F.lit(" "), F.coalesce(c["subdomain_title"], F.lit(""))),
+        _line("Principle of the subdomain: ", c["principle"], c["principle"] != ""), _line("\nText:\n", c["text"]),
+        _line("\nWith its items:\n", c["full_text"], c["n_children"] > 0), _line("\nStates a value: ", F.array_join(c["numeric_params"], ", "), F.size(c["numeric_params"]) > 0))
+
+
+def _quoted(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{label}: “"), F.coalesce(value, F.lit("")), F.lit("”"))
+
+
+def opponent_prompt(clause: Column, finding: Column, control: Column, others: Column, most: int = 6) -> Column:
+    """What an opponent is asked about a finding (struct: control_id, relationship, confidence, evidence_sama, evidence_nist, rationale).
+
+    ``control`` is the finding's own (null if unknown), ``others`` the further ones that were offered, of which the first ``most`` are shown.
+    """
+    shown = F.slice(F.filter(others, lambda o: o["control_id"] != finding["control_id"]), 1, most)
+    brief = F.transform(shown, lambda o: F.concat(F.lit("- "), o["control_id"], F.lit(" - "), F.coalesce(o["title"], F.lit("")), F.lit(": "), F.substring(F.coalesce(o["statement"], F.lit("")), 1, 220)))
+    return _lines(
+        F.lit("## Clause"), clause_block(clause), F.lit("\n## The proposed mapping"), _line("Control: ", finding["control_id"]), _line("Relationship: ", finding["relationship"]), _line("Confidence: ", finding["confidence"]),
+        _quoted("Evidence from the clause", finding["evidence_sama"]), _quoted("Evidence from the control", finding["evidence_nist"]), _line("Stated reason: ", finding["rationale"]),
+        F.lit("\n## The control as proposed"), control_block(control), F.when(F.size(shown) > 0, _lines(F.lit("\n## Other controls that were available"), F.array_join(brief, "\n"))), F.lit("\nReturn the JSON object now."))
+
+
+def arbiter_prompt(clause: Column, finding: Column, objection: Column, control: Column, others: Column, most: int = 5) -> Column:
+    """What an arbiter is asked: both positions (objection: struct of objection, grounds, argument, proposed_relationship,
+    proposed_control_id, strength) and the controls that may be cited: the finding's, the proposed one, and ``most`` others."""
+    instead = F.nullif(F.coalesce(objection["proposed_control_id"], F.lit("")), F.lit(""))
+    proposed = F.filter(others, lambda o: (o["control_id"] == instead) & (o["control_id"] != finding["control_id"]))
+    rest = F.slice(F.filter(others, lambda o: (o["control_id"] != finding["control_id"]) & ~o["control_id"].eqNullSafe(instead)), 1, most)
+    cited = F.transform(F.concat(F.array_compact(F.array(control)), proposed, rest), lambda o: F.concat(control_block(o), F.lit("\n")))
+    against = F.when(objection["objection"], _lines(
+        _line("Grounds: ", objection["grounds"]), _line("Argument: ", objection["argument"]),
+        F.concat(F.lit("Proposed instead: "), F.coalesce(F.nullif(objection["proposed_relationship"], F.lit("")), F.lit("(unchanged)")), F.coalesce(F.concat(F.lit(" on "), instead), F.lit(""))), _line("Stated strength: ", objection["strength"]),
+    )).otherwise(_line("No objection raised. Reason given: ", objection["argument"]))
+    return _lines(
+        F.lit("## Clause"), clause_block(clause), F.lit("\n## Position A: the proposal"), F.concat(_line("Control: ", finding["control_id"]), _line(", relationship: ", finding["relationship"])),
+        _quoted("Evidence of the clause", finding["evidence_sama"]), _quoted("Evidence of the control", finding["evidence_nist"]), _line("Reason: ", finding["rationale"]),
+        F.lit("\n## Position B: the objection"), against, F.lit("\n## Candidate controls (only these may be cited)"), F.array_join(cited, "\n"), F.lit("Return the JSON object now."))
+
+
 def estimated_tokens(c: Column | str) -> Column:
     """A rough size of a prompt: a token for four characters."""
     return F.expr(f"length({c}) div 4") if isinstance(c, str) else F.floor(F.length(c) / 4)
