@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alinea.functions.text import tokens
-from alinea.plans.skew import checked_broadcast
+from alinea.plans.skew import HOT_ROWS, checked_broadcast, skew_join
 from alinea.plans.stage import staged
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
@@ -32,24 +32,32 @@ def term_stats(posts: DataFrame, items: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf.alias("idf"))  # one row: no growth
 
 
-def impacts(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``term, item, impact``: what one occurrence of a term in a query adds to the item's BM25 score."""
+def impacts(items: DataFrame, item: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``term, item, impact``: what one occurrence of a term in a query adds to the item's BM25 score.
+
+    Postings are made once and staged. Their join with the terms' weights is salted for terms that stand in more than
+    ``hot_rows`` items, which their counted document frequencies name.
+    """
     each = items.select(F.col(item).alias("item"), tokens(text).alias("tokens"))
     stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_dl"))
-    posts = postings(items, item, text)
+    posts = staged(postings(items, item, text), "postings")
+    df = staged(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    hot = staged(df.where(F.col("df") > hot_rows).select("term", F.ceil(F.col("df") / hot_rows).cast("int").alias("_slices")), "hot")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), F.lit(IDF_FLOOR))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    return posts.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "item", w.alias("impact"))  # stats: one row
+    met = skew_join(posts, df, ["term"], "inner", None, hot_rows, (hot, hot.count()))
+    return met.crossJoin(F.broadcast(stats)).select("term", "item", w.alias("impact"))  # stats: one row
 
 
-def bm25_scores(queries: DataFrame, query: str, text: str, index: DataFrame) -> DataFrame:
+def bm25_scores(queries: DataFrame, query: str, text: str, index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``query, item, score`` for all pairs that share a term; repeated query terms count each time.
 
-    Terms of a query are counted before the join, so a term's postings meet each query once.
+    Terms of a query are counted before the join, so a term's postings meet each query once; the postings of terms with
+    more than ``hot_rows`` are dealt over several tasks.
     """
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(text)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return asked.join(index, "term").groupBy("query", "item").agg(F.round(F.sum(F.col("qtf") * F.col("impact")), PLACES).alias("score"))
+    met = skew_join(index.select("term", "item", "impact"), asked, ["term"], "inner", None, hot_rows)
+    return met.groupBy("query", "item").agg(F.round(F.sum(F.col("qtf") * F.col("impact")), PLACES).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -128,9 +136,11 @@ def _top_in_blocks(queries: DataFrame, query: str, text: str, index: DataFrame,
                 scores = np.concatenate([f[1] for f in found]) if found else np.zeros(0)
                 yield pa.record_batch([names.take(pa.array(which)), block.items.take(pa.array(items)), pa.array(scores)], names=["query", "item", "score"])
 
-    blocks = staged(blocks, "index-blocks")
-    spread = staged(sets, "query-blocks").repartition(min(asked, 4 * queries.sparkSession.sparkContext.defaultParallelism))
-    pairs = spread.join(checked_broadcast(blocks, posts))  # blocks with blocks: a stated set of queries against all items
+    # A stated set of queries against all items: the query blocks go to every block of the index, which comes to their
+    # tasks whole where its counted rows and bytes are small; else every block goes to one task, once.
+    everywhere = staged(sets, "query-blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(posts - 1).cast("bigint"))))
+    spread = everywhere.repartition(min(asked * posts, 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    pairs = spread.join(checked_broadcast(staged(blocks, "index-blocks"), posts), "block").select("block", "posts", "queries")
     return pairs.mapInArrow(run, f"query {q_type}, item {i_type}, score double")
 
 

@@ -22,13 +22,28 @@ def family_profiles(controls: DataFrame) -> DataFrame:
     return grouped.select("family", "family_title", "n_base", "n_total", F.concat("family_title", F.lit(". "), F.array_join(F.transform("t", lambda x: x["title"]), "; ")).alias("profile"))
 
 
-def route(own: DataFrame, prior: DataFrame, prior_key: DataFrame, k: int) -> DataFrame:
-    """``query, item, score, rank``: the query's own ranked list fused with that of the group it belongs to.
+def route(own: DataFrame, prior: DataFrame, prior_key: DataFrame, k: int, dense: DataFrame | None = None) -> DataFrame:
+    """``query, item, score, rank``: the query's own ranked lists (lexical, then dense, if given) fused with that of the group it belongs to.
 
-    ``prior`` is ranked by group, ``prior_key`` has ``query, group``; queries without a group have their own list only.
+    ``prior`` is ranked by group, ``prior_key`` has ``query, group``; queries without a group have their own lists only.
     """
-    lists = prior_key.join(prior.withColumnRenamed("query", "group"), "group").select("query", "item", "rank")
-    return rrf(own, lists).where(F.col("rank") <= k).select("query", "item", "score", "rank")
+    of_group = prior_key.join(prior.withColumnRenamed("query", "group"), "group").select("query", "item", "rank")
+    lists = [own, *([dense] if dense is not None else []), of_group]
+    return rrf(*lists).where(F.col("rank") <= k).select("query", "item", "score", "rank")
+
+
+def route_single(lexical: DataFrame, dense: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """``query, item, score, rank`` of queries routed on their own: the fused lists, or the lexical one with its own scores where there is no dense one."""
+    if dense is None:
+        return lexical.where(F.col("rank") <= k).select("query", "item", "score", "rank")
+    return rrf(lexical, dense).where(F.col("rank") <= k).select("query", "item", "score", "rank")
+
+
+def missing_routes(targets: DataFrame, routes: DataFrame, key: str) -> DataFrame:
+    """One row: ``n_targets``, ``n_missing`` (targets without a route) and ``complete``; routes that aren't complete are made anew for all."""
+    left = targets.select(key).join(routes.select(key).distinct().withColumn("_r", F.lit(True)), key, "left")
+    out = left.agg(F.count(F.lit(1)).alias("n_targets"), F.count_if(F.col("_r").isNull()).alias("n_missing"))
+    return out.withColumn("complete", F.col("n_missing") == 0)
 
 
 def shortlist(lexical: DataFrame, dense: DataFrame | None, targets: DataFrame, routes: DataFrame, n: int = 10, base_quota: float | None = 0.7) -> DataFrame:
@@ -76,7 +91,18 @@ def recall_at(ranks: DataFrame, expected: DataFrame, ks: list[int]) -> DataFrame
 
     ``ranks``: query, item, rank; ``expected``: query, item. Queries without expected items don't count.
     """
-    first = expected.join(ranks, ["query", "item"], "left").groupBy("query").agg(F.min("rank").alias("first"))
-    by = first.select("first", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    by = first_hits(ranks, expected).select("first", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     hit = F.count_if(F.col("first") <= F.col("k"))
     return by.groupBy("k").agg(F.count(F.lit(1)).alias("n_groups"), hit.alias("n_hit"), F.round(hit / F.count(F.lit(1)), 6).alias("recall"))
+
+
+def first_hits(ranks: DataFrame, expected: DataFrame) -> DataFrame:
+    """``query, first``: the rank of the first expected item, null without one."""
+    return expected.join(ranks, ["query", "item"], "left").groupBy("query").agg(F.min("rank").alias("first"))
+
+
+def recall_by_group(ranks: DataFrame, expected: DataFrame, groups: DataFrame, k: int, weak: float = 0.6) -> DataFrame:
+    """``group, n, n_hit, recall, weak``: recall at ``k`` of each group of queries (``groups``: query, group), and whether it is below ``weak``."""
+    met = first_hits(ranks, expected).join(groups, "query").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") <= k).alias("n_hit"))
+    share = F.col("n_hit") / F.col("n")
+    return met.select("group", "n", "n_hit", F.round(share, 6).alias("recall"), (share < weak).alias("weak"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from alinea.functions.keys import norm_key
 from alinea.functions.text import TOKEN, STOP, collapse, tokens
 from alinea.operators.current import current
-from alinea.operators.fusion import dense_top, hybrid_search, provenance, rrf
+from alinea.operators.fusion import Cells, dense_top, dense_top_in_cells, dense_top_in_groups, hybrid_search, provenance, rrf
 from alinea.operators.hierarchy import ancestors, chain_text, children, inherit, path_order, roll_up
 from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
-from alinea.operators.routing import family_profiles, recall_at, route, shortlist, target_text
-from alinea.plans.stage import staged
+from alinea.operators.routing import family_profiles, first_hits, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
+from alinea.plans.stage import once, staged
 from alinea.sources.tables import table
 
 FAMILIES, PLACES = 5, 10
@@ -33,8 +34,11 @@ def active_clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _clause_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    clauses = staged(active_clauses(spark, d, *TREE), "clauses")
-    return clauses, ancestors(clauses, "clause_id", "parent_id")
+    def make():
+        clauses = staged(active_clauses(spark, d, *TREE), "clauses")
+        return clauses, ancestors(clauses, "clause_id", "parent_id")
+
+    return once(spark, d, ("clauses",), "clause tree", make)
 
 
 def _routable(clauses: DataFrame, kids: DataFrame) -> DataFrame:
@@ -44,15 +48,18 @@ def _routable(clauses: DataFrame, kids: DataFrame) -> DataFrame:
 
 def _leaf_queries(spark: SparkSession, d: str) -> DataFrame:
     """Routable clauses with ``own`` (text rolled up), ``context`` (headings and ancestors before it) and ``asked`` (with the parent's text)."""
-    clauses, closure = _clause_tree(spark, d)
-    kids = children(clauses, "clause_id", "parent_id", path_order("path"))
-    leaves = _routable(clauses, kids)
-    chain = chain_text(clauses, closure, "clause_id", "text")
-    parents = clauses.select(F.col("clause_id").alias("parent_id"), F.col("text").alias("parent_text"))
-    full = leaves.join(chain, "clause_id", "left").join(parents, "parent_id", "left")
-    join = lambda *c: F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in c])
-    out = full.select("clause_id", F.concat_ws("/", "framework", "subdomain").alias("area"), "subdomain_title", "text", join("subdomain_title", "chain", "text").alias("context"), join("subdomain_title", "parent_text", "text").alias("asked"))
-    return staged(out, "leaves")
+    def make():
+        clauses, closure = _clause_tree(spark, d)
+        kids = children(clauses, "clause_id", "parent_id", path_order("path"))
+        leaves = _routable(clauses, kids)
+        chain = chain_text(clauses, closure, "clause_id", "text")
+        parents = clauses.select(F.col("clause_id").alias("parent_id"), F.col("text").alias("parent_text"))
+        full = leaves.join(chain, "clause_id", "left").join(parents, "parent_id", "left")
+        join = lambda *c: F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in c])
+        out = full.select("clause_id", F.concat_ws("/", "framework", "subdomain").alias("area"), "subdomain_title", "text", join("subdomain_title", "chain", "text").alias("context"), join("subdomain_title", "parent_text", "text").alias("asked"))
+        return staged(out, "leaves")
+
+    return once(spark, d, ("clauses",), "leaves", make)
 
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +75,7 @@ def term_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return staged(impacts(active_controls(spark, d, *INDEXED).select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
+    return once(spark, d, ("controls",), "impacts", lambda: staged(impacts(active_controls(spark, d, *INDEXED).select("control_id", target_text().alias("t")), "control_id", "t"), "impacts"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +90,15 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense_top(e.where("vec_id % 20 = 0"), "vec_id", e, "vec_id", "embedding", 10)
 
 
+def dense_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the exact 10 nearest vectors the search in cells finds, over all queries."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    exact = dense_top(asked, "vec_id", e, "vec_id", "embedding", 10).select("query", "item")
+    found = dense_top_in_cells(asked, "vec_id", e, "vec_id", "embedding", 10, Cells.fit(e, "embedding", 32), 20).select("query", "item", F.lit(1).alias("f"))
+    return exact.join(found, ["query", "item"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("n_found"), F.round(F.count("f") / F.count(F.lit(1)), 6).alias("recall"))
+
+
 def dense_recall(spark: SparkSession, d: str) -> DataFrame:
     """How often a vector of the same label is among the first 1, 3, 5 neighbours other than the vector itself."""
     e = table(spark, d, "embeddings")
@@ -98,7 +114,8 @@ def dense_recall(spark: SparkSession, d: str) -> DataFrame:
 def _document_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     asked = docs.where("doc_id % 20 = 0 and title_en is not null")
-    lexical = bm25_top(asked, "doc_id", "title_en", staged(impacts(docs, "doc_id", "text"), "impacts"), 40)
+    index = once(spark, d, ("documents",), "document impacts", lambda: staged(impacts(docs, "doc_id", "text"), "impacts"))
+    lexical = bm25_top(asked, "doc_id", "title_en", index, 40)
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     dense = dense_top(e.join(asked.select("doc_id"), "doc_id", "left_semi"), "doc_id", e, "doc_id", "embedding", 40)
     return docs, lexical, dense
@@ -123,12 +140,43 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return family_profiles(active_controls(spark, d, *PROFILED))
 
 
+def _profile_index(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, ("controls",), "profile impacts", lambda: staged(impacts(profiles(spark, d), "family", "profile"), "profiles"))
+
+
+def _areas(leaves: DataFrame) -> DataFrame:
+    return leaves.groupBy("area").agg(F.min("subdomain_title").alias("title"))
+
+
 def _routes(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
-    index = staged(impacts(profiles(spark, d), "family", "profile"), "profiles")
-    own = bm25_top(leaves, "clause_id", "context", index)
-    areas = leaves.groupBy("area").agg(F.min("subdomain_title").alias("title"))
-    prior = rrf(bm25_top(areas, "area", "title", index)).select("query", "item", "rank")
-    return staged(route(own, prior, leaves.select(F.col("clause_id").alias("query"), F.col("area").alias("group")), FAMILIES), "routes")
+    def make():
+        index, areas = _profile_index(spark, d), _areas(leaves)
+        own = bm25_top(leaves, "clause_id", "context", index)
+        prior = rrf(bm25_top(areas, "area", "title", index)).select("query", "item", "rank")
+        return staged(route(own, prior, leaves.select(F.col("clause_id").alias("query"), F.col("area").alias("group")), FAMILIES), "routes")
+
+    return once(spark, d, ("clauses", "controls"), "routes", make)
+
+
+def _vectors(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``embedding``: a stand-in for a model's vectors of its keys, rows of embeddings dealt by a hash that SQL has, too."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.agg(F.count(F.lit(1)).alias("_n"))
+    at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint")
+    return df.crossJoin(F.broadcast(n)).withColumn("vec_id", at % F.col("_n")).join(e, "vec_id").drop("vec_id", "_n")  # n: one row
+
+
+def _routes_dense(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
+    """Routes by text and vectors: the clause's two lists and the fused one of its area."""
+    def make():
+        index, areas = _profile_index(spark, d), _areas(leaves)
+        families = _vectors(spark, d, profiles(spark, d).select("family"), "family")
+        own, of_area = bm25_top(leaves, "clause_id", "context", index), bm25_top(areas, "area", "title", index)
+        dense = lambda df, key: dense_top(_vectors(spark, d, df.select(key), key), key, families, "family", "embedding", 1000)  # noqa: E731, all families
+        prior = rrf(of_area, dense(areas, "area")).select("query", "item", "rank")
+        return staged(route(own, prior, leaves.select(F.col("clause_id").alias("query"), F.col("area").alias("group")), FAMILIES, dense(leaves, "clause_id")), "routes")
+
+    return once(spark, d, ("clauses", "controls", "embeddings"), "dense routes", make)
 
 
 def routes(spark: SparkSession, d: str) -> DataFrame:
@@ -137,6 +185,24 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("query").alias("clause_id"), F.col("item").alias("family"), "score", "rank")
 
 
+def routes_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 families that each routable clause goes to by text and vectors."""
+    r = _routes_dense(spark, d, _leaf_queries(spark, d))
+    return r.select(F.col("query").alias("clause_id"), F.col("item").alias("family"), "score", "rank")
+
+
+def routes_single(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 families that each subdomain's heading alone goes to."""
+    r = route_single(bm25_top(_areas(_leaf_queries(spark, d)), "area", "title", _profile_index(spark, d)))
+    return r.select(F.col("query").alias("area"), F.col("item").alias("family"), "score", "rank")
+
+
+def routes_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every routable clause has a route."""
+    leaves = _leaf_queries(spark, d)
+    return missing_routes(leaves, _routes(spark, d, leaves).select(F.col("query").alias("clause_id")), "clause_id")
+
+
 def route_frequency(spark: SparkSession, d: str) -> DataFrame:
     """How often each family is chosen, with a bar of up to 40 marks; families never chosen have 0 and no bar."""
     chosen = _routes(spark, d, _leaf_queries(spark, d)).groupBy(F.col("item").alias("family")).agg(F.count(F.lit(1)).alias("n"))
@@ -157,28 +223,53 @@ def route_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
-    """Controls that findings relate to a clause: query, control_id, family."""
-    f = table(spark, d, "findings_sample").select("clause_id", F.explode("findings").alias("f")).where("f.control_id is not null and clause_id is not null")
-    key = F.upper(F.trim("f.control_id"))
-    return f.select(F.col("clause_id").alias("query"), key.alias("control_id"), F.split_part(key, F.lit("-"), F.lit(1)).alias("family")).distinct()
+    """The truth that retrieval is held against: query, control_id, family of what reviewers found right, for active clauses."""
+    keys = active_clauses(spark, d, "framework", "subdomain").select(F.col("clause_id").alias("query"), norm_key("clause_id").alias("clause"), F.concat_ws("/", "framework", "subdomain").alias("area"))
+    r = table(spark, d, "review").where("label = 'correct'").select(norm_key("clause_id").alias("clause"), norm_key("control_id").alias("control_id")).where("control_id is not null")
+    return r.join(keys, "clause").select("query", "area", "control_id", F.split_part("control_id", F.lit("-"), F.lit(1)).alias("family")).distinct()
+
+
+def _wanted_families(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
+    """Of every routable clause of an area with reviewed findings, the families that these name."""
+    return leaves.select(F.col("clause_id").alias("query"), "area").join(_expected(spark, d).select("area", F.col("family").alias("item")).distinct(), "area").select("query", "item")
 
 
 def route_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of routing at 1, 2, 3, 5 against the families that the findings name."""
+    """Recall of routing at 1, 2, 3, 5 against the families that reviewed findings of a clause's area name."""
     leaves = _leaf_queries(spark, d)
-    want = _expected(spark, d).select("query", F.col("family").alias("item")).distinct().join(leaves.select(F.col("clause_id").alias("query")), "query", "left_semi")
-    return recall_at(_routes(spark, d, leaves), want, [1, 2, 3, 5])
+    return recall_at(_routes(spark, d, leaves), _wanted_families(spark, d, leaves), [1, 2, 3, 5])
 
 
-def _shortlists(spark: SparkSession, d: str) -> DataFrame:
+def route_recall_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of routing at 3 by area, and which areas are weak."""
+    leaves = _leaf_queries(spark, d)
+    groups = leaves.select(F.col("clause_id").alias("query"), F.col("area").alias("group"))
+    return recall_by_group(_routes(spark, d, leaves), _wanted_families(spark, d, leaves), groups, 3).withColumnRenamed("group", "area")
+
+
+def _shortlist_of(spark: SparkSession, d: str, chosen: DataFrame, vectors: bool) -> DataFrame:
     leaves, controls = _leaf_queries(spark, d), staged(active_controls(spark, d, *INDEXED, "family", "is_enhancement", "parent_id"), "controls")
-    index = staged(impacts(controls.select("control_id", target_text().alias("t")), "control_id", "t"), "impacts")
-    chosen = _routes(spark, d, leaves).select("query", F.col("item").alias("family"))
-    grouped = index.join(controls.select(F.col("control_id").alias("item"), F.col("family").alias("group")), "item")
+    grouped = _index(spark, d).join(controls.select(F.col("control_id").alias("item"), F.col("family").alias("group")), "item")
     limits = chosen.groupBy(F.col("query").alias("clause_id")).agg(F.collect_list("family").alias("families"))
     # Weights come from all controls; only those of the routed families are ranked.
     scores = bm25_top(leaves.join(limits, "clause_id"), "clause_id", "asked", grouped, 5 * PLACES, "families").select("query", "item", "score")
-    return staged(shortlist(scores, None, controls, chosen, PLACES), "shortlists")
+    dense = None
+    if vectors:
+        asked = _vectors(spark, d, chosen, "query")
+        dense = dense_top_in_groups(asked, "query", _vectors(spark, d, controls.select("control_id", "family"), "control_id"), "control_id", "embedding", "family", 5 * PLACES).select("query", "item", "score")
+    return staged(shortlist(scores, dense, controls, chosen, PLACES), "shortlists")
+
+
+def _shortlists(spark: SparkSession, d: str) -> DataFrame:
+    chosen = lambda: _routes(spark, d, _leaf_queries(spark, d)).select("query", F.col("item").alias("family"))
+    return once(spark, d, ("clauses", "controls"), "shortlists", lambda: _shortlist_of(spark, d, chosen(), False))
+
+
+def shortlists_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Shortlists by text and vectors, within the families that text and vectors route to."""
+    chosen = _routes_dense(spark, d, _leaf_queries(spark, d)).select("query", F.col("item").alias("family"))
+    s = _shortlist_of(spark, d, chosen, True)
+    return s.select(F.col("query").alias("clause_id"), "control_id", "score", "rank", "bm25_rank", "dense_rank", "parent_lifted", "is_enhancement")
 
 
 def shortlists(spark: SparkSession, d: str) -> DataFrame:
@@ -201,10 +292,33 @@ def never_shortlisted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortlist_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the shortlists at 3, 5, 10 against the controls that the findings name."""
+    """Recall of the shortlists at 3, 5, 10 against the controls that reviewers found right for the clause."""
+    return recall_at(*_shortlist_truth(spark, d), [3, 5, 10])
+
+
+def shortlist_hits(spark: SparkSession, d: str) -> DataFrame:
+    """For each clause with reviewed findings the rank of the first right control, and what was wanted; null for a miss."""
+    s, want = _shortlist_truth(spark, d)
+    wanted = want.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("wanted"))
+    return first_hits(s, want).join(wanted, "query").select(F.col("query").alias("clause_id"), "wanted", "first")
+
+
+def _shortlist_truth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = _shortlists(spark, d).select("query", F.col("control_id").alias("item"), "rank")
-    want = _expected(spark, d).select("query", F.col("control_id").alias("item")).join(s.select("query").distinct(), "query", "left_semi")
-    return recall_at(s, want, [3, 5, 10])
+    return s, _expected(spark, d).select("query", F.col("control_id").alias("item")).distinct().join(s.select("query").distinct(), "query", "left_semi")
+
+
+def shortlist_reach(spark: SparkSession, d: str) -> DataFrame:
+    """One row: shortlists, pairs, enhancements with their whole percentage, and the share of active controls reached."""
+    s = _shortlists(spark, d).agg(F.count_distinct("query").alias("n_shortlists"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("is_enhancement").alias("n_enhancements"), F.count_distinct("control_id").alias("n_reached"))
+    n = active_controls(spark, d, "family").agg(F.count(F.lit(1)).alias("n_controls"))
+    out = s.crossJoin(n)  # one row each
+    return out.select("*", F.expr("100 * n_enhancements div greatest(n_pairs, 1)").alias("enhancement_percent"), F.round(F.col("n_reached") / F.col("n_controls"), 6).alias("reach"))
+
+
+def most_shortlisted(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 controls that are on most shortlists."""
+    return _shortlists(spark, d).groupBy("control_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "control_id").limit(10)
 
 
 def clause_children(spark: SparkSession, d: str) -> DataFrame:
@@ -292,8 +406,38 @@ fz AS (SELECT coalesce(o.query, p.query) AS query, coalesce(o.item, p.item) AS i
   round(coalesce(1.0::DOUBLE / (60 + o.rank), 0) + coalesce(1.0::DOUBLE / (60 + p.rank), 0), 6) AS score FROM o FULL JOIN p ON o.query = p.query AND o.item = p.item),
 routes AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, orank NULLS LAST, prank NULLS LAST, item) AS rank FROM fz QUALIFY rank <= {FAMILIES})
 """
-_WANT = """want AS (SELECT DISTINCT clause_id AS query, upper(trim(f.control_id)) AS control_id, split_part(upper(trim(f.control_id)), '-', 1) AS family
-  FROM (SELECT clause_id, unnest(findings) AS f FROM findings_sample) WHERE f.control_id IS NOT NULL AND clause_id IS NOT NULL)"""
+_WANT = """want AS (SELECT DISTINCT c.clause_id AS query, c.framework || '/' || c.subdomain AS area, upper(trim(r.control_id)) AS control_id, split_part(upper(trim(r.control_id)), '-', 1) AS family
+  FROM review r JOIN cla c ON upper(trim(c.clause_id)) = upper(trim(r.clause_id)) WHERE label = 'correct' AND trim(r.control_id) <> ''),
+wf AS (SELECT DISTINCT l.clause_id AS query, l.area, family AS item FROM leaf l JOIN want w ON w.area = l.area)"""
+
+
+def _fused(name: str, *lists: str) -> str:
+    """A CTE ``{name}`` (query, item, score, list ranks r0.., rank): ranked lists (query, item, rank) fused by position."""
+    n = range(len(lists))
+    every = " UNION ALL ".join(f"SELECT query, item, rank, {i} AS l FROM {x}" for i, x in enumerate(lists))
+    ranks = ", ".join(f"max(CASE WHEN l = {i} THEN rank END) AS r{i}" for i in n)
+    order = ", ".join(f"r{i} NULLS LAST" for i in n)
+    return f"{name}_u AS (SELECT query, item, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, {ranks} FROM ({every}) GROUP BY 1, 2), {name} AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {order}, item) AS rank FROM {name}_u)"
+
+
+def _vec(keys: str) -> str:
+    """Vectors dealt to ``keys`` (a query with a column k) by hash."""
+    return f"SELECT k, e.embedding AS v FROM (SELECT k, ('0x' || substr(md5(k), 1, 6))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM ({keys})) JOIN embeddings e USING (vec_id)"
+
+
+def _near(name: str, queries: str, items: str, also: str = "") -> str:
+    """A CTE ``{name}`` (query, item, rank) by inner product."""
+    return f"{name} AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (SELECT q.k AS query, i.k AS item, round(list_dot_product(q.v::DOUBLE[], i.v::DOUBLE[]), 6) AS score FROM ({_vec(queries)}) q, ({_vec(items)}) i {also}))"
+
+
+_ROUTE_DENSE = f"""{_ROUTE[: _ROUTE.index("g AS (SELECT query")]}
+{_near("fd", "SELECT clause_id AS k FROM leaf", "SELECT family AS k FROM prof")},
+{_near("ad", "SELECT DISTINCT area AS k FROM leaf", "SELECT family AS k FROM prof")},
+{_fused("ga", "g0", "ad")},
+pd AS (SELECT clause_id AS query, item, rank FROM leaf JOIN ga ON ga.query = area),
+{_fused("rd", "o", "fd", "pd")},
+routes AS (SELECT query, item, score, rank FROM rd WHERE rank <= {FAMILIES})
+"""
 _SHORT = f"""{_ROUTE},
 {_bm25(_IDX, "SELECT clause_id AS query, asked AS t FROM leaf", "sl")},
 lx AS (SELECT * FROM (SELECT s.query, s.item, row_number() OVER (PARTITION BY s.query ORDER BY s.score DESC, s.item) AS rank FROM sl s JOIN ctl c ON c.control_id = s.item JOIN routes r ON r.query = s.query AND r.item = c.family) WHERE rank <= {5 * PLACES}),
@@ -309,6 +453,18 @@ short AS (SELECT query, item AS control_id, score, row_number() OVER (PARTITION
 """
 
 
+_SHORT_DENSE = f"""{_ROUTE_DENSE}, {_SHORT[len(_ROUTE) + 1 : _SHORT.index("pool AS (")].lstrip(",").strip()}
+{_near("dx0", "SELECT clause_id AS k FROM leaf", "SELECT control_id AS k FROM ctl", "JOIN ctl c ON c.control_id = i.k JOIN routes r ON r.query = q.k AND r.item = c.family")},
+dx AS (SELECT * FROM dx0 WHERE rank <= {5 * PLACES}),
+{_fused("pool", "lx", "dx")},
+{_SHORT[_SHORT.index("lift0 AS (") : _SHORT.index("fs AS (SELECT coalesce")]}
+{_fused("fq", "lx", "dx", "lift")},
+fr AS (SELECT fq.* EXCLUDE (rank), is_enhancement, family, rank AS pos FROM fq JOIN ctl ON control_id = item),
+{_SHORT[_SHORT.index("kk AS (SELECT") : _SHORT.index("short AS (SELECT query")]}
+short AS (SELECT query, item AS control_id, score, row_number() OVER (PARTITION BY query ORDER BY pos) AS rank, r0 AS bm25_rank, r1 AS dense_rank, r2 IS NOT NULL AND r0 IS NULL AND r1 IS NULL AS parent_lifted, is_enhancement, family FROM pk)
+"""
+
+
 def _recall(ranks: str, want: str, ks: str) -> str:
     return f"""first AS (SELECT w.query, min(r.rank) AS first FROM ({want}) w LEFT JOIN {ranks} r ON r.query = w.query AND r.item = w.item GROUP BY 1)
 SELECT k, count(*) AS n_groups, count(*) FILTER (first <= k) AS n_hit, round(count(*) FILTER (first <= k) / count(*), 6) AS recall FROM first, (SELECT unnest([{ks}]) AS k) GROUP BY k"""
@@ -318,7 +474,7 @@ ORDER_SQL = "list_aggregate(list_transform(string_split(path, '.'), lambda m: CA
 
 
 def queries() -> dict:
-    names = "token_stats term_idf bm25_topk dense_topk dense_recall rrf_fusion hybrid_filtered profiles routes route_frequency route_funnel route_recall shortlists shortlist_stats never_shortlisted shortlist_recall clause_children clause_ancestors inherited_modal clause_full_text routing_text"
+    names = "token_stats term_idf bm25_topk dense_topk dense_recall dense_cells_recall rrf_fusion hybrid_filtered profiles routes routes_dense routes_single routes_complete route_frequency route_funnel route_recall route_recall_areas shortlists shortlists_dense shortlist_stats shortlist_reach most_shortlisted never_shortlisted shortlist_recall shortlist_hits clause_children clause_ancestors inherited_modal clause_full_text routing_text"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -338,12 +494,21 @@ SELECT k, count(*) AS n_queries, count(*) FILTER (first <= k) AS n_hit, round(co
         "routes": f"{_ROUTE} SELECT query AS clause_id, item AS family, score, rank FROM routes",
         "route_frequency": f"{_ROUTE}, n AS (SELECT family, count(query) AS n FROM (SELECT DISTINCT family FROM ctl) LEFT JOIN routes ON item = family GROUP BY 1) SELECT family, n, CASE WHEN n > 0 THEN repeat('#', greatest(1, n * 40 // (SELECT max(n) FROM n))) ELSE '' END AS bar FROM n",
         "route_funnel": f"{_ROUTE}, x AS (SELECT (SELECT count(*) FROM leaf) AS n_clauses, (SELECT count(*) FROM ctl) AS n_controls, (SELECT count(*) FROM routes JOIN ctl ON family = item) AS pairs_routed) SELECT n_clauses, n_controls, n_clauses * n_controls AS pairs_full, pairs_routed, 100 - 100 * pairs_routed // (n_clauses * n_controls) AS reduction FROM x",
-        "route_recall": f"{_ROUTE}, {_WANT}, {_recall('routes', 'SELECT DISTINCT query, family AS item FROM want WHERE query IN (SELECT clause_id FROM leaf)', '1, 2, 3, 5')}",
+        "route_recall": f"{_ROUTE}, {_WANT}, {_recall('routes', 'SELECT query, item FROM wf', '1, 2, 3, 5')}",
+        "route_recall_areas": f"""{_ROUTE}, {_WANT}, h AS (SELECT w.query, any_value(w.area) AS area, min(r.rank) AS first FROM wf w LEFT JOIN routes r ON r.query = w.query AND r.item = w.item GROUP BY 1)
+SELECT area, count(*) AS n, count(*) FILTER (first <= 3) AS n_hit, round(count(*) FILTER (first <= 3) / count(*), 6) AS recall, count(*) FILTER (first <= 3) / count(*) < 0.6 AS weak FROM h GROUP BY 1""",
+        "routes_dense": f"{_ROUTE_DENSE} SELECT query AS clause_id, item AS family, score, rank FROM routes",
+        "routes_single": f"{_ROUTE[: _ROUTE.index("g AS (SELECT query")].rstrip().rstrip(",")} SELECT query AS area, item AS family, score, rank FROM (SELECT *, {_RANK} AS rank FROM pri) WHERE rank <= 3",
+        "routes_complete": f"{_ROUTE}, m AS (SELECT clause_id, clause_id NOT IN (SELECT query FROM routes) AS miss FROM leaf) SELECT count(*) AS n_targets, count(*) FILTER (miss) AS n_missing, count(*) FILTER (miss) = 0 AS complete FROM m",
+        "shortlists_dense": f"{_SHORT_DENSE} SELECT query AS clause_id, control_id, score, rank, bm25_rank, dense_rank, parent_lifted, is_enhancement FROM short",
+        "shortlist_reach": f"{_SHORT} SELECT *, (100 * n_enhancements // greatest(n_pairs, 1))::BIGINT AS enhancement_percent, round(n_reached / n_controls, 6) AS reach FROM (SELECT count(DISTINCT query) AS n_shortlists, count(*) AS n_pairs, count(*) FILTER (is_enhancement) AS n_enhancements, count(DISTINCT control_id) AS n_reached FROM short), (SELECT count(*) AS n_controls FROM ctl)",
+        "most_shortlisted": f"{_SHORT} SELECT control_id, count(*) AS n FROM short GROUP BY 1 ORDER BY n DESC, control_id LIMIT 10",
+        "shortlist_hits": f"{_SHORT}, {_WANT}, w AS (SELECT DISTINCT query, control_id AS item FROM want WHERE query IN (SELECT query FROM short)) SELECT w.query AS clause_id, string_agg(DISTINCT w.item, ',' ORDER BY w.item) AS wanted, min(s.rank) AS first FROM w LEFT JOIN short s ON s.query = w.query AND s.control_id = w.item GROUP BY 1",
         "shortlists": f"{_SHORT} SELECT query AS clause_id, control_id, score, rank, bm25_rank, parent_lifted, is_enhancement FROM short",
         "shortlist_stats": f"""{_SHORT} SELECT c.family, any_value(n) AS n_controls, count(s.query) AS n_pairs, count(*) FILTER (s.is_enhancement) AS n_enhancements, count(*) FILTER (s.parent_lifted) AS n_lifted,
   count(DISTINCT s.control_id) AS n_reached, any_value(n) - count(DISTINCT s.control_id) AS n_never FROM (SELECT family, count(*) AS n FROM ctl GROUP BY 1) c LEFT JOIN short s ON s.family = c.family GROUP BY 1""",
         "never_shortlisted": f"{_SHORT} SELECT control_id, family FROM ctl WHERE control_id NOT IN (SELECT control_id FROM short)",
-        "shortlist_recall": f"{_SHORT}, {_WANT}, sr AS (SELECT query, control_id AS item, rank FROM short), {_recall('sr', 'SELECT query, control_id AS item FROM want WHERE query IN (SELECT query FROM short)', '3, 5, 10')}",
+        "shortlist_recall": f"{_SHORT}, {_WANT}, sr AS (SELECT query, control_id AS item, rank FROM short), {_recall('sr', 'SELECT DISTINCT query, control_id AS item FROM want WHERE query IN (SELECT query FROM short)', '3, 5, 10')}",
         "clause_children": f"WITH {_CLA}, k AS (SELECT parent_id, count(*) AS n, string_agg(clause_id, '|' ORDER BY {ORDER_SQL}, clause_id) AS ids FROM cla WHERE parent_id IS NOT NULL GROUP BY 1) SELECT clause_id, coalesce(n, 0) AS n_children, coalesce(ids, '') AS child_ids FROM cla LEFT JOIN k ON k.parent_id = clause_id",
         "clause_ancestors": f"{tree} SELECT node AS clause_id, ancestor, distance FROM anc",
         "inherited_modal": f"""{tree}, v AS (SELECT node, min_by(deontic, distance) FILTER (deontic IS NOT NULL) AS v FROM anc JOIN cla ON clause_id = ancestor GROUP BY 1)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_MADE: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, folder: str, names: tuple[str, ...], label: str, make: Callable[[], object]):
+    """What ``make`` gives (staged tables), made once a session for a folder's tables ``names`` as they are now.
+
+    A table that was written anew has another time or length, so what was made of it before isn't used again.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    stamps = []
+    for n in names:
+        path = fs.Path(f"{folder}/{n}.parquet")
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamps.append((n, status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, folder, label, *stamps)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads, given as ``staged`` returned them or as columns of them. Others are left alone."""
     for df in tables:
