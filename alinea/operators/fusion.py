@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from alinea.operators.lexical import PLACES, ranked
 from alinea.plans.skew import checked_broadcast, skew_join
 from alinea.plans.stage import staged
+from alinea.plans.unions import union_all
 
 RRF_K = 60
 
@@ -136,7 +136,7 @@ def rrf(*lists: DataFrame) -> DataFrame:
     ``list_ranks`` has the item's rank in each list, null where it is absent. One shuffle, whatever the number of lists.
     """
     n = len(lists)
-    each = reduce(DataFrame.unionByName, [x.select("query", "item", F.lit(i).alias("list"), "rank") for i, x in enumerate(lists)])
+    each = union_all([x.select("query", "item", F.lit(i).alias("list"), "rank") for i, x in enumerate(lists)])
     ranks = [F.max(F.when(F.col("list") == i, F.col("rank"))).alias(f"_r{i}") for i in range(n)]
     fused = each.groupBy("query", "item").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("exact"), *ranks)
     fused = fused.withColumn("score", F.round("exact", PLACES)).withColumn("list_ranks", F.array(*[f"_r{i}" for i in range(n)]))

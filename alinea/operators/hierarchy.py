@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alinea.plans.stage import staged
+from alinea.plans.unions import union_all
 
 
 def ancestors(df: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
@@ -26,7 +26,7 @@ def ancestors(df: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame
         step = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
         level = staged(step.join(rows, "ancestor", "left_semi").select("node", "ancestor", "distance"), "level")
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return union_all(levels)
 
 
 def children(df: DataFrame, key: str, parent: str, order: Column) -> DataFrame:
@@ -54,7 +54,7 @@ def roll_up(df: DataFrame, closure: DataFrame, key: str, text: str, order: Colum
     A subtree's texts come together in one row, as they do in the result.
     """
     texts = df.select(F.col(key).alias("node"), F.col(text).alias("t"), order.alias("o"))
-    below = closure.select("node", F.col("ancestor").alias(key)).unionByName(df.select(F.col(key).alias("node"), key)).join(texts, "node")
+    below = union_all([closure.select("node", F.col("ancestor").alias(key)), df.select(F.col(key).alias("node"), key)]).join(texts, "node")
     return below.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "node", "t"))), lambda x: x["t"]), " ").alias("full_text"))
 
 

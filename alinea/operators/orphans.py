@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alinea.plans.skew import hot_keys, skew_join
 from alinea.plans.stage import drop, staged
+from alinea.plans.unions import union_all
 
 REFERENCE = ["src_table", "src_field", "record_id", "ref_table", "ref_key", "at", "own_key", "own_from", "own_to"]
 KEY = ["ref_table", "ref_key"]
@@ -70,18 +71,18 @@ def orphans(references: DataFrame, targets: DataFrame, hot_rows: int = 250_000)
         nodes.append(frontier.withColumn("below", F.lit(len(nodes) + 1)))
         reached = staged(skew_join(between, frontier, KEY, "left_semi", _held(), hot_rows, hot).withColumn("depth", F.lit(len(nodes))), "reached")
         rounds.append(reached)
-        known = reduce(DataFrame.unionByName, nodes).drop("below").alias("k")
+        known = union_all(nodes).drop("below").alias("k")
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("ref_table", "ref_key", "valid_from", "valid_to")]
         frontier = staged(owners(reached).alias("n").join(known, reduce(lambda a, b: a & b, same), "left_anti"), "frontier")
     if not nodes:
         drop(refs, frontier, hot[0])
         return direct
-    met = skew_join(outer, reduce(DataFrame.unionByName, nodes), KEY, "inner", _held(), hot_rows, hot).select(*REFERENCE, F.col("below").alias("depth"))
+    met = skew_join(outer, union_all(nodes), KEY, "inner", _held(), hot_rows, hot).select(*REFERENCE, F.col("below").alias("depth"))
     # A reference may be reached through several versions: it is kept once, at its least depth.
-    once = reduce(DataFrame.unionByName, [*rounds, met]).groupBy(*REFERENCE).agg(F.min("depth").alias("depth"))
+    once = union_all([*rounds, met]).groupBy(*REFERENCE).agg(F.min("depth").alias("depth"))
     inherited = staged(once.select(*REFERENCE, F.lit("inherited").alias("kind"), "depth"), "orphans")
     drop(refs, frontier, hot[0], *rounds, *nodes)
-    return direct.unionByName(inherited)
+    return union_all([direct, inherited])
 
 
 def with_reason(found: DataFrame, targets: DataFrame, hot_rows: int = 250_000) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from alinea.plans.unions import union_all
+
 
 def decode(df: DataFrame, lists: dict[str, str] | None = None, booleans: tuple[str, ...] = (), integers: tuple[str, ...] = ()) -> DataFrame:
     """Text columns typed: trimmed, empty as null; lists split at ``;`` (to their element type), booleans, whole numbers.
@@ -172,7 +173,7 @@ def readiness(tables: dict[str, DataFrame]) -> DataFrame:
     """One row, ``ready, missing``: whether each of the named tables has a row, and the names of those that have none."""
     some = [t.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), F.lit(name).alias("name"), "n") for i, (name, t) in enumerate(tables.items())]
     empty = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.struct("i", "name"))))  # a row for each table
-    return reduce(DataFrame.unionByName, some).agg(empty.alias("e")).select((F.size("e") == 0).alias("ready"), F.array_join(F.transform("e", lambda x: x["name"]), ", ").alias("missing"))
+    return union_all(some).agg(empty.alias("e")).select((F.size("e") == 0).alias("ready"), F.array_join(F.transform("e", lambda x: x["name"]), ", ").alias("missing"))
 
 
 def tallies(df: DataFrame, columns: list[str]) -> DataFrame:

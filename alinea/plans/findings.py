@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -16,6 +15,7 @@ from alinea.plans.retrieval import _CLA, _CTL, _clause_tree, active_clauses, act
 from alinea.operators.hierarchy import path_order, roll_up
 from alinea.plans.skew import skew_join
 from alinea.plans.stage import staged
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 ACCEPT, THRESHOLDS = 0.60, (0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.80)
@@ -166,7 +166,7 @@ def debate_report(spark: SparkSession, d: str) -> DataFrame:
     totals = n.select(F.explode(F.array(*[F.struct(F.lit(x).alias("section"), F.lit("").alias("value"), F.col(x).alias("n"), F.expr(f"100 * {x} div greatest(debated, 1)").alias("percent")) for x in ("debated", "objected", "changed")])).alias("t")).select("t.*")
     blocked = gated.where("ruling in ('uphold', 'revise')").select(F.explode("errors").alias("value"))
     parts = [("verdict", rows.select(F.coalesce("ruling", F.lit("(none)")).alias("value"))), ("grounds", grounds), ("status", gated.select(F.coalesce("status", F.lit("unresolved")).alias("value"))), ("blocked", blocked)]
-    return reduce(DataFrame.unionByName, [totals, *[p.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "value", "n", F.lit(None).cast("bigint").alias("percent")) for s, p in parts]])
+    return union_all([totals, *[p.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "value", "n", F.lit(None).cast("bigint").alias("percent")) for s, p in parts]])
 
 
 def mock_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,6 +9,7 @@ from alinea.functions.keys import norm_key
 from alinea.operators.nested import bridge, flatten_judgments, merkle_objects, shred, unread
 from alinea.operators.orphans import orphan_report, orphans, with_reason
 from alinea.plans.stage import staged
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 
@@ -39,7 +39,7 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
         _reference(clauses, "clauses", "parent_id", None, "clauses", "parent_id", "loaded_at", ("clause_id", "loaded_at", "retired_at")),
         _reference(controls, "controls", "parent_id", None, "controls", "parent_id", "loaded_at", ("control_id", "loaded_at", "withdrawn_at")),
     ]
-    return reduce(DataFrame.unionByName, refs)
+    return union_all(refs)
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, t).select(F.lit(t).alias("ref_table"), norm_key(key).alias("key"), F.col("loaded_at").alias("valid_from"), F.col(ended).alias("valid_to"))
         for t, key, ended in (("clauses", "clause_id", "retired_at"), ("controls", "control_id", "withdrawn_at"))
     ]
-    return reduce(DataFrame.unionByName, spans)
+    return union_all(spans)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "findings_raw").select(F.lit("findings_raw").alias("src_table"), "line_no", "payload")
     sample = table(spark, d, "findings_sample").select(F.lit("findings_sample").alias("src_table"), "line_no", F.to_json(F.struct("clause_id", "findings")).alias("payload"))
-    return raw.unionByName(sample)
+    return union_all([raw, sample])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
