@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alinea.functions.keys import norm_key
 from alinea.plans.skew import skew_join
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 #: Typographic quotes and dashes and what stands for them.
@@ -178,7 +179,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     of_control = each.select("line_no", place, F.lit("evidence_nist").alias("field"), norm_key("f.control_id").alias("key"), F.col("f.evidence_nist").alias("value"), F.lit(False).alias("whole"))
     clauses = table(spark, d, "clauses").select(norm_key("clause_id").alias("key"), F.col("text").alias("source"))
     controls = table(spark, d, "controls").select(norm_key("control_id").alias("key"), F.col("statement").alias("source"))
-    return disguised(of_clause, clauses).unionByName(disguised(of_control, controls)).select("line_no", "finding_no", "field")
+    return union_all([disguised(of_clause, clauses), disguised(of_control, controls)]).select("line_no", "finding_no", "field")
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,6 @@ at their ends doesn't add up. No task holds more than one set; sets and populati
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alinea.llm.encoding import count_column
 from alinea.llm.grouping import best_fit, evolve, least_bins, least_slack
 from alinea.plans.stage import drop, staged
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 #: Capacities that are read on the driver at most; more raise ValueError.
@@ -106,7 +106,7 @@ def _evolve_sets(open_: DataFrame, search: Search, tasks: int, label: str) -> Da
         if last or best.where("not met").isEmpty():
             break
         state = grown.join(best.where("met"), _SET, "left_anti")
-    return reduce(DataFrame.unionByName, done)
+    return union_all(done)
 
 
 def _pack_sets(items: DataFrame, search: Search, tasks: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +118,7 @@ def _pack_sets(items: DataFrame, search: Search, tasks: int, label: str) -> tupl
     bins = begun.select(*_SET, "bins")
     open_ = begun.where("n_bins > bound")
     if not open_.isEmpty():
-        bins = begun.where("n_bins <= bound").select(*_SET, "bins").unionByName(_evolve_sets(open_, search, tasks, label))
+        bins = union_all([begun.where("n_bins <= bound").select(*_SET, "bins"), _evolve_sets(open_, search, tasks, label)])
     placed = bins.select(*_SET, F.posexplode("bins").alias("bin", "members")).select(*_SET, "bin", F.explode("members").alias("at"))
     each = sets.select("limit_name", "capacity", "set_no", F.posexplode("items").alias("at", "item"))
     out = staged(each.join(placed, [*_SET, "at"]).select("limit_name", "capacity", "set_no", "bin", "item.*"), f"{label}-packed")
@@ -138,7 +138,7 @@ def packed(df: DataFrame, key: str, text: str, capacities: list[Capacity], folde
         limits = F.array(*[F.struct(F.lit(c.name).alias("limit_name"), F.lit(c.max_tokens).cast("int").alias("capacity")) for c in capacities if c.tokenizer == t])
         sizes = staged(count_column(rows, "key", "text", t, folder).withColumn("uid", F.monotonically_increasing_id()), "sizes")
         counted.append(sizes.select("key", "uid", "n_tokens", F.explode(limits).alias("limit")).select("key", "uid", "n_tokens", "limit.*"))
-    each = reduce(DataFrame.unionByName, counted) if counted else rows.select("key", F.lit(0).cast("bigint").alias("uid"), F.lit(0).alias("n_tokens"), F.lit("").alias("limit_name"), F.lit(1).alias("capacity")).limit(0)
+    each = union_all(counted) if counted else rows.select("key", F.lit(0).cast("bigint").alias("uid"), F.lit(0).alias("n_tokens"), F.lit("").alias("limit_name"), F.lit(1).alias("capacity")).limit(0)
     parts = each.withColumn("n_parts", F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")).withColumn("part_no", F.explode(F.sequence(F.lit(1), F.col("n_parts"))))
     first = ((F.col("part_no") - 1) * F.col("capacity")).cast("int")
     parts = parts.withColumn("first_token", first).withColumn("size", F.least("capacity", F.col("n_tokens") - first))
@@ -175,7 +175,7 @@ def packed(df: DataFrame, key: str, text: str, capacities: list[Capacity], folde
         todo = once.join(spared, [*_SET, "bin"], "left_semi").withColumn("set_no", F.pmod("set_no", of[F.col("limit_name")].cast("bigint"))).select("limit_name", "capacity", "set_no", "uid", "part_no", "size")
         round_ += 1
     full = F.when(F.col("size") == F.col("capacity"), F.concat(F.lit("c"), "uid", F.lit("."), "part_no"))
-    out = parts.join(reduce(DataFrame.unionByName, kept), ["limit_name", "uid", "part_no"], "left")
+    out = parts.join(union_all(kept), ["limit_name", "uid", "part_no"], "left")
     placed = out.select("limit_name", F.col("key").alias(key), "part_no", "n_parts", "first_token", F.col("size").alias("n_tokens"), F.coalesce("container", full).alias("container"))
     start = totals.join(fit.groupBy("limit_name").agg(F.sum("n_fit").alias("n_fit")), "limit_name", "left").select("limit_name", "capacity", "n_full", "n_loose", F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
     return Packed(placed, start)

@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alinea.llm.bpe import Transducer, tokenizer_path, transducer
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 PAUSES = ["token", "inner", "blank", "comma", "colon", "sentence", "line", "paragraph", "end"]
@@ -218,7 +218,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limits: list[Limit], fol
     for x in limits:
         by_tokenizer.setdefault(x.tokenizer, []).append(x)
     each = [_split(df, key, text, mine, tokenizer_path(t, folder)) for t, mine in by_tokenizer.items()]
-    return reduce(DataFrame.unionByName, each) if each else _split(df.limit(0), key, text, [], "")
+    return union_all(each) if each else _split(df.limit(0), key, text, [], "")
 
 
 def _split(df: DataFrame, key: str, text: str, limits: list[Limit], path: str) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alinea.functions.keys import norm_category
 from alinea.llm.calibration import floored_totals, tilt
 from alinea.plans.stage import staged
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 #: Rows of one combination that one task draws from.
@@ -93,7 +93,7 @@ def available(cells: DataFrame, targets: list[Target]) -> list[int]:
     shapes = [("t_band is not null and t_source is not null", band & source), ("t_band is not null and t_source is null", band), ("t_band is null and t_source is not null", source)]
     met = [pairs.join(F.broadcast(listed.where(w)), on).select("seen", "n", "k") for w, on in shapes]  # at most MAX_TARGETS rows
     met.append(kinds.crossJoin(F.broadcast(listed.where("t_band is null and t_source is null"))).select("seen", "n", "k"))  # one row for each set at most
-    each = reduce(DataFrame.unionByName, met).distinct().groupBy("k").agg(F.sum("n").alias("n"))
+    each = union_all(met).distinct().groupBy("k").agg(F.sum("n").alias("n"))
     found = {r.k: r.n for r in each.collect()}  # a row for each target
     return [found.get(k, 0) for k in range(len(targets))]
 
@@ -237,7 +237,7 @@ def _draw(rows: DataFrame, seed: int) -> DataFrame:
         step = staged(open_.groupBy(*by).applyInPandas(_drawn(by, seed, len(by) == 2), state.schema), "drawn")
         done.append(step.where("drawn"))
         open_ = step.where("not drawn")
-    return reduce(DataFrame.unionByName, done).select("target_set", "item", "mark", "probability")
+    return union_all(done).select("target_set", "item", "mark", "probability")
 
 
 class Calibration(NamedTuple):

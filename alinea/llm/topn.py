@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alinea.plans.skew import checked_broadcast, hot_keys
 from alinea.plans.stage import drop, staged
+from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
 #: Rows that a Python task gathers before it bisects the groups in them.
@@ -193,7 +194,7 @@ def _distributed(rows: DataFrame, n: int) -> DataFrame:
         open_ = state.where(~F.col("whole") & (F.col("low") < F.col("high")))
         open_ = staged(open_, "bounds")
         closed = state.where(F.col("whole") | (F.col("low") >= F.col("high")))
-        settled = closed if settled is None else settled.unionByName(closed)
+        settled = closed if settled is None else union_all([settled, closed])
         if open_.isEmpty():
             break
         span = F.try_subtract(F.col("high"), F.col("low")).cast("double")
@@ -220,7 +221,7 @@ def _distributed(rows: DataFrame, n: int) -> DataFrame:
     settled = checked_broadcast(staged(settled, "cutoffs"), n_groups)
     met = rows.join(settled, "group")
     out = met.where(F.col("whole") | (F.col("code") > F.col("low"))).select("group", "item", "score")
-    return out.unionByName(_distributed_ties(staged(met.where(~F.col("whole") & (F.col("code") == F.col("low"))).select("group", "item", "score", "wanted"), "ties"), n_groups))
+    return union_all([out, _distributed_ties(staged(met.where(~F.col("whole") & (F.col("code") == F.col("low"))).select("group", "item", "score", "wanted"), "ties"), n_groups)])
 
 
 def _distributed_ties(ties: DataFrame, n_groups: int) -> DataFrame:
@@ -243,7 +244,7 @@ def _distributed_ties(ties: DataFrame, n_groups: int) -> DataFrame:
         cuts = staged(listed.withColumn("c", chosen).select("group", F.col("c.cut").alias("cut"), (F.col("wanted") - F.col("c.before")).alias("left")), "cutoffs")
         met = raw.join(checked_broadcast(cuts, n_groups), "group").withColumn("code", code)
         inside = met.where(F.col("cut").isNull() | (F.col("code") < F.col("cut"))).select("group", "item", "score")
-        out = inside if out is None else out.unionByName(inside)
+        out = inside if out is None else union_all([out, inside])
         raw = met.where((F.col("code") == F.col("cut")) & (F.col("left") > 0)).select("group", "item", "score", F.col("left").alias("wanted"), "raw")
         depth += 1
     return out if out is not None else ties.select("group", "item", "score")
@@ -279,10 +280,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, hot_rows: in
         if n_still:
             out.append(_distributed(spread.join(still, "group", "left_semi"), n))
     out += [x.sortWithinPartitions("group").mapInArrow(_local(n), shape) for x in gathered]
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result.toDF(group, item, score)
+    return union_all(out).toDF(group, item, score)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
