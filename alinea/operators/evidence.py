@@ -226,15 +226,16 @@ def spread_sample(df: DataFrame, stratum: Column, key: str, n: int, seed: int =
     A stratum gets its rounded share (half to even) or ``least``, if that is more, and no more than it has. Its rows
     are cut by the hash's quota through a threshold count, not by sorting a stratum in one task.
     """
-    rows = df.withColumn("_s", stratum).withColumn("_h", F.xxhash64(F.lit(seed), key)).where(F.col("_s").isNotNull())
+    mixed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
+    rows = df.withColumn("_s", stratum).withColumn("_h", mixed).where(F.col("_s").isNotNull())
     sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"))
     want = sizes.crossJoin(F.broadcast(total)).withColumn("_want", F.greatest(F.lit(least), F.bround(F.lit(n) * F.col("_n") / F.col("_all")).cast("int"))).drop("_all")  # one row
     # A coarse cut first: twice the wanted share of hashes and some more nearly always holds enough, and strata where it
     # doesn't keep all rows; the exact rank is then taken over few rows.
-    part = F.pmod("_h", F.lit(1 << 20)) / (1 << 20)
+    part = F.col("_h") / float(1 << 60)
     met = rows.join(want, "_s").withColumn("_near", part < 2 * (F.col("_want") + 20) / F.col("_n"))
     enough = met.groupBy("_s").agg((F.count_if("_near") >= F.least(F.first("_want"), F.first("_n"))).alias("_ok"))
     near = met.join(enough, "_s").where(F.col("_near") | ~F.col("_ok"))
-    w = Window.partitionBy("_s").orderBy(part, "_h", key)
+    w = Window.partitionBy("_s").orderBy("_h", key)
     return near.withColumn("_r", F.row_number().over(w)).where("_r <= _want").drop("_s", "_h", "_n", "_want", "_near", "_ok", "_r")

@@ -159,3 +159,10 @@ def hybrid_search(lexical: DataFrame, dense: DataFrame, items: DataFrame, item:
     met = met if where is None else met.where(where)
     w = Window.partitionBy("query").orderBy("rank")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(*[c for c in met.columns if c != "list_ranks"], "place", F.col("list_ranks")[0].alias("bm25_rank"), F.col("list_ranks")[1].alias("dense_rank"))
+
+
+def answers(queries: DataFrame, query: str, hits: DataFrame, refusal: str = "Nothing in the corpus answers this.") -> DataFrame:
+    """``query, n_hits, answer`` for every query: how many of ``hits`` (query) it has, and the refusal where there is none."""
+    n = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"))
+    out = queries.select(F.col(query).alias("query")).join(n, "query", "left").select("query", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    return out.withColumn("answer", F.when(F.col("n_hits") == 0, refusal).otherwise(""))

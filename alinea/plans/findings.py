@@ -384,6 +384,9 @@ t AS (SELECT rel, length(cb || chr(10) || chr(10) || '## The proposed mapping' |
    || CASE WHEN rel = 'intersects_with' THEN 'Grounds: wrong_type' || chr(10) || 'Argument: The control is broader.' || chr(10) || 'Proposed instead: subset_of' || coalesce(' on ' || instead, '') || chr(10) || 'Stated strength: 0.7' ELSE 'No objection raised. Reason given: The control is broader.' END
    || chr(10) || chr(10) || '## Candidate controls (only these may be cited)' || chr(10) || coalesce(cited, '') || chr(10) || 'Return the JSON object now.') AS b FROM z LEFT JOIN ci USING (line_no, finding_no))
 SELECT rel AS relationship, count(*) AS n, sum(a + length(conf))::BIGINT AS opponent_chars, max(a + length(conf)) AS opponent_longest, sum(b)::BIGINT AS arbiter_chars, max(b) AS arbiter_longest FROM t GROUP BY 1""",
+        "review_sample": f"""WITH {_J}, k AS (SELECT line_no, finding_no, line_no || '/' || finding_no AS key, {_BAND.replace('confidence', 'f.confidence')} AS band FROM j WHERE f.confidence IS NOT NULL),
+b AS (SELECT band, greatest(5, round_even(60 * count(*) / (SELECT count(*) FROM k), 0)::BIGINT) AS want FROM k GROUP BY 1)
+SELECT line_no, finding_no, band FROM k JOIN b USING (band) QUALIFY row_number() OVER (PARTITION BY band ORDER BY ('0x' || substr(md5('17|' || key), 1, 15))::BIGINT, key) <= want""",
         "sample_sizes": f"WITH {_J}, b AS (SELECT {_BAND.replace('confidence', 'f.confidence')} AS band, count(*) AS n FROM j WHERE f.confidence IS NOT NULL GROUP BY 1) SELECT band, least(n, greatest(5, round_even(60 * n / (SELECT sum(n) FROM b), 0)::BIGINT)) AS n FROM b",
         "lines_to_repeat": f"WITH {_CLA} SELECT clause_id FROM cla WHERE clause_id NOT IN (SELECT clause_id FROM findings_sample WHERE coalesce(parse_error, '') = '' AND clause_id IS NOT NULL)",
         "prompt_sizes": f"""WITH {_CLA}, {_CTL}, c AS (SELECT clause_id, control_id FROM candidates WHERE clause_id IS NOT NULL AND control_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY max(score) DESC, control_id) <= 10),

@@ -84,6 +84,11 @@ def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
     return bridge(shred(_documents(spark, d), canonical=False))
 
 
+def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """How many objects and arrays each line has."""
+    return p3_bridge(spark, d).groupBy("src_table", "line_no").agg(F.count_if(F.col("kind") == "object").alias("n_objects"), F.count_if(F.col("kind") == "array").alias("n_arrays"))
+
+
 def p3_unread(spark: SparkSession, d: str) -> DataFrame:
     """Payloads that give no rows, or not all, and why."""
     return unread(shred(_documents(spark, d), canonical=False))
@@ -156,9 +161,22 @@ SELECT src_table, line_no, record_no::INT AS record_no, finding_no::INT AS findi
 """
 
 
+# A list of findings that is spelt in a string is opened, so its nodes count, too.
+P3_NODES_SQL = (
+    P3_SQL[: P3_SQL.index("opened AS (")].strip().rstrip(",")
+    + r""",
+t AS (SELECT line_no, k.type AS type FROM doc, json_tree(j) k
+  UNION ALL SELECT line_no, k.type FROM (SELECT line_no, CASE WHEN json_type(f) = 'VARCHAR' AND json_valid(f ->> '$') THEN CAST(f ->> '$' AS JSON) END AS o FROM held), json_tree(o) k WHERE o IS NOT NULL AND json_type(o) IN ('ARRAY', 'OBJECT')
+  UNION ALL SELECT line_no, k.type FROM (SELECT line_no, CASE WHEN json_type(f, '$.debate') = 'VARCHAR' AND json_valid(f ->> '$.debate') THEN CAST(f ->> '$.debate' AS JSON) END AS o FROM (SELECT line_no, unnest(CASE WHEN json_type(f) = 'ARRAY' THEN CAST(f AS JSON[]) WHEN json_type(f) = 'OBJECT' THEN [f] ELSE [] END) AS f FROM held)), json_tree(o) k WHERE o IS NOT NULL)
+SELECT 'findings_raw' AS src_table, line_no, count(*) FILTER (type = 'OBJECT') AS n_objects, count(*) FILTER (type = 'ARRAY') AS n_arrays FROM t GROUP BY 2 HAVING count(*) FILTER (type IN ('OBJECT', 'ARRAY')) > 0
+UNION ALL SELECT 'findings_sample', line_no, 1 + coalesce(len(list_filter(findings, lambda f: f IS NOT NULL)), 0), CASE WHEN findings IS NULL THEN 0 ELSE 1 END + coalesce(len(list_filter(findings, lambda f: f.gate_errors IS NOT NULL)), 0) FROM findings_sample
+"""
+)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p3_unread": p3_unread}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p3_nodes": p3_nodes, "p3_unread": p3_unread}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}
+    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p3_nodes": P3_NODES_SQL}

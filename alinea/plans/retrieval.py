@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alinea.functions.keys import norm_key
 from alinea.functions.text import TOKEN, STOP, collapse, tokens
 from alinea.operators.current import current
-from alinea.operators.fusion import Cells, dense_top, dense_top_in_cells, dense_top_in_groups, hybrid_search, provenance, rrf
+from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, hybrid_search, provenance, rrf
 from alinea.operators.hierarchy import ancestors, chain_text, children, inherit, path_order, roll_up
 from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
 from alinea.operators.routing import family_profiles, first_hits, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
@@ -135,6 +135,13 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query", "doc_id", "score", "place", "status", "source", "bm25_rank", "dense_rank")
 
 
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """For every asked title how many draft documents the fused pools hold, and the refusal where there is none."""
+    docs, lexical, dense = _document_lists(spark, d)
+    hits = hybrid_search(lexical, dense, docs.select("doc_id", "status"), "doc_id", 8, F.col("status") == "draft")
+    return answers(docs.where("doc_id % 20 = 0 and title_en is not null"), "doc_id", hits)
+
+
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """One profile text for each family of active controls."""
     return family_profiles(active_controls(spark, d, *PROFILED))
@@ -474,7 +481,7 @@ ORDER_SQL = "list_aggregate(list_transform(string_split(path, '.'), lambda m: CA
 
 
 def queries() -> dict:
-    names = "token_stats term_idf bm25_topk dense_topk dense_recall dense_cells_recall rrf_fusion hybrid_filtered profiles routes routes_dense routes_single routes_complete route_frequency route_funnel route_recall route_recall_areas shortlists shortlists_dense shortlist_stats shortlist_reach most_shortlisted never_shortlisted shortlist_recall shortlist_hits clause_children clause_ancestors inherited_modal clause_full_text routing_text"
+    names = "token_stats term_idf bm25_topk dense_topk dense_recall dense_cells_recall rrf_fusion hybrid_filtered answered profiles routes routes_dense routes_single routes_complete route_frequency route_funnel route_recall route_recall_areas shortlists shortlists_dense shortlist_stats shortlist_reach most_shortlisted never_shortlisted shortlist_recall shortlist_hits clause_children clause_ancestors inherited_modal clause_full_text routing_text"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -490,6 +497,8 @@ first AS (SELECT query, min(CASE WHEN a.label = b.label THEN rank - 1 END) AS fi
 SELECT k, count(*) AS n_queries, count(*) FILTER (first <= k) AS n_hit, round(count(*) FILTER (first <= k) / count(*), 6) AS recall FROM first, (SELECT unnest([1, 3, 5]) AS k) GROUP BY k""",
         "rrf_fusion": f"{_DOCS} SELECT query, item, score, rank, CASE WHEN lr IS NOT NULL AND dr IS NOT NULL THEN 'both' WHEN lr IS NOT NULL THEN 'bm25' ELSE 'dense' END AS found_by FROM f",
         "hybrid_filtered": f"{_DOCS} SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY rank) AS place, status, source, lr AS bm25_rank, dr AS dense_rank FROM f JOIN documents ON doc_id = item WHERE status = 'binding' QUALIFY place <= 8",
+        "answered": f"""{_DOCS}, h AS (SELECT query FROM f JOIN documents ON doc_id = item WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 8)
+SELECT doc_id AS query, count(h.query) AS n_hits, CASE WHEN count(h.query) = 0 THEN 'Nothing in the corpus answers this.' ELSE '' END AS answer FROM documents LEFT JOIN h ON h.query = doc_id WHERE doc_id % 20 = 0 AND title_en IS NOT NULL GROUP BY 1""",
         "profiles": f"WITH {_CTL}, {_PROF} SELECT * FROM prof",
         "routes": f"{_ROUTE} SELECT query AS clause_id, item AS family, score, rank FROM routes",
         "route_frequency": f"{_ROUTE}, n AS (SELECT family, count(query) AS n FROM (SELECT DISTINCT family FROM ctl) LEFT JOIN routes ON item = family GROUP BY 1) SELECT family, n, CASE WHEN n > 0 THEN repeat('#', greatest(1, n * 40 // (SELECT max(n) FROM n))) ELSE '' END AS bar FROM n",

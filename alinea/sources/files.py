@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import time
 import urllib.error
 import urllib.request
@@ -124,6 +125,36 @@ def download(rows: DataFrame, key: str, url: str, opener: Callable[[str], tuple[
     return out.withColumn("sha256", F.sha2("content", 256))
 
 
+def fetch_states(fetched: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
+    """``fetched`` (of ``download``) with ``state``: failed, drifted (another digest than the recorded one) or ok. ``recorded``: key, sha256."""
+    before = recorded.select(key, F.col("sha256").alias("_before"))
+    state = F.when(F.col("content").isNull(), "failed").when(F.col("_before").isNotNull() & (F.col("_before") != F.col("sha256")), "drifted").otherwise("ok")
+    return fetched.join(before, key, "left").withColumn("state", state).drop("_before")
+
+
+def keep_raw(rows: DataFrame, key: str, content: str, extension: str, folder: str) -> DataFrame:
+    """``key, path, bytes`` of raw contents written as files to ``folder``, which all executors share, by the rows' ``extension`` (``bin`` for unknown ones).
+
+    A file is written under another name and then moved, so that a repeated task leaves whole files. Null contents are left out.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, data, kind in zip(pdf[key], pdf[content], pdf[extension]):
+                path = os.path.join(folder, f"{k}.{kind if isinstance(kind, str) and kind.isalnum() and kind != 'unknown' else 'bin'}")
+                part = f"{path}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(bytes(data))
+                os.replace(part, path)
+                out.append((k, path, len(data)))
+            yield pd.DataFrame(out, columns=[key, "path", "bytes"])
+
+    os.makedirs(folder, exist_ok=True)
+    return rows.where(F.col(content).isNotNull()).select(key, content, extension).mapInPandas(run, f"`{key}` {kinds[key]}, path string, bytes bigint")
+
+
 def still_to_fetch(rows: DataFrame, held: DataFrame, key: str, url: str, force: bool = False) -> DataFrame:
     """Rows with a URL whose key isn't held yet; all with a URL if forced."""
     there = rows.where(F.col(url).isNotNull() & (F.trim(url) != ""))

@@ -14,6 +14,13 @@ def still_to_do(rows: DataFrame, done: DataFrame, key: str, keep_failed: bool =
     return rows.join(finished.select(key), key, "left_anti")
 
 
+def latest(done: DataFrame, key: str, error: str = "error") -> DataFrame:
+    """What was written by ``append_once`` without superseded rows: of each key the last that went well, else the last that failed."""
+    well = F.coalesce(error, F.lit("")) == ""
+    rows = done.groupBy(key).agg(F.max_by(F.struct(*[c for c in done.columns if c != key]), F.struct(well.alias("w"), F.col("batch").alias("b"))).alias("_r"))
+    return rows.select(key, "_r.*").select(*done.columns)
+
+
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """What is at ``path``, or nothing yet."""
     jvm = spark.sparkContext._jvm

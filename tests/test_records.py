@@ -4,9 +4,9 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
-from alinea.operators.records import decode, drift, encode, matching, near_matches, problems, repeated_sentences, repeats, sniff, tallies
+from alinea.operators.records import decode, drift, encode, matching, near_matches, problems, repeated_sentences, repeats, tallies
 from alinea.sources import files
-from alinea.streaming.resume import resume, still_to_do
+from alinea.streaming.resume import latest, resume, still_to_do
 
 
 def test_decode_and_encode(spark):
@@ -62,12 +62,6 @@ def test_look_ups(spark):
     assert [r.k for r in near_matches(df, "k", "Ac", 1).collect()] == [" ac-10 "]
 
 
-def test_sniff(spark):
-    rows = [(b"%PDF-1.7", "text/html", "a.json", "pdf"), (b"x", "Text/HTML; q", None, "html"), (b"x", None, "http://h/a.HTM?x=1", "html"), (b"x", "", "b.json", "json"), (b"", None, None, "bin"), (None, None, None, "bin")]
-    df = spark.createDataFrame(rows, "c binary, k string, n string, want string")
-    assert all(r.got == r.want for r in df.select("want", sniff(F.col("c"), F.col("k"), F.col("n")).alias("got")).collect())
-
-
 def test_csv_and_json_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("a", 'say "hi",\nthere', [1, 2], True, None)], "id string, t string, l array<int>, f boolean, z string")
     files.write_csv(df, f"{tmp_path}/c")
@@ -86,7 +80,7 @@ def test_csv_and_json_round_trips(spark, tmp_path):
     assert [tuple(r) for r in files.read_marked_text(spark, f"{tmp_path}/t").collect()] == [("DOC-1", "<<<PAGE 1>>>\nx\n")]
 
 
-def test_pdf_and_download(spark):
+def test_pdf_and_download(spark, tmp_path):
     data = spark.createDataFrame([("a.pdf", bytearray(b"one|two")), ("bad.pdf", bytearray(b"!"))], "path string, content binary")
 
     def reader():
@@ -109,6 +103,13 @@ def test_pdf_and_download(spark):
     rows = spark.createDataFrame([(1, "http://ok"), (2, "http://gone"), (3, "http://down"), (4, None)], "id int, url string")
     got = {r.id: (r.content and bytes(r.content), r.status) for r in files.download(rows, "id", "url", opener, pause=0).collect()}
     assert got == {1: (b"body", 200), 2: (None, 404), 3: (None, 0)}
+    before = spark.createDataFrame([(1, "old"), (2, None), (5, "x")], "id int, sha256 string")
+    assert sorted(tuple(r) for r in files.fetch_states(files.download(rows, "id", "url", opener, pause=0), before, "id").select("id", "state").collect()) == [(1, "drifted"), (2, "failed"), (3, "failed")]
+    same = files.fetch_states(files.download(rows, "id", "url", opener, pause=0), files.download(rows, "id", "url", opener, pause=0), "id")
+    assert {r.id: r.state for r in same.collect()}[1] == "ok"
+    kept = files.keep_raw(files.download(rows, "id", "url", opener, pause=0).withColumn("format", F.lit("html")), "id", "content", "format", str(tmp_path)).collect()
+    assert [(r.id, r.bytes) for r in kept] == [(1, 4)] and (tmp_path / "1.html").read_bytes() == b"body"
+    assert files.keep_raw(files.download(rows, "id", "url", opener, pause=0).withColumn("format", F.lit("unknown")), "id", "content", "format", str(tmp_path)).first().path == f"{tmp_path}/1.bin"
     held = spark.createDataFrame([(1,)], "id int")
     assert sorted(r.id for r in files.still_to_fetch(rows, held, "id", "url").collect()) == [2, 3]
     assert files.still_to_fetch(rows, held, "id", "url", force=True).count() == 3
@@ -142,5 +143,6 @@ def test_resume(spark, tmp_path):
     assert run() == [("a", 1, ""), ("b", -1, "failed"), ("b", 2, ""), ("c", 3, "")]
     assert run() == [("a", 1, ""), ("b", -1, "failed"), ("b", 2, ""), ("c", 3, "")]
     done = spark.read.parquet(out)
+    assert sorted((r.id, r.v, r.error) for r in latest(done, "id").collect()) == [("a", 1, ""), ("b", 2, ""), ("c", 3, "")]
     rows = spark.createDataFrame([("a",), ("z",)], "id string")
     assert [r.id for r in still_to_do(rows, done, "id").collect()] == ["z"]
