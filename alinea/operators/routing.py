@@ -14,6 +14,28 @@ def target_text(with_guidance: bool = False) -> Column:
     return F.concat_ws(" ", base, F.nullif("guidance", F.lit(""))) if with_guidance else base
 
 
+def _joined(*parts: Column) -> Column:
+    """Parts that aren't empty, by blanks."""
+    return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def focal_text(title: Column, principle: Column, above: Column, text: Column) -> Column:
+    """What a clause is routed on: its subdomain's heading and principle, the texts above it from the root down, and its own (rolled up, where it has items)."""
+    return _joined(title, principle, above, text)
+
+
+def area_text(title: Column, principle: Column, objective: Column) -> Column:
+    """What a subdomain is routed on: heading, principle, objective."""
+    return _joined(title, principle, objective)
+
+
+def asked_text(title: Column, parent: Column, text: Column, above: Column | None = None, mode: str = "parent") -> Column:
+    """What a clause is retrieved by: its own text alone (``clause``), with heading and parent (``parent``), or with heading and all texts above (``context``)."""
+    if mode not in ("clause", "parent", "context"):
+        raise ValueError(mode)
+    return {"clause": lambda: _joined(text), "parent": lambda: _joined(title, parent, text), "context": lambda: _joined(title, above, text)}[mode]()
+
+
 def family_profiles(controls: DataFrame) -> DataFrame:
     """``family, family_title, n_base, n_total, profile``: the family's title and its base entries' titles in key order."""
     base = ~F.col("is_enhancement")

@@ -10,7 +10,7 @@ from alinea.operators.current import current
 from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, hybrid_search, provenance, rrf
 from alinea.operators.hierarchy import ancestors, chain_text, children, inherit, path_order, roll_up
 from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
-from alinea.operators.routing import family_profiles, first_hits, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
+from alinea.operators.routing import area_text, asked_text, family_profiles, first_hits, focal_text, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
 from alinea.plans.stage import once, staged
 from alinea.sources.tables import table
 
@@ -55,8 +55,8 @@ def _leaf_queries(spark: SparkSession, d: str) -> DataFrame:
         chain = chain_text(clauses, closure, "clause_id", "text")
         parents = clauses.select(F.col("clause_id").alias("parent_id"), F.col("text").alias("parent_text"))
         full = leaves.join(chain, "clause_id", "left").join(parents, "parent_id", "left")
-        join = lambda *c: F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in c])
-        out = full.select("clause_id", F.concat_ws("/", "framework", "subdomain").alias("area"), "subdomain_title", "text", join("subdomain_title", "chain", "text").alias("context"), join("subdomain_title", "parent_text", "text").alias("asked"))
+        title, none = F.col("subdomain_title"), F.lit(None).cast("string")  # the clauses table has no principle
+        out = full.select("clause_id", F.concat_ws("/", "framework", "subdomain").alias("area"), "subdomain_title", "text", focal_text(title, none, F.col("chain"), F.col("text")).alias("context"), asked_text(title, F.col("parent_text"), F.col("text")).alias("asked"))
         return staged(out, "leaves")
 
     return once(spark, d, ("clauses",), "leaves", make)
@@ -152,7 +152,8 @@ def _profile_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _areas(leaves: DataFrame) -> DataFrame:
-    return leaves.groupBy("area").agg(F.min("subdomain_title").alias("title"))
+    none = F.lit(None).cast("string")
+    return leaves.groupBy("area").agg(F.min("subdomain_title").alias("title")).select("area", area_text(F.col("title"), none, none).alias("title"))
 
 
 def _routes(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:

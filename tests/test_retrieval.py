@@ -7,9 +7,9 @@ import pytest
 
 from alinea.functions.text import STOP, tokens
 from alinea.operators import lexical
-from alinea.operators.fusion import dense_top, embed, hybrid_search, provenance, rrf
+from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, embed, hybrid_search, provenance, rrf
 from alinea.operators.lexical import bm25_top, impacts
-from alinea.operators.routing import family_profiles, recall_at, shortlist
+from alinea.operators.routing import area_text, asked_text, family_profiles, focal_text, recall_at, shortlist
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,48 @@ def test_dense_against_numpy(spark, monkeypatch):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: sorted(range(40), key=lambda i: (-s[q, i], i))[:4] for q in (0, 10, 20, 30)}
 
 
+def test_dense_in_groups_and_cells(spark, monkeypatch):
+    monkeypatch.setattr("alinea.operators.fusion.BLOCK", 9)
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(6, 4))[np.arange(120) % 6] + 0.1 * rng.normal(size=(120, 4))).astype(np.float32)
+    s = np.round(v.astype(float) @ v.astype(float).T, 6)
+    e = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)] + [(999, None, 0)], "id int, v array<float>, g int")
+    asked = e.where("id < 8").select("id", "v", F.explode(F.array(F.lit(0), F.lit(2))).alias("g"))
+    got = {}
+    for r in dense_top_in_groups(asked, "id", e, "id", "v", "g", 3).collect():
+        got.setdefault(r.query, []).append((r.rank, r.item))
+    allowed = [i for i in range(120) if i % 3 != 1]
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: sorted(allowed, key=lambda i: (-s[q, i], i))[:3] for q in range(8)}
+    cells = Cells.fit(e, "v", 6, sample=60)
+    assert len(cells.centres) == 6 and cells.assign(e, "id", "v", 1).count() == 120  # every vector is indexed
+    exact = {(r.query, r.item) for r in dense_top(e, "id", e, "id", "v", 5).collect()}
+    found = {(r.query, r.item) for r in dense_top_in_cells(e, "id", e, "id", "v", 5, cells, 3).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert {(r.query, r.item) for r in dense_top_in_cells(e, "id", e, "id", "v", 5, cells, 6).collect()} == exact  # all cells: exact
+    assert dense_top_in_cells(e.limit(0), "id", e, "id", "v", 5, cells, 3).count() == dense_top(e, "id", e.limit(0), "id", "v", 5).count() == 0
+    assert len(Cells.fit(e.limit(0), "v").centres) == 1
+
+
+def test_hot_terms_are_dealt_out_alike(spark):
+    items = spark.createDataFrame([(i, "common " + ("rare " if i % 9 == 0 else "") + f"own{i}") for i in range(60)], "id int, text string")
+    plain, dealt = ({(r.term, r.item): round(r.impact, 9) for r in impacts(items, "id", "text", hot).collect()} for hot in (250_000, 5))
+    assert plain == dealt and len(plain) == 127
+    asked = spark.createDataFrame([("q", "common rare common")], "q string, text string")
+    a, b = ({(r.item, r.score) for r in lexical.bm25_scores(asked, "q", "text", impacts(items, "id", "text"), hot).collect()} for hot in (250_000, 5))
+    assert a == b and len(a) == 60
+
+
+def test_answers_and_texts(spark):
+    q = spark.createDataFrame([("a",), ("b",)], "q string")
+    hits = spark.createDataFrame([("a",), ("a",)], "query string")
+    assert sorted(map(tuple, answers(q, "q", hits, "no").collect())) == [("a", 2, ""), ("b", 0, "no")]
+    df = spark.createDataFrame([("T", "", None, "x")], "t string, p string, u string, x string")
+    c = [F.col(n) for n in "tpux"]
+    assert tuple(df.select(focal_text(*c), area_text(c[0], F.lit("P"), c[2]), asked_text(c[0], F.lit("up"), c[3]), asked_text(c[0], c[1], c[3], F.lit("r s"), "context"), asked_text(c[0], c[1], c[3], mode="clause")).first()) == ("T x", "T P", "T up x", "T r s x", "x")
+    with pytest.raises(ValueError):
+        asked_text(*c[:3], mode="other")
+
+
 def test_embed(spark):
     def encoder():
         return lambda texts: np.array([[len(t), t.count("a")] for t in texts])
