@@ -122,6 +122,7 @@ def _pack_sets(items: DataFrame, search: Search, tasks: int, label: str) -> tupl
     placed = bins.select(*_SET, F.posexplode("bins").alias("bin", "members")).select(*_SET, "bin", F.explode("members").alias("at"))
     each = sets.select("limit_name", "capacity", "set_no", F.posexplode("items").alias("at", "item"))
     out = staged(each.join(placed, [*_SET, "at"]).select("limit_name", "capacity", "set_no", "bin", "item.*"), f"{label}-packed")
+    drop(sets)
     return out, begun.select("limit_name", "n_fit")
 
 
@@ -154,7 +155,10 @@ def packed(df: DataFrame, key: str, text: str, capacities: list[Capacity], folde
     fit, round_ = None, 0
     while True:
         once, begun = _pack_sets(todo, search, tasks, f"pack{round_}")
-        fit = begun if fit is None else fit
+        if fit is None:
+            fit = begun
+        else:
+            drop(begun)
         loads = staged(once.groupBy("limit_name", "capacity", "set_no", "bin").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")), "loads")
         # The containers of a set that aren't full, from the emptiest on: a set has few containers, ranked within it.
         ranked = loads.groupBy("limit_name", "capacity", "set_no").agg(F.array_sort(F.collect_list(F.struct("load", "bin", "n"))).alias("all"))
@@ -228,7 +232,7 @@ def p7_parts(spark: SparkSession, d: str) -> DataFrame:
     parts = p7_containers(spark, d)
     loads = parts.where("container is not null").groupBy("limit_name", "container").agg(F.sum("n_tokens").alias("load"))
     most = loads.groupBy("limit_name").agg(F.max("load").alias("fullest"))
-    sums = parts.groupBy("limit_name").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_parts"), F.count_if("container is null").alias("n_without"))
+    sums = parts.groupBy("limit_name").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_parts"), F.count_if(F.col("container").isNull()).alias("n_without"))
     limits = table(spark, d, "size_limits").where("used_for = 'container'").select("limit_name", "max_tokens")
     return sums.join(most, "limit_name").join(limits, "limit_name").select("limit_name", "n_docs", (F.col("n_parts") >= F.col("n_docs")).alias("whole"), (F.col("fullest") <= F.col("max_tokens")).alias("within"), "n_without")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alinea.functions.keys import norm_category
 from alinea.llm.calibration import floored_totals, tilt
-from alinea.plans.stage import staged
+from alinea.plans.stage import drop, staged
 from alinea.plans.unions import union_all
 from alinea.sources.tables import table
 
@@ -258,7 +258,9 @@ def calibrate(df: DataFrame, targets: DataFrame, item: str, band: str = "band",
     counted = cells.groupBy("band", "source").agg(F.sum("n").alias("n")).collect()  # at most (bands + 1) * (sources + 1) rows
     counts = {(r.band, r.source): r.n for r in counted}
     plans = {s: plan([t for t in goals if t.target_set == s], counts, seed) for s in dict.fromkeys(t.target_set for t in goals)}
-    return Calibration(goals, items, counts, available(cells, goals), plans)
+    there = available(cells, goals)
+    drop(cells)
+    return Calibration(goals, items, counts, there, plans)
 
 
 def sample_report(spark: SparkSession, c: Calibration) -> DataFrame:
