@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from alinea.plans.stage import staged
+from alinea.plans.stage import drop, staged
 from alinea.plans.unions import union_all
 
 
@@ -26,6 +26,7 @@ def ancestors(df: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame
         step = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
         level = staged(step.join(rows, "ancestor", "left_semi").select("node", "ancestor", "distance"), "level")
         levels.append(level)
+    drop(edges)
     return union_all(levels)
 
 

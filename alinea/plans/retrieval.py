@@ -12,6 +12,7 @@ from alinea.operators.hierarchy import ancestors, chain_text, children, inherit,
 from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
 from alinea.operators.routing import area_text, asked_text, family_profiles, first_hits, focal_text, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
 from alinea.plans.stage import once, staged
+from alinea.sources.files import read_vectors
 from alinea.sources.tables import table
 
 FAMILIES, PLACES = 5, 10
@@ -84,15 +85,19 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("query").alias("clause_id"), F.col("item").alias("control_id"), "score", "rank")
 
 
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return read_vectors(spark, f"{d}/embeddings.parquet", "vec_id", "embedding")
+
+
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest vectors of every vector whose id is divisible by 20."""
-    e = table(spark, d, "embeddings")
+    e = _embeddings(spark, d)
     return dense_top(e.where("vec_id % 20 = 0"), "vec_id", e, "vec_id", "embedding", 10)
 
 
 def dense_cells_recall(spark: SparkSession, d: str) -> DataFrame:
     """How much of the exact 10 nearest vectors the search in cells finds, over all queries."""
-    e = table(spark, d, "embeddings")
+    e = _embeddings(spark, d)
     asked = e.where("vec_id % 20 = 0")
     exact = dense_top(asked, "vec_id", e, "vec_id", "embedding", 10).select("query", "item")
     found = dense_top_in_cells(asked, "vec_id", e, "vec_id", "embedding", 10, Cells.fit(e, "embedding", 32), 20).select("query", "item", F.lit(1).alias("f"))
@@ -116,7 +121,7 @@ def _document_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     asked = docs.where("doc_id % 20 = 0 and title_en is not null")
     index = once(spark, d, ("documents",), "document impacts", lambda: staged(impacts(docs, "doc_id", "text"), "impacts"))
     lexical = bm25_top(asked, "doc_id", "title_en", index, 40)
-    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    e = _embeddings(spark, d).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     dense = dense_top(e.join(asked.select("doc_id"), "doc_id", "left_semi"), "doc_id", e, "doc_id", "embedding", 40)
     return docs, lexical, dense
 
@@ -168,7 +173,7 @@ def _routes(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``embedding``: a stand-in for a model's vectors of its keys, rows of embeddings dealt by a hash that SQL has, too."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    e = _embeddings(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("_n"))
     at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint")
     return df.crossJoin(F.broadcast(n)).withColumn("vec_id", at % F.col("_n")).join(e, "vec_id").drop("vec_id", "_n")  # n: one row

@@ -46,7 +46,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def once(spark: SparkSession, folder: str, names: tuple[str, ...], label: str, make: Callable[[], object]):
     """What ``make`` gives (staged tables), made once a session for a folder's tables ``names`` as they are now.
 
-    A table that was written anew has another time or length, so what was made of it before isn't used again.
+    A table that was written anew has another time or length, so what was made of it before isn't used again; nor is
+    what someone has deleted from the shared folder.
     """
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     stamps = []
@@ -55,11 +56,18 @@ def once(spark: SparkSession, folder: str, names: tuple[str, ...], label: str, m
         status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
         stamps.append((n, status.getModificationTime(), status.getLen()))
     key = (spark.sparkContext.applicationId, folder, label, *stamps)
-    if key not in _MADE:
+    if key not in _MADE or not _still_there(spark, _MADE[key]):
         _MADE[key] = make()
     return _MADE[key]
 
 
+def _still_there(spark: SparkSession, made) -> bool:
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folders = {f.rsplit("/", 1)[0] for df in (made if isinstance(made, tuple) else (made,)) for f in df.inputFiles()}
+    paths = [path_of(f) for f in folders]
+    return all(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads, given as ``staged`` returned them or as columns of them. Others are left alone."""
     for df in tables:

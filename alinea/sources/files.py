@@ -44,9 +44,9 @@ def read_marked_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors kept as Parquet arrays."""
-    return spark.read.parquet(path)
+def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """Vectors kept as Parquet arrays: ``key`` and ``vector`` as an array of floats, null ones left out."""
+    return spark.read.parquet(path).where(F.col(vector).isNotNull()).withColumn(vector, F.col(vector).cast("array<float>")).select(key, vector)
 
 
 def _pdf_reader() -> Callable[[bytes], list[str]]:

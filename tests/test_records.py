@@ -115,6 +115,12 @@ def test_pdf_and_download(spark, tmp_path):
     assert files.still_to_fetch(rows, held, "id", "url", force=True).count() == 3
 
 
+def test_vectors(spark, tmp_path):
+    spark.createDataFrame([(1, [0.5, 1.0], "x"), (2, None, "y")], "k int, v array<double>, c string").write.parquet(f"{tmp_path}/v")
+    got = files.read_vectors(spark, f"{tmp_path}/v", "k", "v")
+    assert dict(got.dtypes)["v"] == "array<float>" and [(r.k, r.v) for r in got.collect()] == [(1, [0.5, 1.0])]
+
+
 def test_cache(spark, tmp_path):
     made = []
 

@@ -8,7 +8,7 @@ from alinea.operators import evidence, records
 from alinea.operators.order import places
 from alinea.operators.routing import missing_routes, recall_by_group, route, route_single
 from alinea.plans.findings import band_of
-from alinea.plans.stage import once, staged
+from alinea.plans.stage import drop, once, staged
 from alinea.plans.unions import union_all
 
 
@@ -140,5 +140,7 @@ def test_once_makes_again_what_was_written_anew(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     assert once(spark, str(tmp_path), ("t",), "x", make).count() == once(spark, str(tmp_path), ("t",), "x", make).count() == 3
     assert len(made) == 1
+    drop(once(spark, str(tmp_path), ("t",), "x", make))
+    assert once(spark, str(tmp_path), ("t",), "x", make).count() == 3 and len(made) == 2
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert once(spark, str(tmp_path), ("t",), "x", make).count() == 5
