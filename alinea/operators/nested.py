@@ -50,6 +50,8 @@ _SCALAR = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|NaN
 #: The rest of a text that ends inside a number or a word.
 _STUMP = re.compile(r"(?:-|\.|[eE][-+]?|t|tr|tru|f|fa|fal|fals|n|nu|nul|N|Na|-?I[nfity]*)?\s*")
 _WORDS = {"true": True, "false": False, "null": None}
+_SPELT = {v: k for k, v in _WORDS.items()}
+_quoted = json.encoder.encode_basestring
 
 
 def _string(text: str, at: int) -> tuple[str | None, int, bool]:
@@ -250,7 +252,7 @@ class _Document:
         forms = {}
         for node, *_ in reversed(order):  # children come after their parent in document order
             if isinstance(node, dict):
-                form = "{" + ",".join([f"{json.dumps(k, ensure_ascii=False)}:{self._form(node[k])}" for k in sorted(node)]) + "}"
+                form = "{" + ",".join([f"{_quoted(k)}:{self._form(node[k])}" for k in sorted(node)]) + "}"
             else:
                 form = "[" + ",".join(map(self._form, node)) + "]"
             self.hash_of[id(node)] = h = blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
@@ -266,11 +268,13 @@ class _Document:
             self.rows.append((occ, parent, step, place, h, "object" if is_object else "array", role, record_no, finding_no, round_no, clause_id, self.hash_of[id(values)] if values is not None else None, *kept, forms[h] if new and self.canonical else None))
 
     def _form(self, value) -> str:
+        if type(value) is str:
+            return _quoted(value)
         if isinstance(value, (dict, list)):
             return f'{{"#":"{self.hash_of[id(value)]}"}}'
         if type(value) is Number:
             return f'{{"=":"{value}"}}' if value[-1] in "Ny" else value
-        return json.dumps(value, ensure_ascii=False)
+        return _SPELT[value]
 
 
 def _clean(s):
@@ -281,8 +285,14 @@ def _shredded(batches: Iterator[pa.RecordBatch], fields: Sequence[str], canonica
     seen: set[str] = set()
     rows: list[tuple] = []
 
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        try:
+            return pa.array(values, kind)
+        except UnicodeEncodeError:  # half of a surrogate pair in some text
+            return pa.array(map(_clean, values), kind)
+
     def made() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(map(_clean, c) if pa.types.is_string(t) else c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        return pa.record_batch([column(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     unread = (None,) * (len(schema) - 8)
     for batch in batches:
