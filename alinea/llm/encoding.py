@@ -60,9 +60,9 @@ def count_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
     path = tokenizer_path(tokenizer, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(path).encode
+        count = transducer(path).count
         for batch in batches:
-            sizes = [len(encode(x)) for x in batch.column(1).to_pylist()]
+            sizes = [count(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32())], names=[key, "n_tokens"])
 
     kind = dict(df.dtypes)[key]

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 tokenizers = pytest.importorskip("tokenizers")
 
-from alinea.llm.bpe import Merges, Transducer, Utf8Machine, decode_stream, tokenizer_path, transducer
+from alinea.llm.bpe import PATTERN, Merges, Transducer, Utf8Machine, decode_stream, tokenizer_path, transducer
 from alinea.llm.encoding import count_column, decode_column, encode_column
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -93,3 +93,23 @@ def test_decode_column(spark):
     assert [r.text for r in back.orderBy("doc_id").collect()] == [t or "" for t in texts]
     lists = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
     assert [r.text for r in decode_column(lists, "doc_id", "ids").collect()] == ["", ""]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text(st.characters(max_codepoint=0xFFFF, exclude_categories=["Cs"]), max_size=80)))
+def test_split_and_count_are_those_of_the_full_engine(text):
+    import regex
+
+    t = transducer(PATH)
+    assert t.split(text) == regex.compile(PATTERN).findall(text)
+    assert t.count(text) == len(t.encode(text))
+
+
+def test_split_of_every_character():
+    import regex
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a, z in (("", ""), ("a", "1"), (" ", "a"), (".", " ")):
+        for at in range(0, len(every), 50_000):
+            text = "".join(f"{a}{x}{z}" for x in every[at : at + 50_000])
+            assert transducer(PATH).split(text) == regex.compile(PATTERN).findall(text)
