@@ -169,6 +169,15 @@ def debate_report(spark: SparkSession, d: str) -> DataFrame:
     return union_all([totals, *[p.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "value", "n", F.lit(None).cast("bigint").alias("percent")) for s, p in parts]])
 
 
+def debate_bands(spark: SparkSession, d: str) -> DataFrame:
+    """How many findings each way of selecting them puts up for debate; rejected ones never are."""
+    f = _rows(spark, d).select("confidence", "status", relation("relationship").alias("relationship"))
+    c, s = F.col("confidence"), F.col("status")
+    ways = {"all": evidence.in_band(c, s), "disputed": evidence.in_band(c, s, below=ACCEPT), "provisional": evidence.in_band(c, s, 0.50, 0.70), "intersects": evidence.in_band(c, s) & (F.col("relationship") == "intersects_with")}
+    counted = f.agg(*[F.count_if(w).alias(n) for n, w in ways.items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col(n).alias("n")) for n in ways])).alias("b")).select("b.*")
+
+
 def mock_gate(spark: SparkSession, d: str) -> DataFrame:
     """The first three candidates of every clause through the deterministic proposer, the gate, opponent and arbiter, and the gate again."""
     c = table(spark, d, "candidates").where("clause_id is not null and control_id is not null and score is not null and not isnan(score)")
@@ -315,7 +324,7 @@ _BAND = "CASE WHEN confidence >= 0.70 THEN 'high' WHEN confidence >= 0.55 THEN '
 
 
 def queries() -> dict:
-    names = "gate_verify gate_plain gate_reasons grade_mix noted_errors parse_failures relation_mix judgment_report risk_coverage review_overlay relation_shift before_after debate_outcomes debate_report mock_gate precision_report label_mix review_sample sample_sizes lines_to_repeat prompt_sizes debate_prompts"
+    names = "gate_verify gate_plain gate_reasons grade_mix noted_errors parse_failures relation_mix judgment_report risk_coverage review_overlay relation_shift before_after debate_outcomes debate_report debate_bands mock_gate precision_report label_mix review_sample sample_sizes lines_to_repeat prompt_sizes debate_prompts"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -346,6 +355,8 @@ p AS (SELECT t.rank, ['subset_of', 'intersects_with', 'equal'][t.rank] AS relati
 g AS (SELECT *, length(ef) < {MIN_EVIDENCE} OR NOT contains(xf, ef) OR length(et) < {MIN_EVIDENCE} OR NOT contains(xt, et) AS bad, CASE WHEN relationship = 'intersects_with' THEN 0.72 ELSE least(1.0, round(confidence + 0.1, 6)) END AS nc FROM p)
 SELECT rank, relationship, CASE WHEN relationship = 'intersects_with' THEN 'subset_of' ELSE relationship END AS new_relationship, CASE WHEN relationship = 'intersects_with' THEN 'revise' ELSE 'uphold' END AS ruling,
   CASE WHEN bad THEN 'rejected' WHEN confidence >= {ACCEPT} THEN 'accepted' ELSE 'disputed' END AS before, CASE WHEN bad THEN 'rejected' WHEN nc >= {ACCEPT} THEN 'accepted' ELSE 'disputed' END AS after, count(*) AS n FROM g GROUP BY ALL""",
+        "debate_bands": f"""WITH {_J}, x AS (SELECT coalesce(f.confidence, 0) AS c, {_REL.format('f.relationship')} AS r FROM j WHERE coalesce(f.status, '') <> 'rejected')
+SELECT 'all' AS band, count(*) AS n FROM x UNION ALL SELECT 'disputed', count(*) FILTER (c < 0.60) FROM x UNION ALL SELECT 'provisional', count(*) FILTER (c >= 0.50 AND c < 0.70) FROM x UNION ALL SELECT 'intersects', count(*) FILTER (r = 'intersects_with') FROM x""",
         "debate_outcomes": f"""{_ROUNDS}, l AS (SELECT line_no, record_no, finding_no, count(*) AS nr, arg_max(x ->> '$.ruling.relationship', CASE WHEN coalesce(x ->> '$.ruling.relationship', '') <> '' THEN round_no END) AS last FROM rr GROUP BY 1, 2, 3)
 SELECT coalesce(f ->> '$.relationship', '') AS relationship, coalesce(last, '') AS ruled, count(*) AS n, sum(nr)::BIGINT AS n_rounds FROM judged JOIN l USING (line_no, record_no, finding_no) GROUP BY 1, 2""",
         "debate_report": f"""{_ROUNDS.replace('WITH raw', _GATE.split(', g AS')[0] + ', raw')}, q AS (SELECT line_no, record_no, finding_no, bool_or(coalesce(x ->> '$.objection.objection', '') = 'true') AS objected,

@@ -303,6 +303,12 @@ def register_guard(spark: SparkSession, d: str) -> DataFrame:
     return records.guard(_register(spark, d), 15).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_ids"))
 
 
+def chosen_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of chosen states and languages, however these are written."""
+    docs = table(spark, d, "documents").select("doc_id", "status", "lang")
+    return records.matching(records.matching(docs, "status", [" Binding", "DRAFT "]), "lang", ["EN", "fr"])
+
+
 def tier_census(spark: SparkSession, d: str) -> DataFrame:
     """Records of each known tier."""
     return _register(spark, d).where(F.col("tier").isin(records.TIERS)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
@@ -372,7 +378,7 @@ _LAST = "(SELECT * FROM controls QUALIFY row_number() OVER (PARTITION BY control
 
 
 def queries() -> dict:
-    names = "clause_statistics catalogue_families family_coverage clause_coverage clause_gaps family_gaps clause_order overview overall broader_targets parameter_gaps followed_families enumerations evidenced_absence best_examples best_example record_problems record_guard record_repeats record_tallies related_tallies issuer_sources uncovered_years hash_drift sniffed_formats register_guard tier_census readiness source_fingerprints encoded_register decoded_register key_suggestions record_order"
+    names = "clause_statistics catalogue_families family_coverage clause_coverage clause_gaps family_gaps clause_order overview overall broader_targets parameter_gaps followed_families enumerations evidenced_absence best_examples best_example record_problems record_guard record_repeats record_tallies related_tallies issuer_sources uncovered_years hash_drift sniffed_formats register_guard chosen_records tier_census readiness source_fingerprints encoded_register decoded_register key_suggestions record_order"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -442,6 +448,7 @@ SELECT CASE WHEN magic THEN 'pdf' WHEN ct = 'pdf' OR e = 4 THEN 'pdf' WHEN ct =
   UNION ALL SELECT NULL, 'duplicate doc_id' FROM (SELECT count(DISTINCT doc_id) < count(doc_id) AS t FROM reg) WHERE t
   UNION ALL SELECT NULL, 'row count ' || n || ' is not 15' FROM (SELECT count(*) AS n FROM reg) WHERE n <> 15)
 SELECT error, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM e WHERE error IS NOT NULL GROUP BY 1""",
+        "chosen_records": "SELECT doc_id, status, lang FROM documents WHERE lower(trim(status)) IN ('binding', 'draft') AND lower(trim(lang)) IN ('en', 'fr')",
         "tier_census": f"WITH {_REG} SELECT tier, count(*) AS n FROM reg WHERE tier IN ('core', 'referenced', 'method') GROUP BY 1",
         "readiness": "SELECT (SELECT count(*) > 0 FROM findings_sample) AND (SELECT count(*) > 0 FROM clauses) AND (SELECT count(*) > 0 FROM controls) AND false AS ready, 'none' AS missing",
         "source_fingerprints": f"WITH {_CTL} SELECT family, substr(sha256(string_agg(control_id, '' ORDER BY control_id)), 1, 16) AS fingerprint FROM ctl GROUP BY 1",
