@@ -142,6 +142,22 @@ class _State:
         self.end: tuple[int, ...] | None = None
 
 
+class _Counts(dict):
+    """How many ids a part has; made when first asked for, up to a bound."""
+
+    def __init__(self, part: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.part = part
+
+    def __missing__(self, text: str) -> int:
+        n = len(self.part(text))
+        if len(text) <= 64:
+            if len(self) >= MAX_PARTS:
+                self.clear()
+            self[text] = n
+        return n
+
+
 class Transducer:
     """Bytes in, token ids out. ``encode`` splits a text first; ``feed`` and ``finish`` work on a stream of one part."""
 
@@ -149,6 +165,7 @@ class Transducer:
         self.merges, self.split = merges, splitter(pattern)
         self._parts: dict[str, tuple[int, ...]] = {}
         self.known = self._parts.get  # the ids of a part met before, or none
+        self._counts = _Counts(self.part)
         self._reset()
 
     def _reset(self) -> None:
@@ -240,10 +257,7 @@ class Transducer:
 
     def count(self, text: str | None) -> int:
         """How many ids ``encode`` gives."""
-        if not text:
-            return 0
-        known, part = self.known, self.part
-        return sum([len(known(p) or part(p)) for p in self.split(text)])
+        return sum(map(self._counts.__getitem__, self.split(text))) if text else 0
 
 
 #: Unicode's table of well-formed UTF-8: first byte, range of the second, number of bytes after the first.

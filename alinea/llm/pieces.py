@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,6 +34,8 @@ _WIDE = set("。！？；：，、")
 _CLOSERS = "\"'’”)]}»」』"
 #: Limits that are read on the driver at most; more raise ValueError.
 MAX_LIMITS = 1000
+#: Parts that a task keeps what it found out of, before it starts anew.
+MAX_MET = 200_000
 #: Bytes of text in an output batch.
 BATCH_BYTES = 8 << 20
 
@@ -60,45 +64,72 @@ def _pause(p: str, q: str, newlines: int) -> int:
     return BLANK if p[-1].isspace() else INNER
 
 
-def borders(text: str, t: Transducer, more_than: int = -1) -> Borders | None:
+class _Part(NamedTuple):
+    """What borders need of a part of a text, whatever stands around it."""
+
+    tokens: int
+    chars: int
+    offsets: tuple[int, ...]  # of each token's end, -1 inside a character; empty for a single token
+    blank: bool
+    newlines: int
+    spaced: bool  # begins with a blank
+    word: bool  # ends like a word
+
+
+def _part(p: str, ids: tuple[int, ...], size: list[int]) -> _Part:
+    offsets: list[int] = []
+    if len(ids) > 1:
+        ends = list(accumulate(size[i] for i in ids))
+        if p.isascii():
+            offsets = ends
+        else:
+            place, n = {}, 0
+            for k, c in enumerate(p, 1):
+                n += len(c.encode("utf-8", "replace"))
+                place[n] = k
+            offsets = [place.get(e, -1) for e in ends]
+    blank = p.isspace()
+    return _Part(len(ids), len(p), tuple(offsets), blank, p.count("\n") if blank else 0, p[0] == " ", p[-1].isalnum())
+
+
+class Parts(dict):
+    """What was found out about the parts of texts so far, as the words of a corpus repeat; up to a bound."""
+
+    def __init__(self, t: Transducer):
+        super().__init__()
+        self.t = t
+
+    def __missing__(self, p: str) -> _Part:
+        made = _part(p, self.t.part(p), self.t.merges.size)
+        if len(p) <= 64:
+            if len(self) >= MAX_MET:
+                self.clear()
+            self[p] = made
+        return made
+
+
+def borders(text: str, t: Transducer, more_than: int = -1, met: Parts | None = None) -> Borders | None:
     """Token borders of ``text`` with their pauses; null if it has no more tokens than ``more_than``."""
-    known, part = t.known, t.part
     parts = t.split(text)
-    encoded = [known(p) or part(p) for p in parts]
-    if sum(map(len, encoded)) <= more_than:
+    known = list(map((Parts(t) if met is None else met).__getitem__, parts))
+    if sum([w[0] for w in known]) <= more_than:
         return None
-    size = t.merges.size
     char, pause, at, newlines, before = [0], [END], 0, 0, ""
-    for p, ids in zip(parts, encoded):
-        blank = p.isspace()
-        if newlines or blank or not before[-1:].isalnum():
-            if before:
-                pause[-1] = _pause(before, p, newlines)
-        else:  # behind a word
-            pause[-1] = BLANK if p[0] == " " else INNER
-        newlines = p.count("\n") + (newlines if before.isspace() else 0) if blank else 0
-        if len(ids) == 1:
-            at += len(p)
-            char.append(at)
+    after_blank = after_word = False
+    for p, (n, chars, offsets, blank, breaks, spaced, word) in zip(parts, known):
+        if after_word and not newlines and not blank:
+            pause[-1] = BLANK if spaced else INNER
+        elif before:
+            pause[-1] = _pause(before[-8:], p, newlines)
+        newlines = breaks + (newlines if after_blank else 0) if blank else 0
+        if n == 1:
+            char.append(at + chars)
             pause.append(TOKEN)
         else:
-            if p.isascii():
-                end = at
-                for i in ids:
-                    end += size[i]
-                    char.append(end)
-            else:
-                place, n = {0: 0}, 0
-                for k, c in enumerate(p, 1):
-                    n += len(c.encode("utf-8", "replace"))
-                    place[n] = k
-                n = 0
-                for i in ids:
-                    n += size[i]
-                    char.append(at + place[n] if n in place else -1)
-            at += len(p)
-            pause += [TOKEN] * len(ids)
-        before = p[-8:]
+            char += [at + o if o >= 0 else -1 for o in offsets]
+            pause += [TOKEN] * n
+        at += chars
+        before, after_blank, after_word = p, blank, word
     pause[-1] = END
     return Borders(char, pause)
 
@@ -108,7 +139,7 @@ def _atoms(b: Borders, room: int) -> list[int]:
     n = len(b.char) - 1
     cuts = [0, *(i for i in range(1, n) if b.pause[i] >= COMMA and b.char[i] >= 0), n]
     for weaker in (BLANK, INNER, TOKEN):
-        if all(y - x <= room for x, y in zip(cuts, cuts[1:])):
+        if max(map(sub, cuts[1:], cuts)) <= room:
             break
         finer = [0]
         for x, y in zip(cuts, cuts[1:]):
@@ -140,7 +171,8 @@ def cut(b: Borders, limit: Limit) -> list[int]:
         j = after[i]
         return (b.pause[ends[j]], stop[j] - ends[i], i, j, stop[j])
 
-    heap = [entry(i) for i in range(k - 1)]
+    pause = b.pause
+    heap = [(pause[y], z - x, i, i + 1, z) for i, (x, y, z) in enumerate(zip(ends, ends[1:], ends[2:]))]
     heapq.heapify(heap)
     while heap:
         _, _, i, j, end = heapq.heappop(heap)
@@ -226,6 +258,7 @@ def _split(df: DataFrame, key: str, text: str, limits: list[Limit], path: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
+        met = Parts(t)
         least = min((x.max_tokens for x in limits), default=0)
         rows: list[tuple] = []
         held, types = 0, None
@@ -240,7 +273,7 @@ def _split(df: DataFrame, key: str, text: str, limits: list[Limit], path: str) -
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not value or len(value.encode("utf-8", "replace")) <= least:  # a token has one byte at least
                     continue
-                b = borders(value, t, least)
+                b = borders(value, t, least, met)
                 for limit in limits if b else ():
                     if len(b.char) - 1 > limit.max_tokens:
                         for no, (x, y, n, shared, end) in enumerate(pieces(value, limit, t, b), 1):
