@@ -54,34 +54,31 @@ def orphans(references: DataFrame, targets: DataFrame, hot_rows: int = 250_000)
 
     Fixpoint: the versions with a direct orphan form the first frontier; each round takes, by a semi join on key and
     span, the references between records to versions of the frontier, and their owners that weren't there before form
-    the next, until none is left; so cycles end. References of records that nothing can refer to (most of them) take no
-    part in the rounds: they meet all orphan versions once, at the end. Every round's result is a staged table.
+    the next, until none is left; so cycles end. Every frontier is a staged table. References of records that nothing
+    can refer to (most of them) take no part in the rounds: at the end all references meet all orphan versions once.
     """
     refs = staged(_distinct(references), "refs")
     hot = hot_keys(refs, KEY, hot_rows)
     direct = staged(_unheld(refs, targets, hot_rows, hot).select("*", F.lit("direct").alias("kind"), F.lit(0).alias("depth")), "orphans")
-    between, outer = refs.where("own_key is not null"), refs.where("own_key is null")
+    between = refs.where("own_key is not null")
 
     def owners(found: DataFrame) -> DataFrame:
         return found.where("own_key is not null").select(F.col("src_table").alias("ref_table"), F.col("own_key").alias("ref_key"), F.col("own_from").alias("valid_from"), F.col("own_to").alias("valid_to")).distinct()
 
-    frontier, rounds = staged(owners(direct), "frontier"), []
-    nodes: list[DataFrame] = []
+    frontier, nodes = staged(owners(direct), "frontier"), []
     while not frontier.isEmpty():
-        nodes.append(frontier.withColumn("below", F.lit(len(nodes) + 1)))
-        reached = staged(skew_join(between, frontier, KEY, "left_semi", _held(), hot_rows, hot).withColumn("depth", F.lit(len(nodes))), "reached")
-        rounds.append(reached)
-        known = union_all(nodes).drop("below").alias("k")
+        nodes.append(frontier.withColumn("depth", F.lit(len(nodes) + 1)))
+        reached = skew_join(between, frontier, KEY, "left_semi", _held(), hot_rows, hot)
+        known = union_all(nodes).drop("depth").alias("k")
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("ref_table", "ref_key", "valid_from", "valid_to")]
         frontier = staged(owners(reached).alias("n").join(known, reduce(lambda a, b: a & b, same), "left_anti"), "frontier")
     if not nodes:
         drop(refs, frontier, hot[0])
         return direct
-    met = skew_join(outer, union_all(nodes), KEY, "inner", _held(), hot_rows, hot).select(*REFERENCE, F.col("below").alias("depth"))
-    # A reference may be reached through several versions: it is kept once, at its least depth.
-    once = union_all([*rounds, met]).groupBy(*REFERENCE).agg(F.min("depth").alias("depth"))
-    inherited = staged(once.select(*REFERENCE, F.lit("inherited").alias("kind"), "depth"), "orphans")
-    drop(refs, frontier, hot[0], *rounds, *nodes)
+    # A reference may meet several versions: it is kept once, at its least depth. Direct orphans meet none.
+    met = skew_join(refs, union_all(nodes), KEY, "inner", _held(), hot_rows, hot).groupBy(*REFERENCE).agg(F.min("depth").alias("depth"))
+    inherited = staged(met.select(*REFERENCE, F.lit("inherited").alias("kind"), "depth"), "orphans")
+    drop(refs, frontier, hot[0], *nodes)
     return union_all([direct, inherited])
 
 
