@@ -272,7 +272,7 @@ def sample_report(spark: SparkSession, c: Calibration) -> DataFrame:
     for t, there in zip(c.targets, c.there):
         k = place[t.target_set] = place.get(t.target_set, -1) + 1
         of = c.plans[t.target_set]
-        lines.append((*t[:6], t.required, there, of.aimed[k], of.sampled[k], of.sampled[k] - of.aimed[k], of.converged, there < t.required))
+        lines.append((*t[:6], t.required, there, round(of.aimed[k], 6), of.sampled[k], round(of.sampled[k] - of.aimed[k], 6), of.converged, there < t.required))
     return spark.createDataFrame(lines, "target_set string, band string, source string, share double, min_rows int, sample_rows int, required double, available bigint, aimed double, sampled bigint, off double, converged boolean, gap boolean")
 
 
