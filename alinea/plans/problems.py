@@ -161,6 +161,11 @@ SELECT src_table, line_no, record_no::INT AS record_no, finding_no::INT AS findi
 """
 
 
+P3_UNREAD_SQL = r"""
+WITH raw AS (SELECT line_no, payload, regexp_replace(payload, '^\s*```(json)?\s*|\s*```\s*$', '', 'g') AS t FROM findings_raw)
+SELECT 'findings_raw' AS src_table, line_no, CASE WHEN payload IS NULL THEN 'null' WHEN trim(payload, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN NOT regexp_matches(payload, '[\[{]') THEN 'no JSON' ELSE 'cut off' END AS reason
+FROM raw WHERE NOT coalesce(json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t ELSE '0' END) IN ('OBJECT', 'ARRAY'), false)
+"""
 # A list of findings that is spelt in a string is opened, so its nodes count, too.
 P3_NODES_SQL = (
     P3_SQL[: P3_SQL.index("opened AS (")].strip().rstrip(",")
@@ -179,4 +184,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p3_nodes": P3_NODES_SQL}
+    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p3_nodes": P3_NODES_SQL, "p3_unread": P3_UNREAD_SQL}
