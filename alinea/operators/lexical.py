@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alinea.functions.text import tokens
-from alinea.plans.skew import HOT_ROWS, checked_broadcast, skew_join
+from alinea.plans.skew import HOT_ROWS, is_small, skew_join
 from alinea.plans.stage import staged
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
@@ -18,10 +18,13 @@ K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
 PLACES = 6
 
 
-def postings(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``term, item, tf, dl``: how often a term is in an item, and the item's number of tokens."""
+def postings(items: DataFrame, item: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """``term, item, tf, dl``: how often a term is in an item, and the item's number of tokens; of the terms in ``only`` (term, small), if given."""
     each = items.select(F.col(item).alias("item"), tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return each.select("item", "dl", F.explode("tokens").alias("term")).groupBy("term", "item").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    # explode_outer: for explode, Spark puts a filter below that finds every text's tokens once more.
+    said = each.select("item", "dl", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
+    said = said if only is None else said.join(F.broadcast(only), "term", "left_semi")
+    return said.groupBy("term", "item").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def term_stats(posts: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,15 +35,17 @@ def term_stats(posts: DataFrame, items: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf.alias("idf"))  # one row: no growth
 
 
-def impacts(items: DataFrame, item: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def impacts(items: DataFrame, item: str, text: str, hot_rows: int = HOT_ROWS, asked: DataFrame | None = None) -> DataFrame:
     """``term, item, impact``: what one occurrence of a term in a query adds to the item's BM25 score.
 
     Postings are made once and staged. Their join with the terms' weights is salted for terms that stand in more than
-    ``hot_rows`` items, which their counted document frequencies name.
+    ``hot_rows`` items, which their counted document frequencies name. ``asked`` (term, a staged table) names the terms
+    that queries have: where it is counted small, others get no postings; the weights and lengths are those of whole items.
     """
     each = items.select(F.col(item).alias("item"), tokens(text).alias("tokens"))
     stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_dl"))
-    posts = staged(postings(items, item, text), "postings")
+    small = asked is not None and is_small(asked, asked.count())
+    posts = staged(postings(items, item, text, asked if small else None), "postings")
     df = staged(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     hot = staged(df.where(F.col("df") > hot_rows).select("term", F.ceil(F.col("df") / hot_rows).cast("int").alias("_slices")), "hot")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), F.lit(IDF_FLOOR))
@@ -67,8 +72,8 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-#: Postings of a block of the index, and queries of a block.
-BLOCK_POSTINGS, BLOCK_QUERIES = 200_000, 1024
+#: Postings of a block of the index, and queries of a block; postings (of about 60 bytes in memory) of an index that is broadcast.
+BLOCK_POSTINGS, BLOCK_QUERIES, BROADCAST_POSTINGS = 200_000, 1024, 400_000
 
 
 class _Block:
@@ -111,7 +116,8 @@ class _Block:
 def _top_in_blocks(queries: DataFrame, query: str, text: str, index: DataFrame, k: int, groups: str | None) -> DataFrame:
     """The best ``k`` items and their ties of each query in each block of the index; the queries come in blocks, too."""
     q_type, i_type = dict(queries.dtypes)[query], dict(index.dtypes)["item"]
-    posts, asked = index.count() // BLOCK_POSTINGS + 1, queries.count() // BLOCK_QUERIES + 1
+    n = index.count()
+    posts, asked = n // BLOCK_POSTINGS + 1, queries.count() // BLOCK_QUERIES + 1
     blocks = index.groupBy(F.pmod(F.xxhash64("item"), F.lit(posts)).alias("block")).agg(F.collect_list(F.struct(*index.columns)).alias("posts"))
     allowed = F.col(groups) if groups else F.lit(None).cast("array<string>")
     each = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("query"), tokens(text).alias("tokens"), allowed.alias("allowed"))
@@ -137,10 +143,12 @@ def _top_in_blocks(queries: DataFrame, query: str, text: str, index: DataFrame,
                 yield pa.record_batch([names.take(pa.array(which)), block.items.take(pa.array(items)), pa.array(scores)], names=["query", "item", "score"])
 
     # A stated set of queries against all items: the query blocks go to every block of the index, which comes to their
-    # tasks whole where its counted rows and bytes are small; else every block goes to one task, once.
+    # tasks whole where its counted postings are few; else every block goes to one task, once. The repeated query blocks
+    # are never broadcast: Spark takes them for as small as the file of one copy of each, which the hint keeps out.
     everywhere = staged(sets, "query-blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(posts - 1).cast("bigint"))))
     spread = everywhere.repartition(min(asked * posts, 4 * queries.sparkSession.sparkContext.defaultParallelism))
-    pairs = spread.join(checked_broadcast(staged(blocks, "index-blocks"), posts), "block").select("block", "posts", "queries")
+    whole = staged(blocks, "index-blocks")
+    pairs = spread.hint("merge").join(F.broadcast(whole) if n <= BROADCAST_POSTINGS else whole, "block").select("block", "posts", "queries")
     return pairs.mapInArrow(run, f"query {q_type}, item {i_type}, score double")
 
 

@@ -11,6 +11,7 @@ from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cell
 from alinea.operators.hierarchy import ancestors, chain_text, children, inherit, path_order, roll_up
 from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
 from alinea.operators.routing import area_text, asked_text, family_profiles, first_hits, focal_text, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
+from alinea.plans.skew import skew_join
 from alinea.plans.stage import once, staged
 from alinea.sources.files import read_vectors
 from alinea.sources.tables import table
@@ -119,8 +120,16 @@ def dense_recall(spark: SparkSession, d: str) -> DataFrame:
 def _document_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     asked = docs.where("doc_id % 20 = 0 and title_en is not null")
-    index = once(spark, d, ("documents",), "document impacts", lambda: staged(impacts(docs, "doc_id", "text"), "impacts"))
-    lexical = bm25_top(asked, "doc_id", "title_en", index, 40)
+
+    def make():
+        # Many documents share a title: each is searched for once.
+        titles = staged(asked.select("title_en").distinct(), "titles")
+        terms = staged(titles.select(F.explode(tokens("title_en")).alias("term")).distinct(), "asked-terms")
+        index = staged(impacts(docs, "doc_id", "text", asked=terms), "impacts")
+        return staged(bm25_top(titles, "title_en", "title_en", index, 40), "best")
+
+    best = once(spark, d, ("documents",), "titles", make).withColumnRenamed("query", "title_en")
+    lexical = skew_join(asked.select(F.col("doc_id").alias("query"), "title_en"), best, ["title_en"], "inner").select("query", "item", "score", "rank")
     e = _embeddings(spark, d).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     dense = dense_top(e.join(asked.select("doc_id"), "doc_id", "left_semi"), "doc_id", e, "doc_id", "embedding", 40)
     return docs, lexical, dense

@@ -24,8 +24,13 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a staged table, with a broadcast hint if its counted rows and its files' size are small, else as it is (a shuffle join)."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df``, a staged table, may be broadcast: its counted rows and its files' size are within the bounds."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also: Column | None = None, hot_rows: int = HOT_ROWS, hot: tuple[DataFrame, int] | None = None) -> DataFrame:

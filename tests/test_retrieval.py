@@ -10,6 +10,8 @@ from alinea.operators import lexical
 from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, embed, hybrid_search, provenance, rrf
 from alinea.operators.lexical import bm25_top, impacts
 from alinea.operators.routing import area_text, asked_text, family_profiles, focal_text, recall_at, shortlist
+from alinea.plans import retrieval
+from alinea.plans.stage import staged
 from pyspark.sql import functions as F
 
 
@@ -58,6 +60,45 @@ def test_bm25_against_brute_force(spark, k, monkeypatch):
     assert "null" not in got
 
 
+def test_repeated_query_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 20)
+    monkeypatch.setattr(lexical, "BROADCAST_POSTINGS", 10)
+    items = spark.createDataFrame([(i, f"word{i % 7} word{i % 5}") for i in range(60)], "id int, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"word{i}") for i in range(4)], "q string, text string")
+    index = impacts(items, "id", "text")
+    top = bm25_top(queries, "q", "text", index, 3)
+    assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query, r.item) for r in top.collect()} == {(r.query, r.item) for r in bm25_top(queries, "q", "text", index).where("rank <= 3").collect()}
+
+
+def test_postings_of_asked_terms_weigh_as_those_of_all(spark):
+    items = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma delta"), (3, ""), (4, None)], "id int, text string")
+    asked = staged(spark.createDataFrame([("beta",), ("gamma",), ("none",)], "term string"), "asked")
+    every = {(r.term, r.item): r.impact for r in impacts(items, "id", "text").collect()}
+    got = {(r.term, r.item): r.impact for r in impacts(items, "id", "text", asked=asked).collect()}
+    assert got == {x: w for x, w in every.items() if x[0] in ("beta", "gamma")} and len(got) == 2 and len(every) == 5
+
+
+def _documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, title_en string, status string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_a_title_is_searched_once(spark, tmp_path, monkeypatch):
+    searched = []
+    plain = retrieval.bm25_top
+    monkeypatch.setattr(retrieval, "bm25_top", lambda q, *rest: searched.append((q.count(), rest[2].select("term").distinct().count())) or plain(q, *rest))
+    titles = {20: "Key Circular", 40: "Key Circular", 60: "Site", 80: None, 100: ""}
+    _documents(spark, tmp_path, [(i, f"key number{i}" if i % 2 else "site", titles.get(i, "Other"), "draft" if i < 50 else "binding", "s") for i in range(1, 101)])
+    rows = retrieval.rrf_fusion(spark, str(tmp_path)).collect()
+    assert searched == [(3, 2)]  # of the titles "Key Circular", "Site" and "", the terms that are in texts
+    by = {q: [r.item for r in sorted(rows, key=lambda r: r.rank) if r.query == q] for q in titles}
+    assert by[20] == by[40] == list(range(1, 81, 2)) and by[60] == list(range(2, 82, 2)) and not by[80] and not by[100]
+    assert {r["query"]: r.n_hits for r in retrieval.answered(spark, str(tmp_path)).collect()} == {20: 8, 40: 8, 60: 8, 100: 0}
+    hits = retrieval.hybrid_filtered(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in hits if r.query == 20) == list(range(51, 67, 2)) and {r.status for r in hits} == {"binding"}
+
+
 def test_groups_limit_a_query(spark):
     items = spark.createDataFrame([(1, "alpha beta", "a"), (2, "alpha", "b"), (3, "alpha gamma", "c")], "id int, text string, g string")
     index = impacts(items, "id", "text").join(items.select(F.col("id").alias("item"), F.col("g").alias("group")), "item")
