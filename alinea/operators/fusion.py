@@ -68,7 +68,8 @@ def dense_top(queries: DataFrame, query: str, items: DataFrame, item: str, vecto
     i, n = _blocks(items, item, vector, "i")
     q, _ = _blocks(queries, query, vector, "q")
     everywhere = q.drop("_b").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    return ranked(_products(everywhere.join(checked_broadcast(staged(i, "blocks"), n), "_b"), k, q_type, i_type), k)
+    # The hint: Spark takes the repeated blocks for as small as one copy of each and might broadcast them.
+    return ranked(_products(everywhere.hint("merge").join(checked_broadcast(staged(i, "blocks"), n), "_b"), k, q_type, i_type), k)
 
 
 class Cells(NamedTuple):
