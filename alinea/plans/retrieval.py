@@ -9,9 +9,10 @@ from alinea.functions.text import TOKEN, STOP, collapse, tokens
 from alinea.operators.current import current
 from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, hybrid_search, provenance, rrf
 from alinea.operators.hierarchy import ancestors, chain_text, children, inherit, path_order, roll_up
-from alinea.operators.lexical import bm25_scores, bm25_top, impacts, postings, ranked, term_stats
+from alinea.operators.lexical import BROADCAST_POSTINGS, bm25_scores, bm25_top, impacts, postings, ranked, term_stats
+from alinea.operators.onepass import FEW_TARGETS, Impacts, Router, Shortlister, Vectors
 from alinea.operators.routing import area_text, asked_text, family_profiles, first_hits, focal_text, missing_routes, recall_at, recall_by_group, route, route_single, shortlist, target_text
-from alinea.plans.skew import skew_join
+from alinea.plans.skew import checked_broadcast, skew_join
 from alinea.plans.stage import once, staged
 from alinea.sources.files import read_vectors
 from alinea.sources.tables import table
@@ -180,12 +181,12 @@ def _routes(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
     return once(spark, d, ("clauses", "controls"), "routes", make)
 
 
-def _vectors(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, df: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``df`` with ``embedding``: a stand-in for a model's vectors of its keys, rows of embeddings dealt by a hash that SQL has, too."""
     e = _embeddings(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("_n"))
     at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint")
-    return df.crossJoin(F.broadcast(n)).withColumn("vec_id", at % F.col("_n")).join(e, "vec_id").drop("vec_id", "_n")  # n: one row
+    return df.crossJoin(F.broadcast(n)).withColumn("vec_id", at % F.col("_n")).join(checked_broadcast(e, e.count()), "vec_id", how).drop("vec_id", "_n")  # n: one row
 
 
 def _routes_dense(spark: SparkSession, d: str, leaves: DataFrame) -> DataFrame:
@@ -287,8 +288,26 @@ def _shortlists(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, ("clauses", "controls"), "shortlists", lambda: _shortlist_of(spark, d, chosen(), False))
 
 
+def _shortlists_in_one_pass(spark: SparkSession, d: str, controls: DataFrame) -> DataFrame:
+    """``shortlists_dense`` for controls that were counted few: they go to every task, and of a clause only its shortlist leaves its task."""
+    leaves = _leaf_queries(spark, d)
+    families = sorted(map(tuple, _vectors(spark, d, controls.select("family").distinct(), "family", "left").collect()))  # as many as families
+    targets = sorted(_vectors(spark, d, controls, "control_id", "left").collect(), key=lambda r: r.control_id)  # at most FEW_TARGETS
+    names, keys = [f for f, _ in families], [r.control_id for r in targets]
+    weights = lambda index, items: Impacts(index.select("term", "item", "impact").toArrow(), items)  # noqa: E731, at most BROADCAST_POSTINGS
+    router = Router(names, weights(_profile_index(spark, d), names), Vectors([v for _, v in families]))
+    lister = Shortlister(router, keys, [r.family for r in targets], [r.is_enhancement for r in targets], [r.parent_id for r in targets], weights(_index(spark, d), keys), Vectors([r.embedding for r in targets]), PLACES, routed=FAMILIES)
+    areas = _vectors(spark, d, _areas(leaves), "area", "left").select("area", tokens("title").alias("title"), "embedding")
+    prior = staged(areas.mapInArrow(router.priors, "area string, prior array<int>"), "prior")
+    asked = _vectors(spark, d, leaves.select("clause_id", "area", "context", "asked").join(prior, "area", "left"), "clause_id", "left")
+    return asked.select("clause_id", tokens("context").alias("context"), tokens("asked").alias("asked"), "prior", "embedding").mapInArrow(lister.run, Shortlister.SCHEMA)
+
+
 def shortlists_dense(spark: SparkSession, d: str) -> DataFrame:
     """Shortlists by text and vectors, within the families that text and vectors route to."""
+    controls = staged(active_controls(spark, d, "family", "is_enhancement", "parent_id"), "controls")
+    if all(x.count() <= most for x, most in ((controls, FEW_TARGETS), (_index(spark, d), BROADCAST_POSTINGS), (_profile_index(spark, d), BROADCAST_POSTINGS))) and controls.where("is_enhancement is null or family is null").isEmpty():
+        return _shortlists_in_one_pass(spark, d, controls)
     chosen = _routes_dense(spark, d, _leaf_queries(spark, d)).select("query", F.col("item").alias("family"))
     s = _shortlist_of(spark, d, chosen, True)
     return s.select(F.col("query").alias("clause_id"), "control_id", "score", "rank", "bm25_rank", "dense_rank", "parent_lifted", "is_enhancement")

@@ -3,12 +3,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from alinea.functions.text import STOP, tokens
 from alinea.operators import lexical
 from alinea.operators.fusion import Cells, answers, dense_top, dense_top_in_cells, dense_top_in_groups, embed, hybrid_search, provenance, rrf
 from alinea.operators.lexical import bm25_top, impacts
+from alinea.operators.onepass import Impacts, Shortlister, Vectors, fused
 from alinea.operators.routing import area_text, asked_text, family_profiles, focal_text, recall_at, shortlist
 from alinea.plans import retrieval
 from alinea.plans.stage import staged
@@ -230,6 +232,59 @@ def test_parent_is_lifted_to_its_best_enhancement(spark):
     assert shortlist(scored, None, targets, routes.limit(0), 10).count() == 0
 
 
+def test_one_pass_shortlists_as_the_joined_ones(spark):
+    rng = random.Random(7)
+    keys = sorted(f"c{i:02d}" for i in range(40))
+    family, enh = {x: rng.choice("FGH") for x in keys}, {x: rng.random() < 0.6 for x in keys}
+    parent = {x: rng.choice([None, "gone", *keys]) for x in keys}
+    targets = spark.createDataFrame([(x, family[x], "f", x, enh[x], parent[x]) for x in keys], CONTROLS)
+    go = {f"q{i}": [f for f in "FGH" if rng.random() < 0.7] for i in range(12)}
+    text, dense = (np.array([[rng.choice([0, 0, 1, 2, 3]) * rng.choice([0.5, 1.25]) for _ in keys] for _ in go]) for _ in range(2))
+    counts = np.array([[rng.random() < 0.8 for _ in keys] for _ in go])
+    scored = lambda m, there: spark.createDataFrame([(q, x, float(m[i, j])) for i, q in enumerate(go) for j, x in enumerate(keys) if there[i, j]], "query string, item string, score double")
+    routes = spark.createDataFrame([(q, f) for q, fs in go.items() for f in fs], "query string, family string")
+    allowed = np.array([[family[x] in fs for x in keys] for fs in go.values()])
+    lifted = 0
+    for n, quota in ((4, 0.7), (3, 0.0), (5, 1.0)):
+        lister = Shortlister(None, keys, [family[x] for x in keys], [enh[x] for x in keys], [parent[x] for x in keys], None, None, n, quota)
+        want = {(r.query, r.control_id, r.score, r.rank, r.bm25_rank, r.dense_rank, r.parent_lifted) for r in shortlist(scored(text, text > 0), scored(dense, counts), targets, routes, n, quota).collect()}
+        got = {(f"q{r}", keys[i], s, p, *(int(x) if np.isfinite(x) else None for x in (a, b)), up) for r, i, s, p, a, b, up in zip(*(x.tolist() for x in lister.pick(text, dense, counts, allowed)))}
+        assert got == want and len(want) > 20
+        lifted += sum(x[-1] for x in want)
+    assert lifted
+
+
+def test_one_pass_fusion_rounds_halves_up():
+    scores, place = fused(np.array([[68.0, np.inf, np.inf]]), np.array([[np.inf, np.inf, 1.0]]))
+    assert scores.tolist() == [[0.007813, 0.0, 0.016393]] and place.tolist() == [[2.0, np.inf, 1.0]]
+
+
+def test_vectors_and_texts_that_are_missing():
+    v = Vectors([[1.0, 0.0], None, [0.0, 2.0]])
+    scores, there = v.scores(pa.array([[3.0, 1.0], None], pa.list_(pa.float32())))
+    assert scores.tolist() == [[3.0, 0.0, 2.0], [0.0, 0.0, 0.0]] and there.tolist() == [[True, False, True], [False] * 3]
+    index = Impacts(pa.table({"term": ["a", "b", "a", "a"], "item": ["x", "y", "y", "out"], "impact": [1.0, 2.0, 0.5, 9.0]}), ["x", "y"])
+    assert index.scores(pa.array([["a", "b", "a", "no"], [], None, ["b"]], pa.list_(pa.string()))).tolist() == [[2.0, 3.0], [0.0, 0.0], [0.0, 0.0], [0.0, 2.0]]
+
+
+def test_shortlists_of_few_targets_make_no_pairs(spark, monkeypatch):
+    """Only shortlists leave the tasks: neither routes nor scored pairs are made as rows."""
+    def unwanted(*_):
+        raise AssertionError("pairs")
+
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in _by_joins(spark, d, monkeypatch)}
+    for name in ("_routes_dense", "_shortlist_of"):
+        monkeypatch.setattr(retrieval, name, unwanted)
+    assert {tuple(r) for r in retrieval.shortlists_dense(spark, d).collect()} == want and len(want) > 1000
+
+
+def _by_joins(spark, d, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "FEW_TARGETS", 0)
+        return retrieval.shortlists_dense(spark, d).collect()
+
+
 def test_profiles_and_recall(spark):
     c = spark.createDataFrame([("b", "F", "Fam", "Two", False, None), ("a", "F", "Fam", "One", False, None), ("a(1)", "F", "Fam", "Not", True, "a"), ("z(1)", "G", "Gam", "Only", True, None)], CONTROLS)
     got = {r.family: (r.n_base, r.n_total, r.profile) for r in family_profiles(c).collect()}
