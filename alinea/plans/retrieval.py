@@ -129,7 +129,8 @@ def _document_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
         index = staged(impacts(docs, "doc_id", "text", asked=terms), "impacts")
         return staged(bm25_top(titles, "title_en", "title_en", index, 40), "best")
 
-    best = once(spark, d, ("documents",), "titles", make).withColumnRenamed("query", "title_en")
+    best = once(spark, d, ("documents",), "titles", make)
+    best = checked_broadcast(best, best.count()).withColumnRenamed("query", "title_en")  # 40 rows a title: Spark would go by the compressed files
     lexical = skew_join(asked.select(F.col("doc_id").alias("query"), "title_en"), best, ["title_en"], "inner").select("query", "item", "score", "rank")
     e = _embeddings(spark, d).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     dense = dense_top(e.join(asked.select("doc_id"), "doc_id", "left_semi"), "doc_id", e, "doc_id", "embedding", 40)

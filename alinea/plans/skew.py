@@ -23,8 +23,11 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, a staged table, with a broadcast hint if its counted rows and its files' size are small, else as it is (a shuffle join)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """``df``, a staged table, with a broadcast hint if its counted rows and its files' size are small, else with that of a shuffle join.
+
+    Without the second hint, Spark broadcasts a table of many rows whose compressed files are small.
+    """
+    return F.broadcast(df) if is_small(df, rows) else df.hint("merge")
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

@@ -101,6 +101,16 @@ def test_a_title_is_searched_once(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in hits if r.query == 20) == list(range(51, 67, 2)) and {r.status for r in hits} == {"binding"}
 
 
+def test_many_titles_best_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("alinea.plans.skew.BROADCAST_ROWS", 10)
+    _documents(spark, tmp_path, [(i, f"key number{i % 7}", f"Key Title{i}", "binding" if i % 3 else "draft", "s") for i in range(1, 201)])
+    lexical = retrieval._document_lists(spark, str(tmp_path))[1]
+    assert "Broadcast" not in lexical._jdf.queryExecution().executedPlan().toString()
+    hits = retrieval.hybrid_filtered(spark, str(tmp_path)).collect()
+    assert len(hits) == 80 and {r.place for r in hits} == set(range(1, 9)) and {r["query"] for r in hits} == set(range(20, 201, 20))
+    assert [r.doc_id for r in sorted(hits, key=lambda r: r.place) if r["query"] == 20] == [1, 2, 4, 5, 7, 8, 10, 11]
+
+
 def test_groups_limit_a_query(spark):
     items = spark.createDataFrame([(1, "alpha beta", "a"), (2, "alpha", "b"), (3, "alpha gamma", "c")], "id int, text string, g string")
     index = impacts(items, "id", "text").join(items.select(F.col("id").alias("item"), F.col("g").alias("group")), "item")
